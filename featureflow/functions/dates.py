@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featureflow.functions.hashing import _col
@@ -25,13 +25,28 @@ def clean_date(c) -> Column:
 
 
 def _int(c: Column) -> Column:
-    return F.try_to_number(F.nullif(c, F.lit("")), F.lit("9999")).cast("int")
+    return F.when(c != "", c.cast("int"))
 
 
 def _is_bce(era: Column) -> Column:
     return era.startswith("b")
 
 
+def _groups(t: Column, pattern: str, n: int) -> Column:
+    """The n groups of the first match as an array, NULL without a match."""
+    picked = F.regexp_replace(t, f"(?s)^.*?{pattern}.*$", "|".join(f"${i}" for i in range(1, n + 1)))
+    return F.when(t.rlike(pattern), F.split(picked, r"\|", -1))
+
+
+def date_groups(c) -> Column:
+    """Array of match groups: pair of centuries, century, year range, decade, year."""
+    t = clean_date(c)
+    return F.array(
+        _groups(t, CENTURY_PAIR, 6), _groups(t, CENTURY, 3), _groups(t, YEAR_RANGE, 4), _groups(t, DECADE, 1),
+        _groups(t, YEAR, 2),
+    )
+
+
 def _century_ends(n: Column, part: Column, bce: Column, convention: str) -> tuple[Column, Column]:
     """First and last year of the (part of a) century, in time order."""
     shift = 1 if convention == "ordinal" else 0
@@ -42,39 +57,25 @@ def _century_ends(n: Column, part: Column, bce: Column, convention: str) -> tupl
     return F.when(bce, bc - lo).otherwise(ce + lo), F.when(bce, bc - hi).otherwise(ce + hi)
 
 
-def parse_date_interval(c, century: str = "ordinal") -> Column:
-    """Struct (year_start, start_is_bce, year_end, end_is_bce); all NULL when nothing is readable.
-
-    `ordinal` counts the 5th century as 401-500, `zero_based` as 400-499. A part
-    (early, mid, late) is a third of the century. A range with one era mark at its end
-    takes that era for both ends.
-    """
+def interval_of(g: Column, century: str) -> Column:
+    """Interval struct from the match groups."""
     if century not in CONVENTIONS:
         raise ValueError(f"century must be one of {CONVENTIONS}")
-    t = clean_date(c)
-
-    def g(pattern: str, i: int) -> Column:
-        return F.regexp_extract(t, pattern, i)
-
-    # pair of centuries
-    p_n1, p_n2 = _int(g(CENTURY_PAIR, 2)), _int(g(CENTURY_PAIR, 5))
-    p_e2 = _is_bce(g(CENTURY_PAIR, 6))
-    p_e1 = F.when(g(CENTURY_PAIR, 3) == "", p_e2).otherwise(_is_bce(g(CENTURY_PAIR, 3)))
-    p_start, _ = _century_ends(p_n1, g(CENTURY_PAIR, 1), p_e1, century)
-    _, p_end = _century_ends(p_n2, g(CENTURY_PAIR, 4), p_e2, century)
-    # one century
-    c_n, c_e = _int(g(CENTURY, 2)), _is_bce(g(CENTURY, 3))
-    c_start, c_end = _century_ends(c_n, g(CENTURY, 1), c_e, century)
-    # range of years; a short second year takes the leading digits of the first
-    r_a, r_b = _int(g(YEAR_RANGE, 1)), _int(g(YEAR_RANGE, 3))
-    r_e2 = _is_bce(g(YEAR_RANGE, 4))
-    r_e1 = F.when(g(YEAR_RANGE, 2) == "", r_e2).otherwise(_is_bce(g(YEAR_RANGE, 2)))
-    scale = F.pow(F.lit(10), F.length(g(YEAR_RANGE, 3))).cast("int")
-    short = (F.length(g(YEAR_RANGE, 3)) < F.length(g(YEAR_RANGE, 1))) & ~r_e1 & ~r_e2
-    r_end = F.when(short, F.floor(r_a / scale).cast("int") * scale + r_b).otherwise(r_b)
-    # decade, single year
-    d_a = _int(g(DECADE, 1))
-    y_a, y_e = _int(g(YEAR, 1)), _is_bce(g(YEAR, 2))
+    pair, cent, span, decade, year = g[0], g[1], g[2], g[3], g[4]
+    p_e2 = _is_bce(pair[5])
+    p_e1 = F.when(pair[2] == "", p_e2).otherwise(_is_bce(pair[2]))
+    p_start, _ = _century_ends(_int(pair[1]), pair[0], p_e1, century)
+    _, p_end = _century_ends(_int(pair[4]), pair[3], p_e2, century)
+    c_e = _is_bce(cent[2])
+    c_start, c_end = _century_ends(_int(cent[1]), cent[0], c_e, century)
+    # a short second year takes the leading digits of the first
+    r_a, r_b = _int(span[0]), _int(span[2])
+    r_e2 = _is_bce(span[3])
+    r_e1 = F.when(span[1] == "", r_e2).otherwise(_is_bce(span[1]))
+    missing = F.length(span[0]) - F.length(span[2])
+    lead = F.when((missing > 0) & ~r_e1 & ~r_e2, F.concat(F.substr(span[0], F.lit(1), missing), span[2]))
+    r_end = F.coalesce(lead.cast("int"), r_b)
+    d_a, y_a = _int(decade[0]), _int(year[0])
 
     def interval(a, a_bce, b, b_bce) -> Column:
         return F.struct(
@@ -84,10 +85,26 @@ def parse_date_interval(c, century: str = "ordinal") -> Column:
 
     none = F.lit(None)
     return (
-        F.when(p_n2.isNotNull(), interval(p_start, p_e1, p_end, p_e2))
-        .when(c_n.isNotNull(), interval(c_start, c_e, c_end, c_e))
-        .when(r_b.isNotNull(), interval(r_a, r_e1, r_end, r_e2))
-        .when(d_a.isNotNull(), interval(d_a, F.lit(False), d_a + 9, F.lit(False)))
-        .when(y_a.isNotNull(), interval(y_a, y_e, none, none))
+        F.when(pair.isNotNull(), interval(p_start, p_e1, p_end, p_e2))
+        .when(cent.isNotNull(), interval(c_start, c_e, c_end, c_e))
+        .when(span.isNotNull(), interval(r_a, r_e1, r_end, r_e2))
+        .when(decade.isNotNull(), interval(d_a, F.lit(False), d_a + 9, F.lit(False)))
+        .when(year.isNotNull(), interval(y_a, _is_bce(year[1]), none, none))
         .otherwise(interval(none, none, none, none))
     )
+
+
+def parse_date_interval(c, century: str = "ordinal") -> Column:
+    """Struct (year_start, start_is_bce, year_end, end_is_bce); all NULL when nothing is readable.
+
+    `ordinal` counts the 5th century as 401-500, `zero_based` as 400-499. A part
+    (early, mid, late) is a third of the century. A range with one era mark at its end
+    takes that era for both ends.
+    """
+    return F.transform(F.array(date_groups(c)), lambda g: interval_of(g, century))[0]
+
+
+def with_date_interval(df: DataFrame, c: str, cols: dict[str, str], century: str = "ordinal") -> DataFrame:
+    """The same as columns, matched once and computed in generated code."""
+    parsed = df.withColumn("_groups", date_groups(c)).withColumn("_date", interval_of(F.col("_groups"), century))
+    return parsed.withColumns({n: F.col(f"_date.{f}") for f, n in cols.items()}).drop("_groups", "_date")

@@ -86,8 +86,9 @@ def join_distinct(arr) -> Column:
 # --- fingerprints -----------------------------------------------------------------
 
 # Up to the first # that stands outside quotes; a quote after a backslash does not count.
+# Possessive, so the time is linear in the line.
 _CODE_PART = (
-    r"""^((?:[^#"'\\]|\\.|"(?:[^"\\]|\\.)*(?:"|$)|'(?:[^'\\]|\\.)*(?:'|$))*)#.*$"""
+    r"""^((?:[^#"'\\]++|\\.|"[^"\\]*+(?:\\.[^"\\]*+)*+(?:"|$)|'[^'\\]*+(?:\\.[^'\\]*+)*+(?:'|$))*+)#.*$"""
 )
 
 
@@ -102,7 +103,8 @@ def normalize_script(c) -> Column:
 
 def normalize_number(c, digits: int = 2) -> Column:
     """A parameter as text with fixed digits, "none" for NULL."""
-    return F.coalesce(F.format_string(f"%.{digits}f", F.bround(_col(c).cast("double"), digits)), F.lit("none"))
+    c = _col(c).cast("double")
+    return F.when(c.isNull(), F.lit("none")).otherwise(F.format_string(f"%.{digits}f", F.bround(c, digits)))
 
 
 def normalize_name(c) -> Column:

@@ -55,7 +55,7 @@ class TableVectorizer:
             f"coalesce(CAST({part}(`{c}`) AS DOUBLE), -1D) AS `_t_{c}_{part}`"
             for c in p["timestamp"] for part in ("year", "month", "dayofweek", "hour")
         ]
-        parts += [f"coalesce(`{c}`, '') AS `_s_{c}`" for c in p["low"] + p["high"]]
+        parts += [f"coalesce(nullif(trim(`{c}`), ''), '(none)') AS `_s_{c}`" for c in p["low"] + p["high"]]
         stages: list = [SQLTransformer(statement=f"SELECT *{''.join(', ' + x for x in parts)} FROM __THIS__")]
         inputs = [f"_b_{c}" for c in p["boolean"]]
         inputs += [f"_t_{c}_{part}" for c in p["timestamp"] for part in ("year", "month", "dayofweek", "hour")]

@@ -44,7 +44,7 @@ def score_candidates(df: DataFrame, exprs: dict[str, str], y: str, k: int = 1, k
         wide = folded.select(F.col("fold"), target.alias("_y"), *cols).groupBy("fold").agg(
             *[
                 F.struct(
-                    F.lit(n).alias("candidate"), F.abs(F.corr(f"c{i}", "_y")).alias("score"),
+                    F.lit(n).alias("candidate"), F.abs(_corr(F.col(f"c{i}"), F.col("_y"))).alias("score"),
                     F.count(f"c{i}").alias("rows"),
                 ).alias(f"s{i}")
                 for i, n in enumerate(names)
@@ -75,6 +75,13 @@ def score_candidates(df: DataFrame, exprs: dict[str, str], y: str, k: int = 1, k
     return out.withColumn("score", finite(F.col("score"), _double()))
 
 
+def _corr(x, y):
+    """Pearson correlation over complete pairs; NULL when a side is constant."""
+    whole = x.isNotNull() & y.isNotNull()
+    spread = F.stddev_pop(F.when(whole, x)) * F.stddev_pop(F.when(whole, y))
+    return F.try_divide(F.covar_pop(x, y), spread)
+
+
 def _double():
     from pyspark.sql.types import DoubleType
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featureflow.functions.dates import parse_date_interval
+from featureflow.functions.dates import with_date_interval
 from featureflow.functions.text import words
 from featureflow.operators.udf import map_batches
 from featureflow.semantic import sqltext
@@ -103,8 +103,7 @@ class BatchProgram(FeatureProgram):
 
 
 def _dates(self, df: DataFrame, step: dict, bound) -> DataFrame:
-    parsed = df.withColumn("_date", parse_date_interval(step["col"], step["century"]))
-    return parsed.withColumns({n: F.col(f"_date.{f}") for f, n in step["cols"].items()}).drop("_date")
+    return with_date_interval(df, step["col"], step["cols"], step["century"])
 
 
 def _terms(self, df: DataFrame, step: dict, bound) -> DataFrame:

@@ -90,7 +90,7 @@ class SemFillNA(Operator):
 
     def _dictionary(self, known: DataFrame, program: FeatureProgram) -> list[str]:
         """SQL expressions that find a known value in the text columns."""
-        phrase = F.array_join(F.expr(sqltext.words(quote(self.target))), " ")
+        phrase = F.array_join(F.expr(sqltext.words("v")), " ")
         counts = known.groupBy(F.col(self.target).alias("v")).agg(F.count(F.lit(1)).alias("n"))
         entries = (
             counts.select("v", "n", phrase.alias("k"))
