@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from featureflow.lineage.trajectories import subtree_sums
 from featureflow.operators.windows import top_k
 
-BEST = [F.col("score").desc_nulls_last(), F.col("trial")]
+def _best_first() -> list:
+    return [F.col("score").desc_nulls_last(), F.col("trial")]
+
 
 
 def evolutionary(trials: DataFrame, population_size: int = 6, run: str = "run_id") -> DataFrame:
     """(run, parent): the population is the best trials; its members take turns by trial count."""
-    ranked = top_k(trials.where("score IS NOT NULL"), [run], population_size, BEST)
+    ranked = top_k(trials.where("score IS NOT NULL"), [run], population_size, _best_first())
     # a population is at most population_size rows per run
     members = ranked.groupBy(run).agg(
         F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("trial").alias("t")))).alias("p")
