@@ -20,6 +20,7 @@ from featureflow.search.optimise import mutations, optimise
 from featureflow.semantic.choose import choices, fit_with_choices
 from featureflow.semantic.fillna import SemFillNA
 from featureflow.semantic.generate import SemGenFeatures, propose
+from featureflow.session import stage
 from featureflow.sources.tables import Inputs
 
 
@@ -125,7 +126,7 @@ def e3f(spark, sf):
 
 @query(
     "e3_basket_features",
-    oracle_with("baskets", "products") + FILL_SQL + ", k AS (SELECT * FROM filled) SELECT ID, round(avg(cash_price), 6) AS cash_price_mean,"
+    oracle_with("baskets", "products") + FILL_SQL + " SELECT ID, round(avg(cash_price), 6) AS cash_price_mean,"
     " round(sum(cash_price), 6) AS cash_price_sum, count(cash_price) AS cash_price_count, round(stddev_samp(cash_price), 4) AS"
     " cash_price_std, count(DISTINCT make) AS make_nunique FROM baskets LEFT JOIN filled ON ID = basket_ID GROUP BY ID",
 )
@@ -208,7 +209,7 @@ def _house_search(spark, sf, policy: str, trials: int = 3):
         vec = VectorAssembler(inputCols=nums, outputCol="features").transform(data)
         return ctx.model("price_model", M.regressor("price", kind="linear"), vec)
 
-    base = houses.cleaned_houses(houses.join_houses(train), Context("fit"))
+    base = stage(houses.cleaned_houses(houses.join_houses(train), Context("fit")))
     nums = ["sqft", "bed", "bath"]
     pool = mutations(propose({"numeric": nums, "string": ["city_name"], "timestamp": []}, "difference ratio"), 3)
 

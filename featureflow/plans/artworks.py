@@ -21,12 +21,14 @@ def refined(inputs: Mapping[str, DataFrame], ctx: Context, gen: SemGenFeatures |
     art = copy_column(inputs["artworks"], "object_name", "object_name_raw")
     art = annotate(art, "description")
     art = ctx.step("extract_dates", SemExtract(["date"], recipe="date_interval"), art)
+    art = ctx.pin(art)
     gen = gen or SemGenFeatures(
         how_many=5, hint="length words frequency of texts", keep_all=True,
         exclude=["object_ID", "culture", "object_name_raw", "description"],
     )
     art = ctx.step("additional_features", gen, art)
     filled = fill_by_type(art, [c for c in art.columns if c != "culture"])
+    filled = ctx.pin(filled)
     unified = ctx.step("unify_names", SemRefine("object_name", existing_only=False), filled)
     return drop_columns(unified, ["object_name_raw"], errors="ignore")
 

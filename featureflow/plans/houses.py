@@ -40,7 +40,7 @@ def cleaned_houses(houses: DataFrame, ctx: Context) -> DataFrame:
 def features(inputs: Mapping[str, DataFrame], ctx: Context, gen: SemGenFeatures | None = None) -> DataFrame:
     houses = mark(join_houses(inputs), y="price", description="selling price")
     data = cleaned_houses(houses, ctx)
-    data = ctx.step("extract_visuals", SemExtract(["image_path"], dictionaries=VISUAL_TERMS), data)
+    data = ctx.pin(ctx.step("extract_visuals", SemExtract(["image_path"], dictionaries=VISUAL_TERMS), data))
     gen = gen or SemGenFeatures(how_many=5, y="price", hint=GEN_HINT, exclude=["house_id", "city_id", "image_id", "image_path"])
     return ctx.step("generated_features", gen, data)
 

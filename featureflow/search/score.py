@@ -25,12 +25,15 @@ def candidate_types(df: DataFrame, exprs: dict[str, str]) -> tuple[dict, dict[st
     return good, bad
 
 
-def score_candidates(df: DataFrame, exprs: dict[str, str], y: str, k: int = 1, key=None, seed: int = 0) -> DataFrame:
+def score_candidates(df: DataFrame, exprs: dict[str, str], y: str, k: int = 1, key=None, seed: int = 0,
+                     centres: dict[str, tuple[float, int]] | None = None) -> DataFrame:
     """(candidate, fold, score, rows): strength of each candidate on each of k folds.
 
     Numbers and booleans: |Pearson correlation| with y. Text: correlation ratio (share of the
     spread of y between the values, as a root). One scan serves all numeric candidates of a
-    chunk; the result has candidates x folds rows.
+    chunk with three sums each; the result has candidates x folds rows. `centres` holds
+    (mean, nulls) of the numeric candidates where a scan has found them already; sums are taken
+    around the means, so they do not cancel.
     """
     types, _ = candidate_types(df, exprs)
     folded = with_fold(df, k, key, seed) if k > 1 else df.withColumn("fold", F.lit(0))
@@ -40,18 +43,31 @@ def score_candidates(df: DataFrame, exprs: dict[str, str], y: str, k: int = 1, k
     parts = []
     for at in range(0, len(numeric), CHUNK):
         names = numeric[at : at + CHUNK]
-        cols = [finite(F.expr(exprs[n]).cast("double"), _double()).alias(f"c{i}") for i, n in enumerate(names)]
-        wide = folded.select(F.col("fold"), target.alias("_y"), *cols).groupBy("fold").agg(
-            *[
-                F.struct(
-                    F.lit(n).alias("candidate"), F.abs(_corr(F.col(f"c{i}"), F.col("_y"))).alias("score"),
-                    F.count(f"c{i}").alias("rows"),
-                ).alias(f"s{i}")
-                for i, n in enumerate(names)
-            ]
-        )
-        s = F.explode(F.array(*[F.col(f"s{i}") for i in range(len(names))]))
-        parts.append(wide.select("fold", s.alias("s")).select("s.candidate", "fold", "s.score", "s.rows"))
+        values = {n: finite(F.expr(exprs[n]).cast("double"), _double()) for n in names}
+        mid = _centres(df, values, target, centres or {})
+        if mid[""][0] is None:
+            continue
+        cols = [(values[n] - F.lit(mid[n][0] or 0.0)).alias(f"c{i}") for i, n in enumerate(names)]
+        data = folded.select("fold", (target - F.lit(mid[""][0])).alias("_y"), *cols)
+        data = data.where(F.col("_y").isNotNull())
+        yy = F.col("_y")
+        aggs = [F.count(F.lit(1)).alias("n"), F.sum("_y").alias("y"), F.sum(yy * yy).alias("q")]
+        for i, n in enumerate(names):
+            x = F.col(f"c{i}")
+            aggs += [F.sum(x).alias(f"s{i}"), F.sum(x * x).alias(f"q{i}"), F.sum(x * yy).alias(f"p{i}")]
+            if mid[n][1]:  # pairs with a null take their own sums of y
+                y_of = F.when(x.isNotNull(), yy)
+                aggs += [F.count(x).alias(f"n{i}"), F.sum(y_of).alias(f"y{i}"), F.sum(y_of * y_of).alias(f"r{i}")]
+        wide = data.groupBy("fold").agg(*aggs)
+        rows = []
+        for i, n in enumerate(names):
+            own = bool(mid[n][1])
+            cnt, sy, qy = (F.col(f"n{i}"), F.col(f"y{i}"), F.col(f"r{i}")) if own else (F.col("n"), F.col("y"), F.col("q"))
+            sx, qx, sp = F.col(f"s{i}"), F.col(f"q{i}"), F.col(f"p{i}")
+            spread = (cnt * qx - sx * sx) * (cnt * qy - sy * sy)
+            score = F.try_divide(F.abs(cnt * sp - sx * sy), F.sqrt(F.greatest(spread, F.lit(0.0))))
+            rows.append(F.struct(F.lit(n).alias("candidate"), score.alias("score"), cnt.alias("rows")))
+        parts.append(wide.select("fold", F.explode(F.array(*rows)).alias("s")).select("s.candidate", "fold", "s.score", "s.rows"))
     if textual:
         v = F.explode(
             F.array(*[F.struct(F.lit(n).alias("candidate"), F.expr(exprs[n]).alias("v")) for n in textual])
@@ -75,11 +91,19 @@ def score_candidates(df: DataFrame, exprs: dict[str, str], y: str, k: int = 1, k
     return out.withColumn("score", finite(F.col("score"), _double()))
 
 
-def _corr(x, y):
-    """Pearson correlation over complete pairs; NULL when a side is constant."""
-    whole = x.isNotNull() & y.isNotNull()
-    spread = F.stddev_pop(F.when(whole, x)) * F.stddev_pop(F.when(whole, y))
-    return F.try_divide(F.covar_pop(x, y), spread)
+def _centres(df: DataFrame, values: dict, target, known: dict[str, tuple[float, int]]) -> dict[str, tuple]:
+    """(mean, nulls) of every candidate not known yet, and of the target under ""."""
+    open_ = {n: v for n, v in values.items() if n not in known}
+    names = list(open_)
+    row = df.select(target.alias("_y"), *[open_[n].alias(f"c{i}") for i, n in enumerate(names)]).agg(
+        F.avg("_y").alias("_y"), F.count(F.lit(1)).alias("_n"),
+        *[F.avg(f"c{i}").alias(f"a{i}") for i in range(len(names))],
+        *[F.count(f"c{i}").alias(f"n{i}") for i in range(len(names))],
+    ).first()
+    out = {n: known[n] for n in values if n in known}
+    out.update({n: (row[f"a{i}"], row["_n"] - row[f"n{i}"]) for i, n in enumerate(names)})
+    out[""] = (row["_y"], 0)
+    return out
 
 
 def _double():
@@ -89,29 +113,38 @@ def _double():
 
 
 def candidate_quality(df: DataFrame, exprs: dict[str, str]) -> DataFrame:
-    """(candidate, nulls, distinct_hint, fingerprint) in one scan.
+    """(candidate, nulls, constant, mean, fingerprint) in one scan.
 
-    `constant` is exact (lowest = highest); equal fingerprints (sums of value hashes
-    with null positions) mark duplicates.
+    Floating values that are not finite count as null. Equal fingerprints (a fold of row and
+    value hashes) mark copies. The mean is NULL for text.
     """
+    types, _ = candidate_types(df, exprs)
     row_hash = F.xxhash64(*[F.col(c) for c in df.columns if "map" not in df.schema[c].dataType.simpleString()])
     parts = []
-    names = list(exprs)
+    names = [n for n in exprs if n in types]
     for at in range(0, len(names), CHUNK):
         piece = names[at : at + CHUNK]
         wide = df.select(
-            row_hash.alias("_h"), *[F.expr(exprs[n]).alias(f"c{i}") for i, n in enumerate(piece)]
-        ).agg(
-            *[
-                F.struct(
-                    F.lit(n).alias("candidate"),
-                    F.count(F.when(F.col(f"c{i}").isNull(), 1)).alias("nulls"),
-                    F.coalesce(F.min(f"c{i}") == F.max(f"c{i}"), F.lit(True)).alias("constant"),
-                    F.bit_xor(F.xxhash64("_h", f"c{i}")).alias("fingerprint"),
-                ).alias(f"s{i}")
-                for i, n in enumerate(piece)
-            ],
+            row_hash.alias("_h"), *[finite(F.expr(exprs[n]), types[n]).alias(f"c{i}") for i, n in enumerate(piece)]
         )
-        s = F.explode(F.array(*[F.col(f"s{i}") for i in range(len(piece))]))
-        parts.append(wide.select(s.alias("s")).select("s.*"))
+        aggs = [F.count(F.lit(1)).alias("n")]
+        for i, n in enumerate(piece):
+            c = F.col(f"c{i}")
+            aggs += [
+                F.count(c).alias(f"n{i}"), F.min(c).alias(f"a{i}"), F.max(c).alias(f"z{i}"),
+                F.bit_xor(F.xxhash64("_h", c)).alias(f"f{i}"),
+            ]
+            if isinstance(types[n], NUMERIC):
+                aggs.append(F.avg(c.cast("double")).alias(f"m{i}"))
+        rows = [
+            F.struct(
+                F.lit(n).alias("candidate"),
+                (F.col("n") - F.col(f"n{i}")).alias("nulls"),
+                F.coalesce(F.col(f"a{i}") == F.col(f"z{i}"), F.lit(True)).alias("constant"),
+                (F.col(f"m{i}") if isinstance(types[n], NUMERIC) else F.lit(None).cast("double")).alias("mean"),
+                F.col(f"f{i}").alias("fingerprint"),
+            )
+            for i, n in enumerate(piece)
+        ]
+        parts.append(wide.agg(*aggs).select(F.explode(F.array(*rows)).alias("s")).select("s.*"))
     return reduce(lambda a, b: a.unionByName(b), parts)
