@@ -23,12 +23,15 @@ STOP_WORDS = (
     "some such no nor not only own same so than too very s t can will just don should now"
 ).split()
 
+NON_ASCII = r"[^\x00-\x7f]"
 TOKEN_PATTERN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
 WORD_PATTERN = r"[\p{L}\p{N}]+"
 
 
 def unaccent(c) -> Column:
-    return F.translate(_col(c).cast("string"), ACCENTED, PLAIN)
+    """Latin letters without marks; plain ASCII text is passed on as it is."""
+    c = _col(c).cast("string")
+    return F.when(c.rlike(NON_ASCII), F.translate(c, ACCENTED, PLAIN)).otherwise(c)
 
 
 def normalize_text(c, full: bool = False) -> Column:

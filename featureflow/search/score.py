@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from featureflow.functions.numbers import NUMERIC, finite
 from featureflow.operators.sampling import with_fold
 
-#: Aggregates wider than this leave the range of generated code; they run in pieces.
-CHUNK = 200
+#: Wider aggregates outgrow the method size that the JVM compiles; they run in pieces.
+CHUNK = 25
 
 
 def candidate_types(df: DataFrame, exprs: dict[str, str]) -> tuple[dict, dict[str, str]]:
@@ -43,21 +43,28 @@ def score_candidates(df: DataFrame, exprs: dict[str, str], y: str, k: int = 1, k
     parts = []
     for at in range(0, len(numeric), CHUNK):
         names = numeric[at : at + CHUNK]
-        values = {n: finite(F.expr(exprs[n]).cast("double"), _double()) for n in names}
-        mid = _centres(df, values, target, centres or {})
+        raw = {n: F.expr(exprs[n]).cast("double") for n in names}
+        mid = _centres(df, raw, target, centres or {})
         if mid[""][0] is None:
             continue
-        cols = [(values[n] - F.lit(mid[n][0] or 0.0)).alias(f"c{i}") for i, n in enumerate(names)]
-        data = folded.select("fold", (target - F.lit(mid[""][0])).alias("_y"), *cols)
-        data = data.where(F.col("_y").isNotNull())
+        data = folded.where(target.isNotNull()).select(
+            "fold", target.alias("_y"), *[raw[n].alias(f"r{i}") for i, n in enumerate(names)]
+        )
+        # a missing value counts as the mean and so adds nothing to the centred sums
+        cols = []
+        for i, n in enumerate(names):
+            cols.append(F.coalesce(finite(F.col(f"r{i}"), _double()) - F.lit(mid[n][0] or 0.0), F.lit(0.0)).alias(f"c{i}"))
+            if mid[n][1]:
+                cols.append(finite(F.col(f"r{i}"), _double()).isNotNull().alias(f"k{i}"))
+        data = data.select("fold", (F.coalesce("_y", F.lit(0.0)) - F.lit(mid[""][0])).alias("_y"), *cols)
         yy = F.col("_y")
         aggs = [F.count(F.lit(1)).alias("n"), F.sum("_y").alias("y"), F.sum(yy * yy).alias("q")]
         for i, n in enumerate(names):
             x = F.col(f"c{i}")
             aggs += [F.sum(x).alias(f"s{i}"), F.sum(x * x).alias(f"q{i}"), F.sum(x * yy).alias(f"p{i}")]
             if mid[n][1]:  # pairs with a null take their own sums of y
-                y_of = F.when(x.isNotNull(), yy)
-                aggs += [F.count(x).alias(f"n{i}"), F.sum(y_of).alias(f"y{i}"), F.sum(y_of * y_of).alias(f"r{i}")]
+                y_of = F.when(F.col(f"k{i}"), yy)
+                aggs += [F.count(y_of).alias(f"n{i}"), F.sum(y_of).alias(f"y{i}"), F.sum(y_of * y_of).alias(f"r{i}")]
         wide = data.groupBy("fold").agg(*aggs)
         rows = []
         for i, n in enumerate(names):
@@ -95,7 +102,9 @@ def _centres(df: DataFrame, values: dict, target, known: dict[str, tuple[float,
     """(mean, nulls) of every candidate not known yet, and of the target under ""."""
     open_ = {n: v for n, v in values.items() if n not in known}
     names = list(open_)
-    row = df.select(target.alias("_y"), *[open_[n].alias(f"c{i}") for i, n in enumerate(names)]).agg(
+    data = df.select(target.alias("_y"), *[open_[n].alias(f"r{i}") for i, n in enumerate(names)])
+    data = data.select("_y", *[finite(F.col(f"r{i}"), _double()).alias(f"c{i}") for i in range(len(names))])
+    row = data.agg(
         F.avg("_y").alias("_y"), F.count(F.lit(1)).alias("_n"),
         *[F.avg(f"c{i}").alias(f"a{i}") for i in range(len(names))],
         *[F.count(f"c{i}").alias(f"n{i}") for i in range(len(names))],

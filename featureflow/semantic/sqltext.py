@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from featureflow.functions.text import ACCENTED, PLAIN, WORD_PATTERN
+from featureflow.functions.text import ACCENTED, NON_ASCII, PLAIN, WORD_PATTERN
 from featureflow.semantic.program import text_literal
 
 
 def plain(c: str) -> str:
     """Lower case without accents."""
-    return f"lower(translate(cast({c} AS string), '{ACCENTED}', '{PLAIN}'))"
+    marked = f"translate(cast({c} AS string), '{ACCENTED}', '{PLAIN}')"
+    return f"lower(CASE WHEN cast({c} AS string) RLIKE {text_literal(NON_ASCII)} THEN {marked} ELSE cast({c} AS string) END)"
 
 
 def words(c: str) -> str:

@@ -22,6 +22,8 @@ def build_session(app: str = "featureflow", cores: str = "*", **conf) -> SparkSe
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "12g")
+        # methods beyond this size are not compiled by the JVM; wide projections then run split
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
     )
     for k, v in conf.items():
         b = b.config(k, v)
