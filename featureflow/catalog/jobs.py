@@ -40,10 +40,8 @@ def halves(inputs: Inputs, name: str, key: str) -> tuple[Inputs, Inputs]:
 
 def report(pred, label: str, kind: str = "classification"):
     """Metrics of the predictions with their row count (one row)."""
-    p = pred.select(F.col(label).cast("double").alias("y"), F.col("prediction").cast("double").alias("p")).persist()
-    n = p.agg(F.count(F.lit(1)).alias("rows"), F.lit(1).alias("k"))
-    out = metrics(p, "y", "p", kind=kind).withColumn("k", F.lit(1)).join(n, "k").drop("k")
-    return out
+    p = stage(pred.select(F.col(label).cast("double").alias("y"), F.col("prediction").cast("double").alias("p")))
+    return metrics(p, "y", "p", kind=kind).withColumn("rows", F.lit(p.count()))
 
 
 CITY_SQL = """, houses AS (SELECT *, 0.9 * price + 2 * sqft AS predicted_price FROM facts JOIN cities USING (city_id)),
@@ -60,7 +58,7 @@ def e5(spark, sf):
     cities = view(spark, sf, "cities")
     pred = facts.select("house_id", (F.lit(0.9) * F.col("price") + 2 * F.col("sqft")).alias("prediction"))
     joined = houses.merge(houses.with_predictions(facts, pred), cities, on="city_id")
-    return houses.city_analysis(joined)
+    return houses.city_analysis(joined, cities.count())
 
 
 @query(
@@ -92,7 +90,7 @@ def e4(spark, sf):
     train, test = halves(house_inputs(spark, sf), "facts", "house_id")
     pred = Learner(houses.build).fit(train).predict(test)
     joined = houses.with_predictions(houses.join_houses(test), pred)
-    return houses.city_analysis(joined)
+    return houses.city_analysis(joined, test["cities"].count())
 
 
 @query(

@@ -243,9 +243,7 @@ def metrics(df: DataFrame, label: str, pred: str, score: str | None = None, kind
         return regression_metrics(df, label, pred)
     out = classification_metrics(df, label, pred)
     if score:
-        auc = roc_auc(df, label, score)
-        # both sides are single aggregate rows
-        out = out.withColumn("_one", F.lit(1)).join(auc.withColumn("_one", F.lit(1)), "_one").drop("_one")
+        out = out.withColumn("roc_auc", F.lit(roc_auc(df, label, score).first()[0]).cast("double"))
     return out
 
 
@@ -256,6 +254,6 @@ def describe_frame(df: DataFrame, n: int = 5) -> DataFrame:
           for f in df.schema.fields]
     )
     as_map = F.create_map(*[x for c in df.columns for x in (F.lit(c), F.col(f"`{c}`").cast("string"))])
-    sample = df.limit(n).agg(F.collect_list(as_map).alias("sample")).withColumn("_one", F.lit(1))
-    count = df.agg(F.count(F.lit(1)).alias("row_count")).withColumn("_one", F.lit(1))
-    return count.join(sample, "_one").select(fields.alias("schema"), "sample", "row_count")
+    rows = df.count()
+    sample = df.limit(n).agg(F.collect_list(as_map).alias("sample"))
+    return sample.select(fields.alias("schema"), "sample", F.lit(rows).cast("bigint").alias("row_count"))

@@ -238,3 +238,9 @@ def test_child_rows_follow_only_after_keep_in(spark):
 
 def test_vectorless_log1p(spark):
     assert math.isclose(one(spark, N.log1p("x"), "3"), math.log(4))
+
+
+def test_describe_frame(spark):
+    got = A.describe_frame(spark.range(12).select("id", F.lit(None).cast("string").alias("s"))).first()
+    assert got["row_count"] == 12 and len(got["sample"]) == 5 and got["sample"][0]["s"] is None
+    assert [f["name"] for f in got["schema"]] == ["id", "s"]
