@@ -38,8 +38,7 @@ def documents(spark, sf):
 )
 def s4(spark, sf):
     t = DOC.parse_trajectories(documents(spark, sf), "value")
-    opts = t.select("run_id", "model", "temperature").distinct()
-    return TR.explode_outcomes(t).drop("code").join(opts, "run_id")
+    return TR.explode_outcomes(t, keep=("model", "temperature")).drop("code")
 
 
 @query(

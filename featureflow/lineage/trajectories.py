@@ -13,12 +13,13 @@ from featureflow.session import stage, staged_path
 MAX_DOUBLINGS = 64
 
 
-def explode_outcomes(trajs: DataFrame, run: str = "run_id") -> DataFrame:
+def explode_outcomes(trajs: DataFrame, run: str = "run_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """Outcomes → trials; outcomes without a trial number are dropped, a missing operator is "root"."""
-    o = trajs.select(run, F.explode("outcomes").alias("o"))
+    o = trajs.select(run, *keep, F.explode("outcomes").alias("o"))
     node = F.col("o.search_node")
     return o.where(node["trial"].isNotNull()).select(
         run,
+        *keep,
         node["trial"].alias("trial"),
         node["parent_trial"].alias("parent_trial"),
         F.coalesce(F.nullif(node["operator_to_evolve"], F.lit("")), F.lit("root")).alias("operator"),

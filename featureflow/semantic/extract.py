@@ -150,7 +150,7 @@ def annotate(df: DataFrame, text: str, lexicon: dict[str, list[str]] | None = No
     """
     lex = lexicon or LEXICON
     body = F.coalesce(F.col(text), F.lit(""))
-    w = words(body)
+    w = F.col("_w")
 
     def terms(kind: str) -> Column:
         listed = F.array(*[F.lit(t) for t in lex[kind]])
@@ -162,7 +162,8 @@ def annotate(df: DataFrame, text: str, lexicon: dict[str, list[str]] | None = No
         return F.array_join(F.array_sort(F.array_distinct(tidy)), ", ")
 
     adjectives = F.size(F.filter(w, lambda x: x.isin(*lex["adjective"])))
-    return df.withColumns(
+    # the words are a column of their own, so they are cut out of the text once
+    return df.withColumn("_w", words(body)).withColumns(
         {
             "ent_cultural_group": terms("cultural_group"),
             "ent_people": matches(PERSON),
@@ -171,4 +172,4 @@ def annotate(df: DataFrame, text: str, lexicon: dict[str, list[str]] | None = No
             "desc_noun_phrases": matches(PHRASE),
             "desc_adjective_density": F.coalesce(F.try_divide(adjectives, F.size(w)), F.lit(0.0)),
         }
-    )
+    ).drop("_w")
