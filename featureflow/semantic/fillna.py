@@ -49,8 +49,10 @@ class SemFillNA(Operator):
         tries: list[tuple[str, str]] = []
 
         if self.text and not numeric:
-            found = self._dictionary(known, program)
-            tries += [("text", e) for e in found]
+            for i, e in enumerate(self._dictionary(known, program)):
+                # a column of its own: looked up once, and only in rows that miss the target
+                program.columns(**{f"_text{i}": f"CASE WHEN {q} IS NULL THEN {e} END"})
+                tries.append(("text", f"_text{i}"))
 
         levels = self._ordered_context()
         for depth in range(len(levels), 0, -1):
@@ -77,7 +79,7 @@ class SemFillNA(Operator):
         if median and not isinstance(df.schema[t].dataType, (T.DoubleType, T.FloatType)):
             filled = f"coalesce({', '.join([f'cast({q} AS double)', *[f'cast({e} AS double)' for _, e in tries]])})"
         program.columns(**{t: filled})
-        program.drop(*[f"_fill{d}" for d in range(1, len(levels) + 1)])
+        program.drop(*[e for kind, e in tries if kind != "overall"])
         program.attempts.append({"operator": "sem_fillna", "hint": self.hint, "rules": [k for k, _ in tries]})
         return program
 
