@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featureflow.llm import packing, quality_rules, simhash
+from featureflow.llm import mixing, packing, quality_rules, simhash
 from featureflow.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_mixing", mixing.mix_sql())
+def op1(spark, sf_dir):
+    return mixing.mix_rows(documents(spark, sf_dir))
+
+
 @query("op5_packing")
 def op5(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir))
