@@ -86,27 +86,28 @@ def range_bucket(value: Column, cuts: Sequence[int]) -> Column:
     return let(table, search)
 
 
-def running_totals(lengths: Column, block: int = 128) -> Column:
-    """Array of running totals of an array of integers, itself included.
+def running(values: Column, xor: bool = False, block: int = 128) -> Column:
+    """Array of running sums (or XORs) of an array of longs, each element included.
 
-    Blocks are summed on their own and moved by the totals before them, so that
+    Blocks are scanned on their own and moved by what comes before them, so that
     no array of the full length is copied once per element.
     """
+    empty = F.expr("cast(array() as array<bigint>)")
+    zero = F.lit(0).cast("long")
+    add = (lambda a, b: a.bitwiseXOR(b)) if xor else (lambda a, b: a + b)
+    less = (lambda a, b: a.bitwiseXOR(b)) if xor else (lambda a, b: a - b)
 
     def scan(arr: Column) -> Column:
-        return F.aggregate(
-            arr,
-            F.expr("cast(array() as array<bigint>)"),
-            lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0).cast("long")) + x)),
-        )
+        last = lambda acc: F.coalesce(F.try_element_at(acc, F.lit(-1)), zero)
+        return F.aggregate(arr, empty, lambda acc, x: F.concat(acc, F.array(add(last(acc), x))))
 
     def blocks(arr: Column) -> Column:
         starts = F.sequence(F.lit(0), F.floor((F.size(arr) - 1) / block).cast("int"))
         return F.transform(starts, lambda b: scan(F.slice(arr, b * block + 1, block)))
 
     def moved(parts: Column) -> Column:
-        ends = F.transform(parts, lambda p: F.element_at(p, -1))
-        return F.flatten(F.zip_with(parts, scan(ends), lambda p, end: F.transform(p, lambda x: x + end - F.element_at(p, -1))))
+        ends = scan(F.transform(parts, lambda p: F.element_at(p, -1)))
+        shift = lambda p, end: let(less(end, F.element_at(p, -1)), lambda d: F.transform(p, lambda x: add(x, d)))
+        return F.flatten(F.zip_with(parts, ends, shift))
 
-    empty = F.expr("cast(array() as array<bigint>)")
-    return F.when(F.size(lengths) == 0, empty).otherwise(let(lengths, lambda arr: let(blocks(arr), moved)))
+    return F.when(F.size(values) == 0, empty).otherwise(let(values, lambda arr: let(blocks(arr), moved)))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featureflow.llm import mixing, packing, quality_rules, simhash
+from featureflow.llm import line_dedup, mixing, packing, quality_rules, simhash
 from featureflow.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,6 +68,17 @@ def op6(spark, sf_dir):
     )
 
 
+@query("op7_line_dedup", line_dedup.dedup_sql())
+def op7(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    out = line_dedup.dedup_lines(docs)
+    listed = F.concat_ws(",", F.col("gone").cast("array<string>"))
+    return out.select(
+        F.col("c0").alias("doc_id"), F.col("n_lines").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_gone"),
+        listed.alias("gone"), "kept_text",
+    )
+
+
 @query("op10_simhash")
 def op10(spark, sf_dir):
     return simhash.near_duplicates(documents(spark, sf_dir))
