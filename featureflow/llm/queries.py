@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featureflow.llm import line_dedup, merkle, mixing, packing, quality_rules, simhash
+from featureflow.llm import line_dedup, merkle, mixing, packing, pii, quality_rules, simhash
 from featureflow.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,11 @@ def op2(spark, sf_dir):
     return merkle.edit_likeness(documents(spark, sf_dir))
 
 
+@query("op4_pii")
+def op4(spark, sf_dir):
+    return pii.report(documents(spark, sf_dir))
+
+
 @query("op5_packing")
 def op5(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir))
