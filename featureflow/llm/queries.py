@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featureflow.llm import line_dedup, merkle, mixing, packing, pii, quality_rules, simhash
+from featureflow.llm import lang_id, line_dedup, merkle, mixing, packing, pii, quality_rules, simhash
 from featureflow.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,13 @@ def op2(spark, sf_dir):
     return merkle.edit_likeness(documents(spark, sf_dir))
 
 
+@query("op3_language_id")
+def op3(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    found = lang_id.predict(docs, lang_id.learn(docs))
+    return found.select("doc_id", F.coalesce(lang_id.held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
 @query("op4_pii")
 def op4(spark, sf_dir):
     return pii.report(documents(spark, sf_dir))
