@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featureflow.llm import lang_id, line_dedup, merkle, mixing, packing, pii, quality_rules, simhash
+from featureflow.llm import cotraining, lang_id, line_dedup, merkle, mixing, packing, pii, quality_rules, simhash
 from featureflow.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,6 +96,12 @@ def op7(spark, sf_dir):
     )
 
 
+@query("op9_cotraining")
+def op9(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return cotraining.score(docs, cotraining.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 @query("op10_simhash")
 def op10(spark, sf_dir):
     return simhash.near_duplicates(documents(spark, sf_dir))
