@@ -33,7 +33,10 @@ LEVELS = ("domain", "lang", "source")
 
 @dataclass(frozen=True)
 class Mix:
-    """Target of a mixture. Weights are whole numbers; names without one get `other`."""
+    """Target of a mixture. Weights are whole numbers; names without one get `other`.
+
+    A level without weights follows its own sizes, in thousandths of the parent's tokens.
+    """
 
     domains: Mapping[str, tuple[str, ...]] = field(default_factory=dict)
     weights: Mapping[str, Mapping[str, int]] = field(default_factory=dict)
@@ -58,6 +61,10 @@ PRODUCTION = Mix(
 )
 
 
+#: The mixture of the pipeline: near the sizes at hand, each document twice at most.
+PIPELINE = Mix(domains=PRODUCTION.domains, weights={"domain": {"web": 55, "books": 17, "reference": 17, "other": 11}}, max_epochs=2)
+
+
 def word_count(column: str = "text") -> Column:
     """Tokens of a text as the mixture counts them: words between ASCII white space."""
     return F.regexp_count(text_of(column), F.lit(WORD)).cast("long")
@@ -71,9 +78,12 @@ def _names(mix: Mix) -> list[Column]:
     return [domain.alias("domain"), F.coalesce(F.col("lang").cast("string"), F.lit("unknown")).alias("lang"), source.alias("source")]
 
 
-def _weight(level: str, mix: Mix) -> Column:
+def _weight(level: str, parents: list[str], mix: Mix) -> Column:
+    if not mix.weights.get(level):
+        by = ", ".join(parents) or "0"
+        return F.expr(f"1 + coalesce(1000 * tokens DIV nullif(sum(tokens) OVER (PARTITION BY {by}), 0), 0)")
     out = F.lit(mix.other)
-    for name, w in mix.weights.get(level, {}).items():
+    for name, w in mix.weights[level].items():
         out = F.when(F.col(level) == name, w).otherwise(out)
     return out.cast("long")
 
@@ -120,7 +130,7 @@ def leaf_budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     budgets, keys = None, []
     for level in LEVELS:
         below = nodes.groupBy(*keys, level).agg(F.sum("capacity").alias("capacity"), F.sum("tokens").alias("tokens"))
-        below = below.withColumn("weight", _weight(level, mix))
+        below = below.withColumn("weight", _weight(level, keys, mix))
         below = below.join(budgets, keys) if keys else below.withColumn("budget", start)
         shared = share_out(below, keys or [F.lit(0)], level)
         keys = [*keys, level]
@@ -182,15 +192,16 @@ def mix_sql(mix: Mix = PRODUCTION) -> str:
     listed = lambda names: ", ".join(f"'{n}'" for n in names)
     domain = "CASE " + " ".join(f"WHEN source IN ({listed(m)}) THEN '{d}'" for d, m in mix.domains.items()) + " ELSE 'other' END"
 
-    def weight(level: str) -> str:
+    def weight(level: str, by: str) -> str:
         cases = "".join(f" WHEN {level} = '{n}' THEN {w}" for n, w in mix.weights.get(level, {}).items())
-        return f"CASE{cases} ELSE {mix.other} END" if cases else str(mix.other)
+        return f"CASE{cases} ELSE {mix.other} END" if cases else f"1 + coalesce(1000 * tokens // nullif(sum(tokens) OVER ({by}), 0), 0)"
 
     def shared(level: str, parents: list[str], above: str) -> str:
         keys, by = ", ".join([*parents, level]), f"PARTITION BY {', '.join(parents)}" if parents else ""
         budget = f"JOIN {above} USING ({', '.join(parents)})" if parents else f"CROSS JOIN {above}"
         return f"""
-{level}_n AS (SELECT {keys}, sum(capacity)::BIGINT AS capacity, ({weight(level)})::BIGINT AS weight FROM leaves GROUP BY ALL),
+{level}_t AS (SELECT {keys}, sum(capacity)::BIGINT AS capacity, sum(tokens)::BIGINT AS tokens FROM leaves GROUP BY ALL),
+{level}_n AS (SELECT {keys}, capacity, ({weight(level, by)})::BIGINT AS weight FROM {level}_t),
 {level}_a AS (SELECT *, least(budget, sum(capacity) OVER ({by})) AS part,
   coalesce(sum(capacity) OVER ({by} ORDER BY capacity / weight, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c_before,
   sum(weight) OVER ({by} ORDER BY capacity / weight, {level} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w_from
