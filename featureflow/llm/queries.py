@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featureflow.llm import cotraining, lang_id, line_dedup, merkle, mixing, packing, pii, quality_rules, simhash
+from featureflow.llm import cotraining, lang_id, line_dedup, merkle, mixing, packing, pii, quality_rules, simhash, training_order
 from featureflow.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,6 +96,11 @@ def op7(spark, sf_dir):
     )
 
 
+@query("op8_training_order")
+def op8(spark, sf_dir):
+    return training_order.materialise(documents(spark, sf_dir))
+
+
 @query("op9_cotraining")
 def op9(spark, sf_dir):
     docs = documents(spark, sf_dir)

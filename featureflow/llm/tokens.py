@@ -17,16 +17,17 @@ _RARE_SPACE = re.compile(r"[^\S \n]")
 
 
 def _odd(text: str) -> bool:
-    """True unless each space stands alone between two visible characters."""
-    pairs = "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " "
+    """True unless each space or line feed stands alone between two visible characters (and no NUL, which marks words here)."""
+    pairs = "  " in text or " \n" in text or "\n " in text or "\n\n" in text or "\0" in text or text[0] == " " or text[-1] == " "
     return pairs or _RARE_SPACE.search(text) is not None
 
 
 class Encoder:
     """Ids of whole texts by `tokenizers`, special tokens neither added nor recognised.
 
-    Such vocabularies cut a text before every single space that stands between two
-    visible characters, so the ids of a text are those of its space-led words, and
+    Such vocabularies cut a text before every single space or line feed that stands
+    between two visible characters, and a line feed from what follows it. So the ids of a
+    text are those of its words (with the space before them) and line feeds, and
     each distinct word is encoded once. Texts with other spacing are encoded whole.
     """
 
@@ -36,28 +37,46 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
-        self._line_feed = self._tokenizer.encode("\n", add_special_tokens=False).ids
+        self._line_feed = self._plain("\n")
         self._words: dict[str, bytes] = {}
-
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in found]
-
-    def _learn(self, new: list[str]) -> None:
-        """Encode new words, 64 to a text, one to a line; words with line feeds on their own."""
-        leads = [w[1:] if w[:1] == "\0" else " " + w for w in new]
-        alone = [i for i, w in enumerate(leads) if "\n" in w or not w or len(self._line_feed) != 1]
-        skip = set(alone)
-        lines = [i for i in range(len(new)) if i not in skip]
-        self._words.update(zip([new[i] for i in alone], self._plain([leads[i] for i in alone]), strict=True))
-        for lo in range(0, len(lines), 64):
-            block = lines[lo : lo + 64]
-            text = "\n".join([leads[i] for i in block])
-            raw = self._plain([text])[0]
-            cuts = np.flatnonzero(np.frombuffer(raw, "<u4") == self._line_feed[0]).tolist()
-            starts, ends = [0, *(4 * c + 4 for c in cuts)], [*(4 * c for c in cuts), len(raw)]
-            for i, a, b in zip(block, starts, ends, strict=True):
-                self._words[new[i]] = raw[a:b]
+        self._marks: dict[str, bytes] = {}
+
+    def _plain(self, text: str) -> bytes:
+        return array("I", self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words without line feeds: 128 to a text, one to a line."""
+        found: dict[str, bytes] = {}
+        for lo in range(0, len(words), 128):
+            block = words[lo : lo + 128]
+            raw = self._plain("\n".join([w[1:] if w[0] == "\0" else " " + w for w in block]))
+            at = np.frombuffer(raw, "<u4")
+            cuts = np.flatnonzero(at == np.frombuffer(self._line_feed, "<u4")[0]) * 4
+            cuts = cuts.tolist()
+            found.update(zip(block, map(raw.__getitem__, map(slice, [0, *(c + 4 for c in cuts)], [*cuts, len(raw)])), strict=True))
+        return found
+
+    def _learn(self, new: set[str]) -> None:
+        """Closing marks after a letter are pieces of their own, so a word is its stem and its marks."""
+        known, marks, stems, parts = self._words, self._marks, set(), []
+        for word in new:
+            stem = word.rstrip(".,;:!?")
+            if len(stem) == len(word) or not stem[-1:].isalpha():
+                stems.add(word)
+                continue
+            mark = word[len(stem) :]
+            parts.append((word, stem, mark))
+            if mark not in marks:
+                marks[mark] = self._plain(mark)
+            if stem not in known:
+                stems.add(stem)
+        for odd in ("\0", "\n", ""):  # nothing before the first line feed, a line feed, an empty text
+            if odd in stems:
+                stems.remove(odd)
+                known[odd] = self._line_feed if odd == "\n" else b""
+        known.update(self._encode_words(list(stems)))
+        for word, stem, mark in parts:
+            known[word] = known[stem] + marks[mark]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """One array of unsigned 32-bit ids per text; None counts as empty."""
@@ -69,21 +88,19 @@ class Encoder:
             if text and _odd(text):
                 ends.append(None)
                 continue
-            if text:
-                at = len(flat)
-                flat += text.split(" ")
-                flat[at] = "\0" + flat[at]  # the first word has no space before it
+            if text:  # NUL before a word: there is no space before it
+                flat += ("\0" + text.replace("\n", " \n \0")).split(" ")
             ends.append(len(flat))
         got = list(map(self._words.get, flat))
         missing = [i for i, g in enumerate(got) if g is None]
         if missing:
-            self._learn(list({flat[i] for i in missing}))
+            self._learn({flat[i] for i in missing})
             for i in missing:
                 got[i] = self._words[flat[i]]
         out, at = [], 0
         for text, end in zip(texts, ends, strict=True):
             if end is None:
-                raw = self._plain([text])[0]
+                raw = self._plain(text)
             else:
                 raw, at = b"".join(got[at:end]), end
             out.append(np.frombuffer(raw, dtype="<u4"))
