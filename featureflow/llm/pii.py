@@ -4,7 +4,7 @@ Base spans come from four patterns (email, ip, card, phone), leftmost and not
 overlapping within a kind; matches that fail their kind's check are dropped.
 
 Base spans are seeds. The lexical pattern of an occurrence is the word to its left
-together with the shape of the string (digits as 9, letters as a). A bipartite
+together with the shape of the string (letters as a, digits as 9, runs of up to three as one). A bipartite
 graph joins patterns and strings by how often they meet; rounds score patterns by the
 share of known strings among all they extract and strings by the patterns that extract
 them. Strings met in a pattern that scores at least `least_score` and holds at
@@ -146,7 +146,8 @@ def _left_word(left: Column) -> Column:
 
 
 def _shape(s: Column) -> Column:
-    shape = F.regexp_replace(F.regexp_replace(s, "[0-9]", "9"), r"\p{L}+", "a")
+    short = F.regexp_replace(s, "(?<![0-9])[0-9]{1,3}(?![0-9])", "9")  # longer runs keep their length
+    shape = F.regexp_replace(F.regexp_replace(short, "[0-9]", "9"), r"\p{L}+", "a")
     return F.when(F.length(shape) > 64, F.md5(shape)).otherwise(shape)
 
 
