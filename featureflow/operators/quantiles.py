@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from featureflow.operators.windows import running
 from featureflow.session import stage
 
 #: Groups up to this many rows are ranked whole.
@@ -17,8 +18,10 @@ def exact_quantiles(
 ) -> DataFrame:
     """Interpolated quantiles per group (`by` may be empty), exact at any size.
 
-    First pass: a sketch per group gives a value bracket around every wanted rank; its
-    error bound (rows / accuracy) makes the bracket certain. Second pass: equal values are
+    First pass: a sketch per group gives a value bracket around every wanted rank. The
+    bracket reaches four times the sketch's error bound (rows / accuracy) to both sides;
+    groups of at most `accuracy` rows are ranked whole, so that this is four rows or more and
+    the bracket is certain to hold both ranks an interpolation needs. Second pass: equal values are
     counted with a map-side half; values outside the brackets fall into one cell per gap,
     so only the few distinct values inside brackets are ranked.
     """
@@ -39,7 +42,7 @@ def exact_quantiles(
         F.max("_v").alias("_max"),
         F.percentile_approx("_v", F.array(*[F.lit(m) for m in marks]), accuracy).alias("_m"),
     )
-    small = F.col("_n") <= F.lit(small_group)
+    small = F.col("_n") <= F.lit(max(small_group, accuracy))
     lows, highs = [], []
     for i, p in enumerate(probs.values()):
         lows.append(F.when(small | F.lit(p <= eps), F.col("_min")).otherwise(F.col("_m")[2 * i]))
@@ -76,10 +79,13 @@ def exact_quantiles(
     cells = with_b.groupBy(*keys, F.when(inside, F.col("_v")).otherwise(below).alias("_cell")).agg(
         F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n")
     )
-    upto = F.sum("_c").over(
-        Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    ranked = cells.withColumn("_upto", upto)
+    if by:
+        upto = F.sum("_c").over(
+            Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        )
+        ranked = cells.withColumn("_upto", upto)
+    else:  # one group: its cells are ranked in ranges if they are many
+        ranked = running(stage(cells), keys, ["_cell"], {"_upto": ("sum", "_c")})
     picks = []
     for i, p in enumerate(probs.values()):
         at = (F.col("_n") - 1) * F.lit(p)

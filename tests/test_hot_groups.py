@@ -114,3 +114,25 @@ def test_distill_is_exact(rows):
     out = SemDistill(40, "id", ["k"]).distill(rows)
     assert out.count() == 40 and out.select("id").distinct().count() == 40
     assert out.where("k = 'hot'").count() in (13, 14)
+
+
+@pytest.mark.parametrize("accuracy", [10, 100, 1000, 20_000])
+def test_quantiles_of_all_sizes(spark, accuracy):
+    import numpy as np
+
+    rnd = np.random.default_rng(9)
+    rows = []
+    for n in (1, 2, 3, 5, 17, 40, 99, 101, 400, 1003, 5000):
+        rows += [(f"even{n}", float(x)) for x in rnd.normal(size=n)]
+        rows += [(f"skew{n}", float(x)) for x in np.exp(3 * rnd.normal(size=n))]
+        rows += [(f"ties{n}", float(x)) for x in rnd.integers(0, 4, size=n)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    probs = {"a": 0.0, "b": 0.05, "c": 0.5, "d": 0.777, "e": 0.99, "f": 1.0}
+    by = {}
+    for k, v in rows:
+        by.setdefault(k, []).append(v)
+    for r in exact_quantiles(df, ["k"], "v", probs, accuracy, small_group=1).collect():
+        for name, p in probs.items():
+            assert abs(r[name] - np.quantile(by[r["k"]], p)) < 1e-9, (r["k"], name)
+    whole = exact_quantiles(df, [], "v", probs, accuracy, small_group=1).first()
+    assert all(abs(whole[n] - np.quantile([v for _, v in rows], p)) < 1e-9 for n, p in probs.items())
