@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from featureflow.catalog.registry import query
@@ -51,6 +52,46 @@ def s4f(spark, sf):
     return TR.explode_outcomes(DOC.read_trajectories(spark, path, one_per_file=False)).drop("code")
 
 
+@query(
+    "s4_indented_files",
+    oracle_with("trials") + " SELECT 'run-' || run_id AS run_id, trial, parent_trial, operator, score FROM trials WHERE run_id < 5",
+)
+def s4i(spark, sf):
+    """Whole indented files of several lines, one document each, named after their run and without a run id."""
+    trials = view(spark, sf, "trials").where("run_id < 5")
+    node = F.struct(F.col("trial"), F.col("parent_trial"), F.col("operator").alias("operator_to_evolve"))
+    runs = trials.groupBy("run_id").agg(F.collect_list(F.struct(node.alias("search_node"), "score")).alias("outcomes"))
+    text = F.to_json(F.struct("outcomes"), {"pretty": "true"})
+    path = fresh(spark, "indented")
+    # one file per run: the writer's folder gives the name, so each is written to a path of its own
+    jvm = spark.sparkContext._jvm
+    fs_path = jvm.org.apache.hadoop.fs.Path
+    for row in runs.select("run_id", text.alias("t")).collect():  # five small documents
+        part = f"{path}/write-{row['run_id']}"
+        spark.createDataFrame([(row["t"],)], "value string").coalesce(1).write.text(part)
+        fs = fs_path(part).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        found = [f.getPath() for f in fs.listStatus(fs_path(part)) if f.getPath().getName().startswith("part-")][0]
+        fs.mkdirs(fs_path(f"{path}/docs"))
+        fs.rename(found, fs_path(f"{path}/docs/run-{row['run_id']}.json"))
+    return TR.explode_outcomes(DOC.read_trajectories(spark, f"{path}/docs")).drop("code")
+
+
+@query(
+    "g8_s5_k1_long_runs",
+    oracle_with("trials") + " SELECT CAST(run_id % 3 AS VARCHAR) AS run_id, count(*) AS trials, min(score) AS low FROM trials GROUP BY 1",
+)
+def g8s5(spark, sf):
+    """Runs of many trials are written twice in parts; the newest export is read back with all its parts."""
+    t = view(spark, sf, "trials")
+    order = F.row_number().over(Window.partitionBy(F.col("run_id") % 3).orderBy("run_id", "trial"))
+    long = t.withColumn("trial", (order - 1).cast("bigint")).withColumn("run_id", F.col("run_id") % 3)
+    path = fresh(spark, "long-runs")
+    DOC.write_trajectory(long.withColumn("score", F.col("score") - 1), path)
+    DOC.write_trajectory(long, path)
+    docs = DOC.newest_files(DOC.read_trajectories(spark, path, one_per_file=False), "run_id")
+    return TR.explode_outcomes(docs).groupBy("run_id").agg(F.count(F.lit(1)).alias("trials"), F.min("score").alias("low"))
+
+
 @query(
     "s5_newest_files",
     "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'purchase'"

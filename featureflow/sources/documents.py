@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +13,8 @@ from featureflow.functions.hashing import _col
 TRAJECTORY = T.StructType(
     [
         T.StructField("run_id", T.StringType()),
+        T.StructField("export", T.StringType()),
+        T.StructField("part", T.LongType()),
         T.StructField("optimizer_args", T.MapType(T.StringType(), T.StringType())),
         T.StructField(
             "outcomes",
@@ -63,6 +67,8 @@ def parse_trajectories(df: DataFrame, text: str, keep: list[str] | None = None)
     return parsed.withColumn("_c", model).select(
         *(keep or []),
         F.col("_d.run_id").alias("run_id"),
+        F.col("_d.export").alias("export"),
+        F.coalesce(F.col("_d.part"), F.lit(0).cast("bigint")).alias("part"),
         F.col("_d.optimizer_args").alias("args"),
         F.col("_c.name").alias("model"),
         F.col("_c.parameters.temperature").alias("temperature"),
@@ -71,20 +77,27 @@ def parse_trajectories(df: DataFrame, text: str, keep: list[str] | None = None)
 
 
 def read_trajectories(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
-    """Trajectory documents of a folder: one per file, or one per line for large histories."""
-    raw = spark.read.option("wholetext", one_per_file).text(path).select(
+    """Trajectory documents of a folder: one per file, or one per line for large histories.
+
+    A document without a run id takes the name of its file.
+    """
+    raw = spark.read.text(path, wholetext=one_per_file).select(
         "value",
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_modification_time").alias("modified"),
     )
-    return parse_trajectories(raw, "value", ["file_path", "modified"])
+    docs = parse_trajectories(raw, "value", ["file_path", "modified"])
+    name = F.url_decode(F.element_at(F.split("file_path", "/"), -1))
+    return docs.withColumn("run_id", F.coalesce("run_id", F.regexp_replace(name, r"\.[^.]*$", "")))
 
 
 def newest_files(df: DataFrame, key: str, exclude: str | None = None, path: str = "file_path",
                  modified: str = "modified", priority: str | None = None) -> DataFrame:
     """One row per key: lowest priority number first, then the newest file, then the path.
 
-    Files whose name holds `exclude` are left out.
+    Files whose name holds `exclude` are left out. Documents with a column `export` (a run
+    written in several parts) are chosen by export: all parts of the chosen one stay, one
+    row per part.
     """
     if exclude:
         name = F.element_at(F.split(F.col(path), "/"), -1)
@@ -92,19 +105,27 @@ def newest_files(df: DataFrame, key: str, exclude: str | None = None, path: str
     rest = [c for c in df.columns if c != key]
     rank = -F.col(priority) if priority else F.lit(0)
     order = F.struct(rank.alias("p"), F.col(modified), F.col(path))
+    if "export" in df.columns:
+        own = F.coalesce("export", path)  # a document that doesn't say is an export of its own
+        best = df.groupBy(key).agg(F.max_by(own, order).alias("_export")).withColumnRenamed(key, "_key")
+        chosen = df.join(best, F.col(key).eqNullSafe(F.col("_key")) & (own == F.col("_export"))).drop("_key", "_export")
+        rest = [c for c in df.columns if c not in (key, "part")]
+        parts = chosen.groupBy(key, "part").agg(F.max_by(F.struct(*rest), order).alias("_r"))
+        return parts.select(key, "part", "_r.*").select(*df.columns)
     return df.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(key, "_r.*").select(*df.columns)
 
 
-def outcomes_json(trials: DataFrame, run: str = "run_id", per_document: int = 1000) -> DataFrame:
+def outcomes_json(trials: DataFrame, run: str = "run_id", per_document: int = 1000, export: str | None = None) -> DataFrame:
     """Trials → trajectory documents (G8), at most `per_document` trials in each.
 
-    A longer run spans several documents with the same run_id; readers explode the
-    outcomes, so the split is not visible to them.
+    A longer run spans several documents with the same run_id and export and their own
+    part number; readers explode the outcomes, and `newest_files` keeps all parts.
     """
+    export = export or uuid.uuid4().hex
     node = F.struct(F.col("trial"), F.col("parent_trial"), F.col("operator").alias("operator_to_evolve"))
     code = F.col("code") if "code" in trials.columns else F.lit(None).cast("string")
     outcome = F.struct(node.alias("search_node"), F.col("score"), F.struct(code.alias("generated_code")).alias("state"))
-    doc = F.struct(F.col(run).cast("string").alias("run_id"), F.col("_o").alias("outcomes"))
+    doc = F.struct(F.col(run).cast("string").alias("run_id"), F.lit(export).alias("export"), "part", F.col("_o").alias("outcomes"))
     return (
         trials.groupBy(run, F.floor(F.col("trial") / per_document).alias("part"))
         .agg(F.array_sort(F.collect_list(outcome)).alias("_o"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from featureflow.functions.hashing import _col
+from featureflow.operators.windows import running
+from featureflow.session import stage
 
 # The kinds of marked blocks in a run log.
 BLOCK_KINDS = ("NODE_CODE", "GRAPH", "NODE_PREVIEW", "VAR_PREVIEW", "EXECUTION_STATS", "NODE_INPUT_SUMMARY")
@@ -65,12 +67,27 @@ def parse_marked_blocks(df: DataFrame, text: str) -> DataFrame:
 
 
 def read_log_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """Blocks of log files of any size: files are split at the end mark, not read whole."""
+    """Blocks of log files of any size: files are split at the end mark, not read whole.
+
+    `position` counts the blocks of a file. A file whose pieces and end marks add up to more
+    than its size has no mark after its last piece; a block cut off there does not count.
+    """
     raw = spark.read.option("lineSep", BLOCK_END).text(path)
     pieces = raw.select(
-        F.col("_metadata.file_path").alias("file_path"), F.concat("value", F.lit(BLOCK_END)).alias("value")
+        F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_size").alias("_size"),
+        F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"),
+        (F.octet_length("value") + len(BLOCK_END)).alias("_bytes"), F.concat("value", F.lit(BLOCK_END)).alias("value"),
+    )
+    # only pieces that end in a block matter, and of the others their sizes
+    pieces = stage(pieces.withColumn("value", F.when(F.col("value").rlike(BLOCK), F.col("value"))))
+    ends = pieces.groupBy("file_path").agg(
+        F.max(F.struct("_block", "_row")).alias("_last"), (F.sum("_bytes") > F.max("_size")).alias("_open")
     )
-    return parse_marked_blocks(pieces, "value")
+    whole = pieces.where("value IS NOT NULL").join(ends, "file_path")
+    whole = whole.where(~(F.col("_open") & (F.struct("_block", "_row") == F.col("_last"))))
+    placed = running(whole, ["file_path"], ["_block", "_row"], {"_nth": ("count", F.lit(1))})
+    out = parse_marked_blocks(placed.select("file_path", "_nth", "value"), "value")
+    return out.withColumn("position", (F.col("_nth") - 1).cast("bigint")).drop("_nth")
 
 
 EVENT = T.StructType(

@@ -21,9 +21,8 @@ def stream_events(spark: SparkSession, folder: str, schema: T.StructType = EVENT
 
 
 def stream_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    """Marked blocks of log files as they arrive."""
-    return parse_marked_blocks(spark.readStream.option("lineSep", "##END##").text(folder)
-                               .select(F.concat("value", F.lit("##END##")).alias("value")), "value")
+    """Marked blocks of log files as they arrive; a file that arrives is whole and read as one text."""
+    return parse_marked_blocks(spark.readStream.text(folder, wholetext=True), "value")
 
 
 def with_event_time(df: DataFrame, ts: str = "ts") -> DataFrame:

@@ -144,6 +144,26 @@ def test_log_files(spark, tmp_path):
     assert sorted(r["kind"] for r in got.collect()) == ["GRAPH", "NODE_CODE"]
 
 
+def test_log_files_cut_off(spark, tmp_path):
+    block = '##NODE_CODE##\n{"code": "%s"}\n##END##\n'
+    (tmp_path / "a.log").write_text("x\n" + block % "a" + "noise ##END##\n" + block % "b" + '##NODE_CODE##\n{"code": "c"}\n')
+    (tmp_path / "b.log").write_text((block % "d" + block % "e").rstrip("\n"))
+    (tmp_path / "c.log").write_text("##NODE_CODE##\n{broken\n##END##\n" + block % "f")
+    got = [(r["file_path"][-5:], r["position"], r["fields"]["code"]) for r in LOG.read_log_blocks(spark, str(tmp_path)).collect()]
+    assert sorted(got) == [("a.log", 0, "a"), ("a.log", 1, "b"), ("b.log", 0, "d"), ("b.log", 1, "e"), ("c.log", 1, "f")]
+
+
+def test_indented_documents_take_the_name_of_their_file(spark, tmp_path):
+    import json
+
+    doc = {"outcomes": [{"search_node": {"trial": i, "parent_trial": None if not i else 0, "operator_to_evolve": "op"}, "score": 0.5 + i / 10} for i in range(3)]}
+    for name in ("first", "second"):
+        (tmp_path / f"{name}.json").write_text(json.dumps(doc, indent=2))
+    t = TR.explode_outcomes(DOC.read_trajectories(spark, str(tmp_path)))
+    assert sorted({r["run_id"] for r in t.collect()}) == ["first", "second"] and t.count() == 6
+    assert sorted((r["run_id"], r["trial"]) for r in TR.best_path(t).collect()) == [("first", 0), ("first", 2), ("second", 0), ("second", 2)]
+
+
 def test_trajectory_files(spark, tmp_path):
     import json
 
