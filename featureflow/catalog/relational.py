@@ -531,7 +531,19 @@ def a15(spark, sf):
         F.col("l_returnflag").alias("label"), F.when(q < 20, "A").when(q < 35, "N").otherwise("R").alias("pred")
     )
     out = A.classification_metrics(p, "label", "pred")
-    return out.select(*[r(c, 6).alias(c) for c in out.columns])
+    return out.select(*[r(c, 6).alias(c) for c in ("accuracy", "f1_macro", "f1_weighted")])
+
+
+@query(
+    "a15_binary_f1",
+    "SELECT round(2.0 * sum(y * p) / (sum(y) + sum(p)), 6) AS f1 FROM (SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y,"
+    " CASE WHEN l_quantity >= 35 THEN 1 ELSE 0 END AS p FROM lineitem)",
+)
+def a15b(spark, sf):
+    p = table(spark, sf, "lineitem").select(
+        (F.col("l_returnflag") == "R").cast("int").alias("y"), (F.col("l_quantity") >= 35).cast("double").alias("p")
+    )
+    return A.metrics(p, "y", "p").select(r("f1", 6).alias("f1"))
 
 
 @query(

@@ -333,6 +333,55 @@ def g1(spark, sf):
     return out.select("candidate", F.col("fold").cast("bigint").alias("fold"), r("score", 6).alias("score"), "rows")
 
 
+@query(
+    "g1_large_labels",
+    "SELECT 'parity' AS candidate, 1.0::DOUBLE AS score, count(*) AS rows FROM orders UNION ALL SELECT 'named', 1.0::DOUBLE, count(*) FROM orders",
+)
+def g1l(spark, sf):
+    """Labels near 10^9 that differ by one: the number and the text that decide them score 1."""
+    o = table(spark, sf, "orders").selectExpr("o_orderkey", "1e9 + o_orderkey % 2 AS y")
+    out = score_candidates(o, {"parity": "o_orderkey % 2", "named": "concat('p', o_orderkey % 2)"}, "y")
+    return out.select("candidate", r("score", 6).alias("score"), "rows")
+
+
+@query(
+    "q1_fill_long_values",
+    "SELECT p_partkey, p_type, CASE WHEN p_partkey % 4 = 0 THEN 'text' ELSE 'given' END AS p_type_source FROM part",
+)
+def q1l(spark, sf):
+    """Values of three and more words are found in the text that names them, among others that share their words."""
+    p = table(spark, sf, "part").withColumn("p_type", F.concat_ws(" ", F.lit("made of"), "p_type"))
+    p = p.withColumn("note", F.concat(F.lit("it was "), "p_type", F.lit(" as they say")))
+    gaps = p.withColumn("p_type", F.when(F.col("p_partkey") % 4 != 0, F.col("p_type")))
+    known = gaps.where("p_type IS NOT NULL").select("p_type").distinct()
+    gaps = gaps.join(known.withColumnRenamed("p_type", "_k"), F.col("note").contains(F.col("_k")), "left_semi")
+    out = SemFillNA("p_type", text=["note"]).fit_transform(gaps)
+    return out.select("p_partkey", F.expr("substring(p_type, 9)").alias("p_type"), "p_type_source")
+
+
+@query(
+    "q1_fill_types",
+    "WITH t AS (SELECT o_orderkey, CAST(o_orderkey % 5 AS DECIMAL(10,2)) + 0.25 AS d, CAST('2020-01-01' AS DATE) + CAST(o_orderkey % 5 AS INTEGER) AS t,"
+    " o_orderkey % 5 = 1 AS b FROM orders), g AS (SELECT *, o_orderkey % 7 = 0 AS gap FROM t),"
+    " m AS (SELECT (SELECT d FROM g WHERE NOT gap GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS md,"
+    " (SELECT t FROM g WHERE NOT gap GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS mt,"
+    " (SELECT b FROM g WHERE NOT gap GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS mb)"
+    " SELECT o_orderkey, CASE WHEN gap THEN md ELSE d END::VARCHAR AS d, CASE WHEN gap THEN mt ELSE t END::VARCHAR AS t,"
+    " CASE WHEN gap THEN mb ELSE b END AS b FROM g, m",
+)
+def q1t(spark, sf):
+    """Decimals, dates and booleans come back as the values seen."""
+    o = table(spark, sf, "orders").selectExpr(
+        "o_orderkey", "CAST(CAST(o_orderkey % 5 AS DECIMAL(10,2)) + 0.25 AS DECIMAL(10,2)) AS d",
+        "date_add(DATE'2020-01-01', CAST(o_orderkey % 5 AS INT)) AS t", "o_orderkey % 5 = 1 AS b",
+    )
+    for c in ("d", "t", "b"):
+        o = o.withColumn(c, F.when(F.col("o_orderkey") % 7 != 0, F.col(c)))
+    for c in ("d", "t", "b"):
+        o = SemFillNA(c).fit_transform(o)
+    return o.select("o_orderkey", F.col("d").cast("string").alias("d"), F.col("t").cast("string").alias("t"), "b")
+
+
 # --- programs, preparation ---------------------------------------------------------------
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from featureflow.operators import aggs
 from featureflow.operators.sampling import with_fold
+from featureflow.session import remove_path, stage, staged_path
 
 
 def boosted_classifier(y: str = "label", iterations: int = 20, depth: int = 5, seed: int = 0) -> GBTClassifier:
@@ -41,7 +42,9 @@ def evaluator(scoring: str, y: str):
         return RegressionEvaluator(labelCol=y, metricName=scoring)
     if scoring == "roc_auc":
         return BinaryClassificationEvaluator(labelCol=y, metricName="areaUnderROC")
-    names = {"accuracy": "accuracy", "f1": "f1", "f1_weighted": "f1"}
+    if scoring == "f1":  # of class 1, as `score` has it
+        return MulticlassClassificationEvaluator(labelCol=y, metricName="fMeasureByLabel", metricLabel=1.0)
+    names = {"accuracy": "accuracy", "f1_weighted": "f1"}
     return MulticlassClassificationEvaluator(labelCol=y, metricName=names[scoring])
 
 
@@ -50,22 +53,19 @@ def score(pred: DataFrame, y: str, scoring: str) -> float:
     if scoring == "roc_auc":
         return evaluator(scoring, y).evaluate(pred)
     kind = "regression" if scoring in ("mse", "r2") else "classification"
-    name = {"f1": "f1_macro"}.get(scoring, scoring)
     p = pred.withColumns({"_y": F.col(y).cast("double"), "_p": F.col("prediction").cast("double")})
-    value = aggs.metrics(p, "_y", "_p", kind=kind).first()[name]
+    value = aggs.metrics(p, "_y", "_p", kind=kind).first()[scoring]
     return float("nan") if value is None else value
 
 
 def cross_validate(pipe, df: DataFrame, y: str, k: int = 3, scoring: str = "f1", key=None, seed: int = 0) -> DataFrame:
     """(fold, score): each fold is scored by a model fitted on the others."""
-    folded = with_fold(df, k, key, seed).persist()
-    try:
-        rows = []
-        for f in range(k):
-            model = pipe.fit(folded.where(F.col("fold") != f))
-            rows.append((f, float(score(model.transform(folded.where(F.col("fold") == f)), y, scoring))))
-    finally:
-        folded.unpersist()
+    folded = stage(with_fold(df, k, key, seed))
+    rows = []
+    for f in range(k):
+        model = pipe.fit(folded.where(F.col("fold") != f))
+        rows.append((f, float(score(model.transform(folded.where(F.col("fold") == f)), y, scoring))))
+    remove_path(df.sparkSession, staged_path(folded))
     return df.sparkSession.createDataFrame(rows, "fold int, score double")
 
 

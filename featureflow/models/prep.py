@@ -7,7 +7,6 @@ from pyspark.ml.feature import (
     IDF,
     HashingTF,
     Imputer,
-    IndexToString,
     OneHotEncoder,
     RegexTokenizer,
     SQLTransformer,
@@ -26,7 +25,7 @@ CARDINALITY = 40
 class TableVectorizer:
     """Any table → `features` vector.
 
-    One pass of approximate distinct counts decides: numbers pass (mean-filled), few-valued
+    Distinct counts decide (approximate ones, exact near the threshold): numbers pass (mean-filled), few-valued
     text becomes one-hot with a slot for unseen values, other text becomes hashed words with
     idf weights, timestamps become parts, booleans 0/1. The result is a PipelineModel.
     """
@@ -43,8 +42,13 @@ class TableVectorizer:
             *[F.approx_count_distinct(c).alias(f"t{i}") for i, c in enumerate(kinds["string"])],
             *[F.count(F.col(c).cast("double")).alias(f"n{i}") for i, c in enumerate(numeric)],
         ).first()
-        low = [c for i, c in enumerate(kinds["string"]) if 0 < counts[f"t{i}"] <= self.cardinality]
-        high = [c for i, c in enumerate(kinds["string"]) if counts[f"t{i}"] > self.cardinality]
+        distinct = {c: counts[f"t{i}"] for i, c in enumerate(kinds["string"])}
+        near = [c for c, n in distinct.items() if self.cardinality / 2 < n < self.cardinality * 2]
+        if near:  # the sketch may be off by some per cent: count those exactly, in one job
+            exact = df.agg(*[F.countDistinct(c).alias(f"t{i}") for i, c in enumerate(near)]).first()
+            distinct.update({c: exact[f"t{i}"] for i, c in enumerate(near)})
+        low = [c for c, n in distinct.items() if 0 < n <= self.cardinality]
+        high = [c for c, n in distinct.items() if n > self.cardinality]
         return {**kinds, "numeric": [c for i, c in enumerate(numeric) if counts[f"n{i}"]], "low": low, "high": high}
 
     def stages(self, df: DataFrame) -> list:
@@ -127,7 +131,10 @@ class LabelCodec:
         return self.model.transform(df)
 
     def decode(self, df: DataFrame, index: str, out: str) -> DataFrame:
-        return IndexToString(inputCol=index, outputCol=out, labels=self.classes).transform(df)
+        """The class of an index; NULL for the index of unknown or missing values."""
+        if not self.classes:
+            return df.withColumn(out, F.lit(None).cast("string"))
+        return df.withColumn(out, F.get(F.array(*[F.lit(c) for c in self.classes]), F.col(index).cast("int")))
 
 
 def drop_low_variance(df: DataFrame, threshold: float = 0.0, cols: list[str] | None = None) -> DataFrame:

@@ -189,7 +189,7 @@ def profile(df: DataFrame) -> DataFrame:
 
 
 def classification_metrics(df: DataFrame, label: str, pred: str) -> DataFrame:
-    """Accuracy, macro and weighted F1 from the confusion counts (one row)."""
+    """Accuracy, F1 of class 1 (`f1`, 0 without hits), macro and weighted F1 from the confusion counts (one row)."""
     cells = df.groupBy(F.col(label).alias("l"), F.col(pred).alias("p")).agg(F.count(F.lit(1)).alias("n"))
     ends = F.explode(
         F.array(
@@ -210,6 +210,7 @@ def classification_metrics(df: DataFrame, label: str, pred: str) -> DataFrame:
     f1 = F.coalesce(F.col("f1"), F.lit(0.0))
     return per_class.agg(
         F.try_divide(F.sum("hits"), F.sum("support")).alias("accuracy"),
+        F.coalesce(F.max(F.when(F.expr("try_cast(cast(c AS string) AS double) = 1"), f1)), F.lit(0.0)).alias("f1"),
         F.avg(f1).alias("f1_macro"),
         F.try_divide(F.sum(f1 * F.col("support")), F.sum("support")).alias("f1_weighted"),
     )

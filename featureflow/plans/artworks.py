@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark.ml.feature import StringIndexerModel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from featureflow.functions.numbers import fill_by_type
 from featureflow.models.estimators import multiclass_classifier
@@ -37,10 +39,10 @@ def build(inputs: Mapping[str, DataFrame], ctx: Context) -> DataFrame:
     """Pipeline for a Learner: `prediction` is the class index, `predicted_culture` its name."""
     data = refined(inputs, ctx)
     classes = ctx.value("classes", lambda: LabelCodec("culture").fit(data.select("culture")).classes)
-    from pyspark.ml.feature import IndexToString, StringIndexerModel
-
     codec = StringIndexerModel.from_labels(classes, inputCol="culture", outputCol="label", handleInvalid="keep")
     data = codec.transform(data)
     vec = ctx.vectorize("vector", data, exclude=["object_ID", "culture", "label"])
-    out = ctx.model("culture_model", multiclass_classifier("label", trees=15, depth=6), vec)
-    return IndexToString(inputCol="prediction", outputCol="predicted_culture", labels=classes).transform(out)
+    # rows without a culture are predicted, not learned from
+    known = lambda df: multiclass_classifier("label", trees=15, depth=6).fit(df.where(F.col("culture").isNotNull()))
+    out = ctx.model("culture_model", None, vec, fit=known)
+    return out.withColumn("predicted_culture", F.get(F.array(*[F.lit(c) for c in classes]), F.col("prediction").cast("int")))

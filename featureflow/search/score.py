@@ -16,24 +16,36 @@ CHUNK = 25
 
 def candidate_types(df: DataFrame, exprs: dict[str, str]) -> tuple[dict, dict[str, str]]:
     """({name: type} of expressions the schema accepts, {name: error} of the others)."""
+    names = list(exprs)
+    try:  # one analysis serves all when all are sound
+        schema = df.select(*[F.expr(exprs[n]).alias(f"c{i}") for i, n in enumerate(names)]).schema
+        return {n: schema[f"c{i}"].dataType for i, n in enumerate(names)}, {}
+    except Exception:  # analysis errors only: nothing has run
+        if len(names) == 1:
+            return {}, {names[0]: _reason(df, exprs[names[0]])}
     good, bad = {}, {}
-    for name, e in exprs.items():
-        try:
-            good[name] = df.select(F.expr(e).alias("v")).schema["v"].dataType
-        except Exception as err:  # analysis errors only: nothing has run
-            bad[name] = str(err).splitlines()[0][:200]
+    for part in (names[: len(names) // 2], names[len(names) // 2 :]):
+        g, b = candidate_types(df, {n: exprs[n] for n in part})
+        good.update(g)
+        bad.update(b)
     return good, bad
 
 
-def score_candidates(df: DataFrame, exprs: dict[str, str], y: str, k: int = 1, key=None, seed: int = 0,
-                     centres: dict[str, tuple[float, int]] | None = None) -> DataFrame:
+def _reason(df: DataFrame, expr: str) -> str:
+    try:
+        df.select(F.expr(expr))
+    except Exception as err:
+        return str(err).splitlines()[0][:200]
+    return "not analysable"
+
+
+def score_candidates(df: DataFrame, exprs: dict[str, str], y: str, k: int = 1, key=None, seed: int = 0) -> DataFrame:
     """(candidate, fold, score, rows): strength of each candidate on each of k folds.
 
-    Numbers and booleans: |Pearson correlation| with y. Text: correlation ratio (share of the
-    spread of y between the values, as a root). One scan serves all numeric candidates of a
-    chunk with three sums each; the result has candidates x folds rows. `centres` holds
-    (mean, nulls) of the numeric candidates where a scan has found them already; sums are taken
-    around the means, so they do not cancel.
+    Numbers and booleans: |Pearson correlation| with y over the rows that have both, all
+    candidates in one scan. Text: correlation ratio (share of the spread of y between the
+    values, as a root). Sums are taken around means, so they do not cancel. The result has
+    candidates x folds rows.
     """
     types, _ = candidate_types(df, exprs)
     folded = with_fold(df, k, key, seed) if k > 1 else df.withColumn("fold", F.lit(0))
@@ -41,41 +53,17 @@ def score_candidates(df: DataFrame, exprs: dict[str, str], y: str, k: int = 1, k
     numeric = [n for n, t in types.items() if isinstance(t, NUMERIC) or t.typeName() == "boolean"]
     textual = [n for n, t in types.items() if t.typeName() == "string"]
     parts = []
-    for at in range(0, len(numeric), CHUNK):
-        names = numeric[at : at + CHUNK]
-        raw = {n: F.expr(exprs[n]).cast("double") for n in names}
-        mid = _centres(df, raw, target, centres or {})
-        if mid[""][0] is None:
-            continue
-        data = folded.where(target.isNotNull()).select(
-            "fold", target.alias("_y"), *[raw[n].alias(f"r{i}") for i, n in enumerate(names)]
-        )
-        # a missing value counts as the mean and so adds nothing to the centred sums
-        cols = []
-        for i, n in enumerate(names):
-            cols.append(F.coalesce(finite(F.col(f"r{i}"), _double()) - F.lit(mid[n][0] or 0.0), F.lit(0.0)).alias(f"c{i}"))
-            if mid[n][1]:
-                cols.append(finite(F.col(f"r{i}"), _double()).isNotNull().alias(f"k{i}"))
-        data = data.select("fold", (F.coalesce("_y", F.lit(0.0)) - F.lit(mid[""][0])).alias("_y"), *cols)
-        yy = F.col("_y")
-        aggs = [F.count(F.lit(1)).alias("n"), F.sum("_y").alias("y"), F.sum(yy * yy).alias("q")]
-        for i, n in enumerate(names):
-            x = F.col(f"c{i}")
-            aggs += [F.sum(x).alias(f"s{i}"), F.sum(x * x).alias(f"q{i}"), F.sum(x * yy).alias(f"p{i}")]
-            if mid[n][1]:  # pairs with a null take their own sums of y
-                y_of = F.when(F.col(f"k{i}"), yy)
-                aggs += [F.count(y_of).alias(f"n{i}"), F.sum(y_of).alias(f"y{i}"), F.sum(y_of * y_of).alias(f"r{i}")]
-        wide = data.groupBy("fold").agg(*aggs)
-        rows = []
-        for i, n in enumerate(names):
-            own = bool(mid[n][1])
-            cnt, sy, qy = (F.col(f"n{i}"), F.col(f"y{i}"), F.col(f"r{i}")) if own else (F.col("n"), F.col("y"), F.col("q"))
-            sx, qx, sp = F.col(f"s{i}"), F.col(f"q{i}"), F.col(f"p{i}")
-            spread = (cnt * qx - sx * sx) * (cnt * qy - sy * sy)
-            score = F.try_divide(F.abs(cnt * sp - sx * sy), F.sqrt(F.greatest(spread, F.lit(0.0))))
-            rows.append(F.struct(F.lit(n).alias("candidate"), score.alias("score"), cnt.alias("rows")))
-        parts.append(wide.select("fold", F.explode(F.array(*rows)).alias("s")).select("s.candidate", "fold", "s.score", "s.rows"))
+    if numeric:
+        values = F.array(*[finite(F.expr(exprs[n]).cast("double"), _double()) for n in numeric])
+        cells = folded.where(target.isNotNull()).select("fold", target.alias("_y"), F.posexplode(values).alias("i", "x"))
+        pairs = F.when(F.col("x").isNotNull(), F.col("_y"))
+        spread = F.sqrt(F.var_pop("x") * F.var_pop(pairs))  # a constant side gives no score
+        found = cells.groupBy("fold", "i").agg(F.try_divide(F.covar_pop("x", "_y"), spread).alias("r"), F.count(pairs).alias("rows"))
+        name = F.get(F.array(*[F.lit(n) for n in numeric]), F.col("i"))
+        parts.append(found.select(name.alias("candidate"), "fold", F.least(F.abs("r"), F.lit(1.0)).alias("score"), "rows"))
     if textual:
+        middle = df.agg(F.avg(target)).first()[0] or 0.0
+        target = target - F.lit(middle)
         v = F.explode(
             F.array(*[F.struct(F.lit(n).alias("candidate"), F.expr(exprs[n]).alias("v")) for n in textual])
         )
@@ -98,23 +86,6 @@ def score_candidates(df: DataFrame, exprs: dict[str, str], y: str, k: int = 1, k
     return out.withColumn("score", finite(F.col("score"), _double()))
 
 
-def _centres(df: DataFrame, values: dict, target, known: dict[str, tuple[float, int]]) -> dict[str, tuple]:
-    """(mean, nulls) of every candidate not known yet, and of the target under ""."""
-    open_ = {n: v for n, v in values.items() if n not in known}
-    names = list(open_)
-    data = df.select(target.alias("_y"), *[open_[n].alias(f"r{i}") for i, n in enumerate(names)])
-    data = data.select("_y", *[finite(F.col(f"r{i}"), _double()).alias(f"c{i}") for i in range(len(names))])
-    row = data.agg(
-        F.avg("_y").alias("_y"), F.count(F.lit(1)).alias("_n"),
-        *[F.avg(f"c{i}").alias(f"a{i}") for i in range(len(names))],
-        *[F.count(f"c{i}").alias(f"n{i}") for i in range(len(names))],
-    ).first()
-    out = {n: known[n] for n in values if n in known}
-    out.update({n: (row[f"a{i}"], row["_n"] - row[f"n{i}"]) for i, n in enumerate(names)})
-    out[""] = (row["_y"], 0)
-    return out
-
-
 def _double():
     from pyspark.sql.types import DoubleType
 
@@ -122,7 +93,7 @@ def _double():
 
 
 def candidate_quality(df: DataFrame, exprs: dict[str, str]) -> DataFrame:
-    """(candidate, nulls, constant, mean, fingerprint) in one scan.
+    """(candidate, nulls, constant, mean, fingerprint) in one scan per 25 candidates.
 
     Floating values that are not finite count as null. Equal fingerprints (a fold of row and
     value hashes) mark copies. The mean is NULL for text.

@@ -51,7 +51,7 @@ class SemClean(Operator):
             c = self.columns[row["i"]]
             spread = self.iqr_k * (row["q3"] - row["q1"])
             lo, hi = row["q1"] - spread, row["q3"] + spread
-            exprs[c] = f"CASE WHEN NOT {valid[c]} THEN greatest(least({quote(c)}, {hi!r}D), {lo!r}D) END"
+            exprs[c] = f"CASE WHEN {quote(c)} IS NOT NULL AND NOT {valid[c]} THEN greatest(least({quote(c)}, {hi!r}D), {lo!r}D) END"
         program.columns(**exprs)
         program.attempts.append({"operator": "sem_clean", "hint": self.hint, "columns": self.columns})
         return program

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from featureflow.functions.numbers import NUMERIC
-from featureflow.operators.aggs import group_mode
 from featureflow.operators.quantiles import exact_quantiles
 from featureflow.semantic import sqltext
 from featureflow.semantic.program import FeatureProgram, Operator, quote, text_literal
@@ -15,14 +14,13 @@ from featureflow.session import stage
 
 #: A dictionary of known values up to this size is written into the program text.
 INLINE_VALUES = 2000
-LONGEST_VALUE = 3
 
 
 class SemFillNA(Operator):
     """Fill nulls of `target` in this order; the column `<target>_source` tells which rule did it.
 
     1. `text`: a known value named in a text column (longest, then most frequent, then
-       alphabetical). Values of up to three words are found.
+       alphabetical), of any number of words.
     2. `group`: the most frequent value (numbers with existing_only=False: the median) among rows
        that agree in the context columns, dropping context columns from the right.
     3. `overall`: the same over all rows.
@@ -55,22 +53,24 @@ class SemFillNA(Operator):
                 tries.append(("text", f"_text{i}"))
 
         levels = self._ordered_context()
+        # modes of all levels come from one table of counts at the finest level
+        counts = None if median else stage(known.groupBy(*levels, F.col(t).cast("string").alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
         for depth in range(len(levels), 0, -1):
             ctx = levels[:depth]
             if median:
                 best = exact_quantiles(known, ctx, t, {"_best": 0.5})
             else:
-                best = group_mode(known, ctx, [t], "_best").withColumnRenamed(f"{t}_best", "_best")
+                per = counts.groupBy(*ctx, "_v").agg(F.sum("_c").alias("_c"))
+                best = per.groupBy(*ctx).agg(F.min(F.struct((-F.col("_c")).alias("c"), F.col("_v").alias("v")))["v"].alias("_best"))
                 best = best.withColumn("_best", F.col("_best").cast(df.schema[t].dataType))
             best = best.dropna(subset=ctx)
             name = f"level{depth}"
             program.lookup(name, stage(best), [(quote(c), c) for c in ctx], {"_best": f"_fill{depth}"})
             tries.append(("group", f"_fill{depth}"))
 
-        value = self._overall(known, median)
-        if value is not None:
-            lit = text_literal(value) if isinstance(value, str) else repr(value)
-            tries.append(("overall", f"cast({lit} AS {df.schema[t].dataType.simpleString()})"))
+        value = self._overall(known, counts, median)
+        if value is not None:  # text that casts back to the same value of the type
+            tries.append(("overall", f"cast({text_literal(value)} AS {'double' if median else df.schema[t].dataType.simpleString()})"))
         cases = " ".join(f"WHEN {e} IS NOT NULL THEN '{kind}'" for kind, e in tries)
         source = f"CASE WHEN {q} IS NOT NULL THEN 'given' {cases} END"
         program.columns(**{f"{t}_source": source})
@@ -83,12 +83,13 @@ class SemFillNA(Operator):
         program.attempts.append({"operator": "sem_fillna", "hint": self.hint, "rules": [k for k, _ in tries]})
         return program
 
-    def _overall(self, known: DataFrame, median: bool):
+    def _overall(self, known: DataFrame, counts: DataFrame | None, median: bool) -> str | None:
         if median:
-            return exact_quantiles(known, [], self.target, {"m": 0.5}).first()["m"]
-        counts = known.groupBy(self.target).count()
-        top = counts.orderBy(F.col("count").desc(), F.col(self.target)).limit(1).collect()
-        return top[0][0] if top else None
+            middle = exact_quantiles(known, [], self.target, {"m": 0.5}).first()["m"]
+            return None if middle is None else repr(middle)
+        typed = F.col("_v").cast(known.schema[self.target].dataType)
+        top = counts.groupBy("_v").agg(F.sum("_c").alias("_c")).orderBy(F.col("_c").desc(), typed).limit(1).collect()
+        return top[0]["_v"] if top else None
 
     def _dictionary(self, known: DataFrame, program: FeatureProgram) -> list[str]:
         """SQL expressions that find a known value in the text columns."""
@@ -96,17 +97,19 @@ class SemFillNA(Operator):
         counts = known.groupBy(F.col(self.target).alias("v")).agg(F.count(F.lit(1)).alias("n"))
         entries = (
             counts.select("v", "n", phrase.alias("k"))
-            .where((F.length("k") > 0) & (F.size(F.split("k", " ")) <= LONGEST_VALUE))
+            .where(F.length("k") > 0)
             .groupBy("k")
             .agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("v").alias("v"))).alias("b"))
             .select("k", F.col("b.v").alias("v"), (-F.col("b.n")).alias("n"))
         )
         entries = stage(entries)
-        grams = [sqltext.word_grams(quote(c), LONGEST_VALUE) for c in self.text]
-        if entries.count() <= INLINE_VALUES:
+        # word runs are formed in the sizes that known values have
+        sizes = entries.groupBy(F.size(F.split("k", " ")).alias("size")).agg(F.count(F.lit(1)).alias("n")).orderBy("size").collect()
+        if not sizes:
+            return []
+        grams = [sqltext.word_grams(quote(c), [r["size"] for r in sizes]) for c in self.text]
+        if sum(r["n"] for r in sizes) <= INLINE_VALUES:
             rows = entries.collect()
-            if not rows:
-                return []
             pairs = ", ".join(
                 f"{text_literal(r['k'])}, named_struct('l', {-len(r['k'].split())}, 'n', {-r['n']}, "
                 f"'v', {text_literal(r['v'])})"

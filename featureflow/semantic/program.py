@@ -116,7 +116,7 @@ def chain(*programs: FeatureProgram) -> FeatureProgram:
     for i, p in enumerate(programs):
         for step in p.steps:
             step = dict(step)
-            if step["op"] == "lookup":
+            if step.get("table") in p.tables:  # tables bound by the caller keep their names
                 step["table"] = f"p{i}_{step['table']}"
             out.steps.append(step)
         out.tables.update({f"p{i}_{n}": t for n, t in p.tables.items()})

@@ -31,13 +31,13 @@ def collision_key(c: str) -> str:
     return f"array_join(array_sort(array_distinct({words(c)})), ' ')"
 
 
-def word_grams(c: str, longest: int) -> str:
-    """All runs of 1..longest neighbouring words."""
+def word_grams(c: str, sizes: list[int]) -> str:
+    """All runs of neighbouring words of the given sizes."""
     w = words(c)
     runs = [
         f"transform(sequence(1, greatest(size(w) - {n - 1}, 0) + 1), i -> CASE WHEN i + {n - 1} <= size(w) "
         f"THEN array_join(slice(w, i, {n}), ' ') END)"
-        for n in range(1, longest + 1)
+        for n in sizes
     ]
     inner = f"array_distinct(array_compact(concat({', '.join(runs)})))"
     return f"transform(array({w}), w -> {inner})[0]"

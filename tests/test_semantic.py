@@ -154,3 +154,55 @@ def test_stream_status_equals_batch(spark, tmp_path, last, want):
     q.awaitTermination()
     got = read_updates(spark, str(tmp_path / "out"), ["run_id"]).first().asDict()
     assert got == run_status(df).first().asDict() and got["status"] == want and got["nodes"] == 4
+
+
+def test_large_dictionaries_in_a_chain(spark, tmp_path):
+    from featureflow.semantic.extract import SemExtract
+    from featureflow.semantic.program import FeatureProgram, chain
+
+    df = spark.createDataFrame([(1, "a word17 and word2400"), (2, "nothing")], "id int, t string")
+    terms = [f"word{i}" for i in range(2500)]
+    for few in (terms, terms[:100]):
+        p = SemExtract(["t"], dictionaries={"k": few}).fit(df)
+        both = chain(p)
+        want = [tuple(r) for r in p.transform(df).orderBy("id").collect()]
+        assert [tuple(r) for r in both.transform(df).orderBy("id").collect()] == want and want[0][3] >= 1
+        path = f"{tmp_path}/p{len(few)}"
+        both.save(spark, path)
+        assert [tuple(r) for r in FeatureProgram.load(spark, path).transform(df).orderBy("id").collect()] == want
+
+
+def test_long_known_values(spark):
+    rows = [(1, "the big red shop", "x"), (2, "acme", "y"), (3, "acme", "z"), (4, None, "sold by the big red shop today")]
+    df = spark.createDataFrame(rows, "id int, make string, note string")
+    got = SemFillNA("make", text=["note"]).fit_transform(df).where("id = 4").first()
+    assert got["make"] == "the big red shop" and got["make_source"] == "text"
+
+
+def test_clean_leaves_nulls(spark):
+    from featureflow.semantic.clean import SemClean
+
+    df = spark.createDataFrame([(float(i) if i else None,) for i in range(20)], "v double")
+    assert SemClean(["v"], invalid=None).fit_transform(df).where("v IS NULL").count() == 1
+
+
+def test_unknown_classes_decode_to_null(spark):
+    from featureflow.models.prep import LabelCodec
+
+    df = spark.createDataFrame([("a",), ("b",), (None,)], "c string")
+    codec = LabelCodec("c").fit(df)
+    assert [r["d"] for r in codec.decode(codec.encode(df), "label", "d").collect()] == ["a", "b", None]
+
+
+def test_one_f1_everywhere(spark):
+    from featureflow.models.estimators import evaluator, score
+
+    rows = [(1.0, 1.0)] * 4 + [(1.0, 0.0)] * 6 + [(0.0, 1.0)] * 8 + [(0.0, 0.0)] * 30
+    pred = spark.createDataFrame(rows, "y double, prediction double")
+    assert abs(score(pred, "y", "f1") - 8 / 22) < 1e-12 and abs(evaluator("f1", "y").evaluate(pred) - 8 / 22) < 1e-12
+
+
+def test_text_scores_of_large_labels(spark):
+    df = spark.range(200).selectExpr("1e9 + id % 2 AS y", "concat('p', id % 2) AS t", "id % 2 AS n")
+    got = {r["candidate"]: r["score"] for r in score_candidates(df, {"t": "t", "n": "n"}, "y").collect()}
+    assert abs(got["t"] - 1) < 1e-6 and abs(got["n"] - 1) < 1e-6
