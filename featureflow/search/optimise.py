@@ -15,7 +15,7 @@ from featureflow.models.learner import Learner
 from featureflow.operators.aggs import best_by
 from featureflow.operators.sampling import with_fold
 from featureflow.search.policies import POLICIES
-from featureflow.session import scratch_dir
+from featureflow.session import remove_path, scratch_dir, stage, staged_path
 
 TRIALS = T.StructType(
     [
@@ -89,7 +89,7 @@ def optimise(
     spark = table.sparkSession
     run_id = run_name or uuid.uuid4().hex
     path = path or f"{scratch_dir(spark)}/trials-{uuid.uuid4().hex}"
-    folded = with_fold(table, cv, key, seed, "_fold").persist()
+    folded = stage(with_fold(table, cv, key, seed, "_fold"))
     states, codes = {}, {}
     search = Search(run_id, path, states, build, operator)
     try:
@@ -111,5 +111,5 @@ def optimise(
             row = (run_id, t, parent, operator, None if value != value else float(value), json.dumps(code))
             spark.createDataFrame([row], TRIALS).write.mode("append").parquet(path)
     finally:
-        folded.unpersist()
+        remove_path(spark, staged_path(folded))
     return search

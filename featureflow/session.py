@@ -43,7 +43,8 @@ def scratch_dir(spark: SparkSession) -> str:
     known = spark.conf.get("spark.featureflow.scratch.dir", None)
     if known:
         return known
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="run-")
     spark.conf.set("spark.featureflow.scratch.dir", folder)
