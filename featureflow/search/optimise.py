@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from featureflow.models.learner import Learner
 from featureflow.operators.aggs import best_by
 from featureflow.operators.sampling import with_fold
 from featureflow.search.policies import POLICIES
+from featureflow.sources.documents import write_trajectory
 from featureflow.session import remove_path, scratch_dir, stage, staged_path
 
 TRIALS = T.StructType(
@@ -38,6 +41,7 @@ class Search:
 
     def __init__(self, run_id: str, path: str, states: dict, build: Callable, operator: str):
         self.run_id, self.path, self.states, self.build, self.operator = run_id, path, states, build, operator
+        self.settings: dict[int, dict] = {}
 
     def trials(self, spark: SparkSession) -> DataFrame:
         return spark.read.schema(TRIALS).parquet(self.path).where(F.col("run_id") == self.run_id)
@@ -49,7 +53,9 @@ class Search:
         return best_path(self.trials(spark))
 
     def best_learner(self, spark: SparkSession) -> Learner:
-        return Learner(self.build, state={self.operator: self.states[self.best(spark)["trial"]]})
+        trial = self.best(spark)["trial"]
+        own = self.settings.get(trial)
+        return Learner(partial(self.build, **own) if own else self.build, state={self.operator: self.states[trial]})
 
 
 def mutations(candidates: list[dict], how_many: int) -> Callable[[list | None, int], list[dict]]:
@@ -75,13 +81,17 @@ def optimise(
     make_state: Callable[[object, int], tuple[object, object]], num_trials: int = 10, scoring: str = "f1", cv: int = 3,
     policy: str = "tree", policy_args: dict | None = None, run_name: str | None = None, path: str | None = None,
     hpo: Callable[[Learner, int], Learner] | None = None, seed: int = 0,
+    settings: list[dict] | None = None, hpo_iterations: int = 1, n_jobs: int = 1,
 ) -> Search:
     """Run `num_trials` trials; each gets a state for `operator` and its mean k-fold score.
 
     `make_state(parent_code, trial)` returns (state, code): the state goes into the learner, the
     code (JSON-able) describes it. The input `split_on` is cut into folds by hashed `key`; other
-    inputs are whole. The next parent is a query over the trials table. `hpo` may wrap the
-    learner of a trial (inner hyper-parameter search).
+    inputs are whole. A state that is an operator is fitted on the training rows of each fold.
+    The next parent is a query over the trials table. With `settings` each trial tries
+    `hpo_iterations` of them (keyword arguments of `build`), in turn, and keeps the best; `hpo`
+    may wrap the learner of a trial instead. Up to `n_jobs` folds run at a time. At the end
+    the trials are written as a trajectory document beside the trials table.
     """
     from featureflow.models.estimators import score as score_of
 
@@ -100,16 +110,27 @@ def optimise(
                 parent = got["parent"] if got is not None else None
             state, code = make_state(codes.get(parent), t)
             states[t], codes[t] = state, code
-            scores = []
-            for f in range(cv):
+
+            def fold_score(f: int, made: Callable, state=state, t=t) -> float:
                 train = {**inputs, split_on: folded.where(F.col("_fold") != f).drop("_fold")}
                 test = {**inputs, split_on: folded.where(F.col("_fold") == f).drop("_fold")}
-                learner = Learner(build, state={operator: state})
+                learner = Learner(made, state={operator: state})
                 learner = hpo(learner, t) if hpo else learner
-                scores.append(score_of(learner.fit(train).predict(test), y, scoring))
-            value = sum(scores) / len(scores)
+                return score_of(learner.fit(train).predict(test), y, scoring)
+
+            tries = [settings[(t * hpo_iterations + i) % len(settings)] for i in range(hpo_iterations)] if settings else [{}]
+            found = []
+            for own in tries:
+                made = partial(build, **own) if own else build
+                with ThreadPoolExecutor(max(1, n_jobs)) as pool:
+                    scores = list(pool.map(lambda f, made=made: fold_score(f, made), range(cv)))
+                found.append((sum(scores) / cv, own))
+            better = min if scoring == "mse" else max
+            value, search.settings[t] = better(found, key=lambda x: x[0] if x[0] == x[0] else float("-inf") * (-1 if scoring == "mse" else 1))
             row = (run_id, t, parent, operator, None if value != value else float(value), json.dumps(code))
             spark.createDataFrame([row], TRIALS).write.mode("append").parquet(path)
     finally:
         remove_path(spark, staged_path(folded))
+    args = {"operator_name": operator, "scoring": scoring, "num_trials": num_trials, "cv": cv, "policy": policy}
+    write_trajectory(search.trials(spark), f"{path}-trajectory", args)
     return search

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featureflow.functions.hashing import key_fraction
 from featureflow.operators.columns import cols_of
+from featureflow.session import stage
 
 
 class SemAugment:
@@ -26,16 +25,14 @@ class SemAugment:
         self.y, self.key, self.target_ratio, self.scale, self.seed, self.method = y, key, target_ratio, scale, seed, method
 
     def augment(self, df: DataFrame) -> DataFrame:
-        sizes = {r[self.y]: r["n"] for r in df.groupBy(self.y).agg(F.count(F.lit(1)).alias("n")).collect()}
+        sizes = stage(df.groupBy(F.col(self.y).alias("_class")).agg(F.count(F.lit(1)).alias("_n")))
         base = df.withColumn("is_augmented", F.lit(False))
-        want = self.target_ratio * max(sizes.values(), default=0)
-        extra = F.lit(0)
-        for value, n in sizes.items():
-            per_row = max(want - n, 0.0) / n
-            whole = math.floor(per_row)
-            more = F.when(key_fraction(self.key, self.seed) < F.lit(per_row - whole), 1).otherwise(0)
-            extra = F.when(F.col(self.y).eqNullSafe(F.lit(value)), F.lit(whole) + more).otherwise(extra)
-        copies = df.withColumn("_m", extra).where("_m > 0").withColumn("_copy", F.explode(F.expr("sequence(1, _m)")))
+        want = self.target_ratio * (sizes.agg(F.max("_n")).first()[0] or 0)
+        per_row = F.greatest(F.lit(float(want)) - F.col("_n"), F.lit(0.0)) / F.col("_n")
+        more = F.when(key_fraction(self.key, self.seed) < F.col("_per") - F.floor("_per"), 1).otherwise(0)
+        marked = df.join(sizes.withColumn("_per", per_row), F.col(self.y).eqNullSafe(F.col("_class")))
+        marked = marked.withColumn("_m", (F.floor("_per") + more).cast("int")).drop("_class", "_n", "_per")
+        copies = marked.where("_m > 0").withColumn("_copy", F.explode(F.expr("sequence(1, _m)")))
         if self.method == "jitter":
             nums = [c for c in cols_of(df, "numeric") if c not in (self.y, self.key)]
             if nums:

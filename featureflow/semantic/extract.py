@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -99,7 +100,24 @@ class BatchProgram(FeatureProgram):
         return map_batches(df, self.fn, self.schema, self.size)
 
     def save(self, spark, path):
-        raise TypeError("a batch function cannot be stored as a program")
+        """Stores the import path of the function, which must be found there on loading."""
+        name = f"{self.fn.__module__}:{self.fn.__qualname__}"
+        if "<" in name or _imported(name) is not self.fn:
+            raise TypeError("only a function that can be imported by its name can be stored")
+        self.steps = [{"op": "batch", "fn": name, "schema": self.schema, "size": self.size}]
+        super().save(spark, path)
+
+
+def _imported(name: str) -> Callable:
+    module, _, path = name.partition(":")
+    out = import_module(module)
+    for part in path.split("."):
+        out = getattr(out, part)
+    return out
+
+
+def _batch(self, df: DataFrame, step: dict, bound) -> DataFrame:
+    return map_batches(df, _imported(step["fn"]), step["schema"], step["size"])
 
 
 def _dates(self, df: DataFrame, step: dict, bound) -> DataFrame:
@@ -133,6 +151,7 @@ def _terms(self, df: DataFrame, step: dict, bound) -> DataFrame:
     )
 
 
+FeatureProgram._batch = _batch
 FeatureProgram._dates = _dates
 FeatureProgram._terms = _terms
 
