@@ -10,7 +10,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Words kept per Python worker before the cache starts anew (about 200 bytes each).
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 500_000
 
 #: White space that is neither the ASCII space nor the line feed.
 _RARE_SPACE = re.compile(r"[^\S \n]")
