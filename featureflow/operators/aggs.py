@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from featureflow.functions.numbers import ratio
 from featureflow.operators.columns import cols_of
 from featureflow.operators.quantiles import exact_quantiles
+from featureflow.session import stage
 
 
 def _keys(key: str | list[str]) -> list[str]:
@@ -55,6 +56,9 @@ def segment_profile(
     approx: bool = False,
 ) -> DataFrame:
     """Row count, rounded means and rounded medians per segment; specs are {name: (column, digits)}."""
+    if medians:  # means and medians read the columns they need from one written copy, not from the plan behind them
+        used = {c for c, _ in (*means.values(), *medians.values())}
+        df = stage(df.select(by, *sorted(used - {by})))
     flat = df.groupBy(by).agg(
         F.count(F.lit(1)).alias(count), *[F.round(F.avg(c), d).alias(n) for n, (c, d) in means.items()]
     )

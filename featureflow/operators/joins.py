@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featureflow.operators.windows import running
-from featureflow.session import BROADCAST_ROWS, broadcast_if_small
+from featureflow.session import BROADCAST_BYTES, broadcast_if_small
 
 
 def merge(
@@ -48,10 +48,10 @@ def merge(
 
 
 def star_join(fact: DataFrame, dims: list[tuple[DataFrame, str]], how: str = "inner",
-              max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Fact joined to each dimension; a dimension is broadcast only after its rows were checked."""
+              max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Fact joined to each dimension; a dimension is broadcast only within a bound on its bytes."""
     for dim, key in dims:
-        fact = merge(fact, broadcast_if_small(dim, max_rows), on=key, how=how)
+        fact = merge(fact, broadcast_if_small(dim, max_bytes), on=key, how=how)
     return fact
 
 

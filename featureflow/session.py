@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side with at most this many rows may be sent to every executor.
-BROADCAST_ROWS = 500_000
+#: A side of at most this many bytes by the optimizer's statistics may be sent to every executor.
+BROADCAST_BYTES = 32 << 20
 
 
 def build_session(app: str = "featureflow", cores: str = "*", **conf) -> SparkSession:
@@ -89,6 +89,11 @@ def has_at_most(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`broadcast(df)` after its row count was checked, else `df` unchanged."""
-    return F.broadcast(df) if has_at_most(df, rows) else df
+def plan_bytes(df: DataFrame) -> int:
+    """Size of a plan's result as the optimizer sees it: file sizes, carried upwards. Runs no job."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """`broadcast(df)` if its plan is within the bound, else `df`, which Spark shuffles or sends by its own rule."""
+    return F.broadcast(df) if plan_bytes(df) <= max_bytes else df
