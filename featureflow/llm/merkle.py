@@ -108,7 +108,7 @@ def differing_paragraphs(a: Column, b: Column) -> Column:
 def with_next(docs: DataFrame, range_chars: int = RANGE_CHARS) -> DataFrame:
     """doc_id, text, print, next_text, next_print: each row with the next by descending doc_id.
 
-    Documents are dealt to ranges of doc_id of about equal size. The first row of each
+    Documents are dealt to ranges of doc_id of about equal size, one per shuffle partition or more. The first row of each
     range also goes, as a guest, to the end of the range before it, so that the row after
     a range's last is at hand and texts are shuffled once. The last range's guest is
     the first row of all.
@@ -116,7 +116,8 @@ def with_next(docs: DataFrame, range_chars: int = RANGE_CHARS) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     rows = rows.withColumn("k", F.coalesce("doc_id", F.lit(_FIRST).cast("long")))
     size = rows.agg(F.sum(F.length("text")).alias("chars"), F.count(F.lit(1)).alias("n")).first()
-    ranges = max(1, min(MOST_RANGES, size["n"], (size["chars"] or 0) // range_chars + 1))
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(1, min(MOST_RANGES, size["n"], max(tasks, (size["chars"] or 0) // range_chars + 1)))
     cuts: list[int] = []
     if ranges > 1:
         steps = [i / ranges for i in range(1, ranges)]
