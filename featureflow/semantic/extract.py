@@ -173,7 +173,7 @@ def annotate(df: DataFrame, text: str, lexicon: dict[str, list[str]] | None = No
 
     def terms(kind: str) -> Column:
         listed = F.array(*[F.lit(t) for t in lex[kind]])
-        return F.array_join(F.array_sort(F.array_intersect(w, listed)), ", ")
+        return F.array_join(F.array_sort(F.array_intersect("_hit", listed)), ", ")
 
     def matches(pattern: str) -> Column:
         found = F.regexp_extract_all(body, F.lit(pattern), F.lit(0))
@@ -181,8 +181,11 @@ def annotate(df: DataFrame, text: str, lexicon: dict[str, list[str]] | None = No
         return F.array_join(F.array_sort(F.array_distinct(tidy)), ", ")
 
     adjectives = F.size(F.filter(w, lambda x: x.isin(*lex["adjective"])))
-    # the words are a column of their own, so they are cut out of the text once
-    return df.withColumn("_w", words(body)).withColumns(
+    classes = ("cultural_group", "location", "period")
+    listed = F.array(*[F.lit(t) for t in sorted({t for kind in classes for t in lex[kind]})])
+    # the words are a column of their own, so they are cut out of the text once and met with all lists
+    # once; the few hits are then told apart by class
+    return df.withColumn("_w", words(body)).withColumn("_hit", F.array_intersect("_w", listed)).withColumns(
         {
             "ent_cultural_group": terms("cultural_group"),
             "ent_people": matches(PERSON),
@@ -191,4 +194,4 @@ def annotate(df: DataFrame, text: str, lexicon: dict[str, list[str]] | None = No
             "desc_noun_phrases": matches(PHRASE),
             "desc_adjective_density": F.coalesce(F.try_divide(adjectives, F.size(w)), F.lit(0.0)),
         }
-    ).drop("_w")
+    ).drop("_w", "_hit")
