@@ -289,6 +289,40 @@ def k8(spark, sf):
     return K.prune(nodes, edges, final)[0]
 
 
+def whole_graph(nodes, edges):
+    """Nodes and edges as rows of one table."""
+    none = F.lit(None).cast(dict(nodes.dtypes)["id"])
+    rows = nodes.select(F.lit("node").alias("kind"), "graph_id", F.col("id").alias("a"), none.alias("b"))
+    return rows.unionByName(edges.select(F.lit("edge").alias("kind"), "graph_id", F.col("source").alias("a"), F.col("target").alias("b")))
+
+
+@query(
+    "k7_contract_graph",
+    TREE.replace("WITH ", "WITH RECURSIVE ", 1) + ", walk AS (SELECT graph_id, source, target FROM edges WHERE source % 5 <> 3 UNION"
+    " SELECT w.graph_id, w.source, e.target FROM walk w JOIN edges e ON e.graph_id = w.graph_id AND e.source = w.target"
+    " WHERE w.target % 5 = 3) SELECT 'node' AS kind, graph_id, id AS a, NULL::BIGINT AS b FROM nodes WHERE id % 5 <> 3"
+    " UNION ALL SELECT DISTINCT 'edge', graph_id, source, target FROM walk WHERE target % 5 <> 3",
+)
+def k7g(spark, sf):
+    nodes, edges = graph(spark, sf)
+    return whole_graph(*K.contract(nodes, edges, nodes.where("id % 5 = 3")))
+
+
+@query(
+    "k8_prune_graph",
+    TREE + ", o AS (SELECT graph_id, max(id) AS id FROM nodes GROUP BY 1), d AS (SELECT n.graph_id, n.id FROM nodes n JOIN o USING"
+    " (graph_id) WHERE n.id <> o.id AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.graph_id = n.graph_id AND e.source = n.id)"
+    " UNION SELECT graph_id, id FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.graph_id = n.graph_id AND"
+    " (e.source = n.id OR e.target = n.id))) SELECT 'node' AS kind, graph_id, id AS a, NULL::BIGINT AS b FROM nodes ANTI JOIN d USING (graph_id, id)"
+    " UNION ALL SELECT 'edge', e.graph_id, e.source, e.target FROM edges e WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.graph_id = e.graph_id"
+    " AND (d.id = e.source OR d.id = e.target))",
+)
+def k8g(spark, sf):
+    nodes, edges = graph(spark, sf)
+    final = nodes.groupBy("graph_id").agg(F.max("id").alias("id"))
+    return whole_graph(*K.prune(nodes, edges, final))
+
+
 @query(
     "k9_levels",
     TREE.replace("WITH ", "WITH RECURSIVE ", 1) + ", w AS (SELECT graph_id, id, 0 AS level FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM"
