@@ -1,10 +1,12 @@
-"""Token ids of public byte-level BPE vocabularies, with a cache over words."""
+"""Token ids of public byte-level BPE vocabularies, with a cache over words. Vocabulary paths are parameters."""
 
 from __future__ import annotations
 
 import os
 import re
 from array import array
+from base64 import b64decode
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -22,8 +24,29 @@ def _odd(text: str) -> bool:
     return pairs or _RARE_SPACE.search(text) is not None
 
 
+def _tokenizers(path: str) -> Callable[[str], bytes]:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    return lambda text: array("I", tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+
+def _tiktoken(path: str) -> Callable[[str], bytes]:
+    import public_tokenizers
+    from tiktoken import Encoding
+
+    with open(path, "rb") as lines:
+        ranks = {b64decode(token): int(rank) for token, rank in (line.split() for line in lines)}
+    encoding = Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return lambda text: encoding.encode_to_numpy(text).astype("<u4", copy=False).tobytes()
+
+
 class Encoder:
-    """Ids of whole texts by `tokenizers`, special tokens neither added nor recognised.
+    """Ids of whole texts, special tokens neither added nor recognised.
+
+    A vocabulary file `*.tiktoken` is read by `tiktoken`, any other by `tokenizers`.
 
     Such vocabularies cut a text before every single space or line feed that stands
     between two visible characters, and a line feed from what follows it. So the ids of a
@@ -32,18 +55,11 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._plain = _tiktoken(path) if path.endswith(".tiktoken") else _tokenizers(path)
         self._line_feed = self._plain("\n")
         self._words: dict[str, bytes] = {}
         self._marks: dict[str, bytes] = {}
 
-    def _plain(self, text: str) -> bytes:
-        return array("I", self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
-
     def _encode_words(self, words: list[str]) -> dict[str, bytes]:
         """Ids of words without line feeds: 128 to a text, one to a line."""
         found: dict[str, bytes] = {}
@@ -113,7 +129,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def default_path() -> str:
+def default_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)

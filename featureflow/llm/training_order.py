@@ -76,7 +76,7 @@ def slots(numbers: np.ndarray, n: int, key: int = KEY, back: bool = False) -> np
 
 def sequences(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None) -> DataFrame:
     """The ids of `docs` in records of `length` ids, numbered (task, nth)."""
-    path = tokenizer or default_path()
+    path = tokenizer or default_path("byte_bpe_50k.tiktoken")
     fields = [f.strip().split(" ")[0] for f in SEQUENCES.split(", ")]
 
     def to_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -192,7 +192,13 @@ def write_shards(rows: DataFrame, n: int, path: str, per_shard: int = PER_SHARD,
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     got = sent.repartition(tasks, "shard").mapInArrow(_records, "shard long, slot long, record binary")
     got = got.sortWithinPartitions("shard", "slot").select("shard", F.col("record").cast("string").alias("record"))
-    got.write.partitionBy("shard").option("lineSep", chr(_CLOSE)).option("compression", "none").text(path)
+    conf, name = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, "4096")  # records are long; this bounds what a task holds of them
+    try:
+        got.write.partitionBy("shard").option("lineSep", chr(_CLOSE)).option("compression", "none").text(path)
+    finally:
+        conf.set(name, before)
 
 
 def read_shards(spark, path: str, length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:

@@ -64,10 +64,13 @@ def test_components_of_chains_and_stars(spark):
 
 def test_encoder_equals_tokenizer():
     texts = ["", "a b\nc", "a\n\nb", " a", "a  b", "x\0y \0z", "don't. it's!?", "é.\nñ,;", "tab\there", "<|endoftext|> x", "  x", "a.b.c. d", "15. 3.14,", "\n", "a\n", "😀, ok 😀."]
-    enc = tokens.Encoder(tokens.default_path())
-    for _ in range(2):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(tokens.default_path())
+    whole.encode_special_tokens = True
+    for enc in [tokens.Encoder(tokens.default_path())] * 2 + [tokens.Encoder(tokens.default_path("byte_bpe_50k.tiktoken"))]:
         for text, ids in zip(texts, enc.encode(texts), strict=True):
-            assert ids.tolist() == enc._tokenizer.encode(text, add_special_tokens=False).ids
+            assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
 # --- 1 mixing -----------------------------------------------------------------------------
