@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from featureflow.functions.hashing import _col
-from featureflow.session import has_at_most, stage
+from featureflow.session import broadcast_if_small, has_at_most, stage
 
 #: A group with more rows than this is scanned in chunks instead of in one task.
 HOT_ROWS = 5_000_000
+#: Types of order columns whose sketch gives a bound.
+SORTABLE = ("byte", "short", "integer", "long", "float", "double", "date", "timestamp", "timestamp_ntz")
 CHUNK_ROWS = 1_000_000
 
 
@@ -94,14 +96,27 @@ def rank_desc(df: DataFrame, col: str, name: str = "rank", rows: int | None = No
     """RANK() by `col` descending, nulls last.
 
     `rows` is a known bound of the row count (for example the size of the grouping
-    dimension); when absent it is checked. Larger frames are ranked by position.
+    dimension); when absent it is checked. In larger frames values are counted first, so
+    that equal values, however many, are one row of what is ranked.
     """
     small = rows <= bound if rows is not None else has_at_most(df, bound)
     if small:
         return df.withColumn(name, F.rank().over(Window.orderBy(F.col(col).desc_nulls_last())).cast("bigint"))
-    placed = global_position(df, [F.col(col).desc_nulls_last()])
-    first = placed.groupBy(F.col(col).alias("_v")).agg((F.min("_pos") + 1).alias(name))
-    return placed.join(first, placed[col].eqNullSafe(first["_v"])).drop("_v", "_pos")
+    values = stage(df.groupBy(F.col(col).alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
+    if has_at_most(values, bound):
+        upto = F.sum("_c").over(Window.orderBy(F.col("_v").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1))
+        first = values.select("_v", (F.coalesce(upto, F.lit(0)) + 1).alias(name))
+    else:
+        placed = global_position(values, [F.col("_v").desc_nulls_last()])
+        chunk = F.floor(F.col("_pos") / F.lit(bound)).cast("bigint")
+        placed = placed.withColumn("_chunk", chunk)
+        here = Window.partitionBy("_chunk").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
+        before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+        tops = placed.groupBy("_chunk").agg(F.sum("_c").alias("_t"))  # a row per chunk of values
+        tops = tops.select("_chunk", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_before"))
+        inside = placed.select("_v", "_chunk", F.coalesce(F.sum("_c").over(here), F.lit(0)).alias("_in"))
+        first = inside.join(tops, "_chunk").select("_v", (F.col("_before") + F.col("_in") + 1).alias(name))
+    return df.join(first, df[col].eqNullSafe(first["_v"])).drop("_v")
 
 
 def latest_per_key(df: DataFrame, key: str | list[str], ts: str | list[str]) -> DataFrame:
@@ -257,13 +272,45 @@ def trajectory_progress(trials: DataFrame, run: str = "run_id", hot_rows: int |
     )
 
 
-def top_per_group(df: DataFrame, part: list[str], k: int | Column, order: list, salts: int = 64) -> DataFrame:
+#: Shares of a group at which its order column is looked at before the group is shuffled.
+CUTS = (0.000001, 0.00001, 0.0001, 0.001, 0.01, 0.1)
+
+
+def _cut_by_order(df: DataFrame, part: list[str], k: int | Column, first: str, accuracy: int = 2_000_000) -> DataFrame:
+    """Without the rows that are certainly behind the first k of their group in ascending order of `first`.
+
+    A sketch gives values at fixed shares of the group; the first one behind which k
+    rows and twice the sketch's error remain in front is the bound.
+    """
+    found = df.groupBy(*[F.col(p).alias(f"_g{i}") for i, p in enumerate(part)]).agg(
+        F.count(first).alias("_n"), F.percentile_approx(first, list(CUTS), accuracy).alias("_cuts"),
+        F.max(k if isinstance(k, Column) else F.lit(k)).alias("_want"),
+    )
+    bound = F.coalesce(
+        *[F.when(F.lit(p) * F.col("_n") >= F.col("_want") + 2 + 2 * F.col("_n") / accuracy, F.col("_cuts")[i]) for i, p in enumerate(CUTS)]
+    )
+    found = stage(found.select(*[f"_g{i}" for i in range(len(part))], bound.alias("_bound")))
+    cond = F.lit(True)
+    for i, p in enumerate(part):
+        cond = cond & F.col(p).eqNullSafe(F.col(f"_g{i}"))
+    out = df.join(broadcast_if_small(found), cond)
+    # empty values come last in this order; they matter only where no bound is known
+    return out.where(F.col("_bound").isNull() | (F.col(first) <= F.col("_bound"))).select(*df.columns)
+
+
+def top_per_group(df: DataFrame, part: list[str], k: int | Column, order: list, salts: int = 64,
+                  small: int = 1_000_000) -> DataFrame:
     """The first k rows of every group in the given order (k may be a column).
 
-    Two rounds: first inside `salts` slices of the group, then among the survivors, so a
-    group of any size never meets in one task before it is cut down.
+    Beyond `small` rows a bound on the order column is found first (where that is a number
+    or a time in ascending order), and rows behind it are dropped before anything is
+    shuffled. Then two rounds: first inside `salts` slices of the group, then among the
+    survivors, so that a group of equal values meets in no one task before it is cut down.
     """
     o = _order(order)
+    plain = isinstance(order[0], str) and df.schema[order[0]].dataType.typeName() in SORTABLE
+    if plain and not has_at_most(df, small):
+        df = _cut_by_order(df, part, k, order[0])
     slice_of = F.pmod(F.xxhash64(*[c for c in df.columns if _hashable(df, c)]), F.lit(salts))
     one = Window.partitionBy(*part, "_slice").orderBy(*o)
     cut = (

@@ -103,6 +103,20 @@ def test_hash_top_n(rows, n):
     assert sorted(r["id"] for r in sample_n(rows, n, "id", 9).collect()) == got
 
 
+def test_top_per_group_cut_before_the_shuffle(spark):
+    df = spark.range(60_000).selectExpr("id % 3 AS k", "CASE WHEN id % 11 = 0 THEN NULL ELSE hash(id) % 5000 END AS v", "id")
+    for k in (1, 40, 3000):
+        want = as_set(W.top_per_group(df, ["k"], k, ["v", "id"]))
+        assert as_set(W.top_per_group(df, ["k"], k, ["v", "id"], small=0)) == want and len(want) == 3 * k
+
+
+def test_rank_of_many_equal_values(spark):
+    df = spark.range(2000).selectExpr("id", "CASE WHEN id % 9 = 0 THEN NULL ELSE id % 40 END AS v")
+    want = as_set(W.rank_desc(df, "v"))
+    assert as_set(W.rank_desc(df, "v", bound=100).select("id", "v", "rank")) == want  # counted values in one window
+    assert as_set(W.rank_desc(df, "v", bound=7).select("id", "v", "rank")) == want  # in chunks
+
+
 def test_top_per_group_salted(rows):
     got = W.top_per_group(rows, ["k"], 5, ["id"])
     w = Window.partitionBy("k").orderBy("id")
