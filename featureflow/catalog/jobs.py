@@ -258,6 +258,47 @@ def m8(spark, sf):
     return report(M.regressor("total", iterations=5).fit(train).transform(test), "total", "regression")
 
 
+@query(
+    "m6_m8_better_than_constant",
+    oracle_with("baskets", "products") + ", t AS (SELECT count(*) AS n FROM baskets WHERE EXISTS (SELECT 1 FROM products WHERE basket_ID = ID)"
+    f" AND {duck_fraction('ID', 42)} < 0.25) SELECT m AS model, n AS rows, true AS better FROM t, (VALUES ('boosted'), ('regression')) v(m)",
+)
+def m6m8(spark, sf):
+    """Held-out rows of two models, and whether they beat the majority class and the mean."""
+    train, test = L.split(stage(planted_vectors(spark, sf)), 0.25, "ID", 42)
+    flags = report(M.boosted_classifier(fraud.FLAG, iterations=5).fit(train).transform(test), fraud.FLAG)
+    share = test.agg(F.greatest(F.avg(fraud.FLAG), 1 - F.avg(fraud.FLAG)).alias("share"))
+    first = flags.select(F.lit("boosted").alias("model"), "rows", (F.col("accuracy") > F.lit(share.first()["share"])).alias("better"))
+    total = report(M.regressor("total", iterations=5).fit(train).transform(test), "total", "regression")
+    return first.unionByName(total.select(F.lit("regression").alias("model"), "rows", (F.col("r2") > 0).alias("better")))
+
+
+@query(
+    "e6_predicts_every_artwork",
+    f"SELECT count(*) AS rows, count(lang) AS known, true AS better FROM documents WHERE {duck_fraction('doc_id', 42)} < 0.25",
+)
+def e6n(spark, sf):
+    """Every seventh culture is missing: those rows are predicted too, and not learned from."""
+    art = view(spark, sf, "artworks")
+    inputs = Inputs(artworks=art.withColumn("culture", F.when(F.col("object_ID") % 7 != 0, F.col("culture"))))
+    train, test = halves(inputs, "artworks", "object_ID")
+    out = stage(Learner(artworks.build).fit(train).predict(test).select("object_ID", "predicted_culture"))
+    true = art.select("object_ID", F.col("culture").alias("truth"))
+    most = art.groupBy("culture").count().agg(F.max("count") / F.sum("count")).first()[0]
+    joined = out.join(true, "object_ID")
+    return joined.agg(
+        F.count(F.lit(1)).alias("rows"), F.count("predicted_culture").alias("known"),
+        (F.avg((F.col("predicted_culture") == F.col("truth")).cast("double")) >= F.lit(most) - 0.05).alias("better"),
+    )
+
+
+@query("m9_folds_in_range", "SELECT unnest([0, 1, 2]) AS fold, true AS in_range")
+def m9f(spark, sf):
+    data = stage(planted_vectors(spark, sf))
+    out = M.cross_validate(M.multiclass_classifier(fraud.FLAG, kind="logistic"), data, fraud.FLAG, 3, "f1", key="ID")
+    return out.select("fold", F.col("score").between(0.0, 1.0).alias("in_range"))
+
+
 @query("m9_cross_validate")
 def m9(spark, sf):
     data = planted_vectors(spark, sf)
