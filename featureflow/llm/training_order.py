@@ -31,12 +31,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featureflow.llm.common import with_package
+from featureflow.llm.common import batch_rows, with_package
 from featureflow.llm.tokens import default_path, encoder
 from featureflow.session import scratch_dir
 
 LENGTH = 2048
-PER_SHARD = 4096
+PER_SHARD = 2048
+#: Records that a task holds to compress those of a shard together.
+HELD = 8192
 END_ID = 1
 KEY = 20240229
 ROUNDS = 6
@@ -155,20 +157,29 @@ def _blocks(n: int, key: int, per_shard: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from zstandard import ZstdCompressor
 
-        press = ZstdCompressor(level=3)
-        for batch in batches:
-            at = slots(batch.column(0).to_numpy().astype(np.uint64), n, key)
+        press, kinds = ZstdCompressor(level=3), (pa.int64(), pa.binary(), pa.binary())
+        numbers: list[np.ndarray] = []
+        records: list[bytes] = []
+
+        def flush() -> pa.RecordBatch:
+            at = slots(np.concatenate(numbers).astype(np.uint64), n, key)
             order = np.argsort(at, kind="stable")
-            shard = at[order] // per_shard
-            cuts = np.flatnonzero(np.diff(shard)) + 1
-            records = batch.column(1)
+            cuts = np.flatnonzero(np.diff(at[order] // per_shard)) + 1
             rows = []
-            for part in np.split(order, cuts) if len(order) else []:
-                whole = press.compress(b"".join(records[i].as_py() for i in part.tolist()))
+            for part in np.split(order, cuts):
+                whole = press.compress(b"".join([records[i] for i in part.tolist()]))
                 rows.append((int(at[part[0]]) // per_shard, at[part].tobytes(), whole))
-            columns = list(zip(*rows, strict=True)) if rows else [(), (), ()]
-            kinds = (pa.int64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["shard", "slots", "block"])
+            numbers.clear()
+            records.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["shard", "slots", "block"])
+
+        for batch in batches:
+            numbers.append(batch.column(0).to_numpy())
+            records += batch.column(1).to_pylist()
+            if len(records) >= HELD:
+                yield flush()
+        if records:
+            yield flush()
 
     return run
 
@@ -192,13 +203,8 @@ def write_shards(rows: DataFrame, n: int, path: str, per_shard: int = PER_SHARD,
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     got = sent.repartition(tasks, "shard").mapInArrow(_records, "shard long, slot long, record binary")
     got = got.sortWithinPartitions("shard", "slot").select("shard", F.col("record").cast("string").alias("record"))
-    conf, name = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = conf.get(name)
-    conf.set(name, "4096")  # records are long; this bounds what a task holds of them
-    try:
+    with batch_rows(rows.sparkSession, 1024):
         got.write.partitionBy("shard").option("lineSep", chr(_CLOSE)).option("compression", "none").text(path)
-    finally:
-        conf.set(name, before)
 
 
 def read_shards(spark, path: str, length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:
@@ -225,7 +231,8 @@ def materialise(docs: DataFrame, path: str | None = None, length: int = LENGTH,
     spark = docs.sparkSession
     folder = f"{scratch_dir(spark)}/training-order-{uuid.uuid4().hex}"
     # written once, so that numbers can't change when a task is repeated
-    sequences(docs, length, tokenizer).write.option("compression", "zstd").parquet(f"{folder}/sequences")
+    with batch_rows(spark, 1024):
+        sequences(docs, length, tokenizer).write.option("compression", "zstd").parquet(f"{folder}/sequences")
     made, n = numbered(spark.read.parquet(f"{folder}/sequences"))
     path = path or f"{folder}/shards"
     shown = made.select("number", _slot(F.col("number"), max(n, 1), key).alias("slot"), "doc_ids", "first_start", "n_ids", "ids_crc32")
