@@ -7,7 +7,6 @@ short and a lost executor costs one round; parent chains are walked by doubling.
 from __future__ import annotations
 
 from functools import reduce
-from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,38 +60,67 @@ def validate_graphs(nodes: DataFrame, edges: DataFrame, check_cycles: bool = Tru
     )
 
 
+def _heads(left: DataFrame, inward: DataFrame) -> DataFrame:
+    """(graph_id, id, head, far): where the walk up over single parents ends, and its length.
+
+    Nodes with one incoming edge point at its source; pointers double their reach per round.
+    The head is NULL for nodes that end in a cycle or at an unknown node.
+    """
+    up = F.when(F.col("_n") == 1, F.col("_up"))
+    state = left.join(inward, [G, "id"], "left").select(
+        G, "id", F.coalesce(up, F.col("id")).alias("head"), up.isNotNull().cast("int").alias("far"), up.isNotNull().alias("_open")
+    )
+    state = stage(state)
+    size = state.groupBy(G).count().agg(F.max("count")).first()[0] or 0
+    for _ in range(size.bit_length() + 1):
+        if state.where("_open").isEmpty():
+            break
+        hop = state.select(G, F.col("id").alias("head"), F.col("head").alias("_h"), F.col("far").alias("_f"), F.col("_open").alias("_o"))
+        moved = state.join(hop, [G, "head"], "left").select(
+            G, "id",
+            F.when(F.col("_open"), F.col("_h")).otherwise(F.col("head")).alias("head"),
+            F.when(F.col("_open"), F.col("far") + F.coalesce("_f", F.lit(0))).otherwise(F.col("far")).alias("far"),
+            (F.col("_open") & F.coalesce("_o", F.lit(False)) & F.col("_h").isNotNull()).alias("_open"),
+        )
+        state = stage(moved, replaces=staged_path(state))
+    return state.select(G, "id", F.when(~F.col("_open"), F.col("head")).alias("head"), "far")
+
+
 def _peel(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(graph_id, id, level): rounds of removing nodes without open incoming edges.
+    """(graph_id, id, level): the longest distance from a root.
 
-    The level is the longest distance from a root; nodes in or behind a cycle, or behind an
-    unknown source, get NULL. Self-loops do not count.
+    Nodes in or behind a cycle, or behind an unknown source, get NULL. Self-loops do not
+    count. Runs of nodes with one parent are walked by doubling, so chains and trees take
+    as many rounds as their depth has binary digits; only where several edges meet do
+    levels go up one round at a time, over the meeting nodes alone.
     """
-    spark = nodes.sparkSession
     left = nodes.select(G, "id").distinct()
-    open_edges = edges.where("source <> target").select(G, "source", "target").distinct()
-    paths, old_edges = [], None
-    for level in count():
-        inward = open_edges.select(G, F.col("target").alias("id")).distinct().withColumn("_in", F.lit(True))
-        marked = stage(
-            left.join(inward, [G, "id"], "left").select(
-                G, "id", F.when(F.col("_in").isNull(), F.lit(level)).alias("level")
-            )
-        )
-        paths.append(staged_path(marked))
-        freed = marked.where("level IS NOT NULL")
-        if freed.limit(1).count() == 0:
-            break
-        left = marked.where("level IS NULL").select(G, "id")
-        nxt = stage(
-            open_edges.join(freed.select(G, F.col("id").alias("source")), [G, "source"], "left_anti").select(
-                G, "source", "target"
-            ),
-            replaces=old_edges,
+    links = stage(edges.where("source <> target").select(G, "source", "target").distinct())
+    inward = links.groupBy(G, F.col("target").alias("id")).agg(F.count(F.lit(1)).alias("_n"), F.max("source").alias("_up"))
+    inward = stage(inward)
+    heads = _heads(left, inward)
+    meeting = inward.where("_n > 1").select(G, F.col("id").alias("target"))
+    into = links.join(meeting, [G, "target"], "left_semi").join(heads.withColumnRenamed("id", "source"), [G, "source"], "left")
+    # one edge per (head, meeting node): the longest way; a way from nowhere keeps its node without a level
+    into = stage(into.groupBy(G, "target", "head").agg((F.max("far") + 1).alias("_w")))
+    need = into.groupBy(G, "target").agg(F.count(F.lit(1)).alias("_need"))
+    need = stage(need)
+    front = stage(left.join(inward.select(G, "id"), [G, "id"], "left_anti").withColumn("level", F.lit(0)))
+    known, paths, seen = front, [staged_path(front)], None
+    while not front.isEmpty():
+        came = into.join(front.withColumnRenamed("id", "head"), [G, "head"]).select(
+            G, "target", (F.col("level") + F.col("_w")).alias("_best"), F.lit(1).cast("bigint").alias("_got")
         )
-        open_edges, old_edges = nxt, staged_path(nxt)
-    schema = spark.read.parquet(paths[-1]).schema
-    done = spark.read.schema(schema).parquet(*paths).where("level IS NOT NULL")
-    return done.unionByName(spark.read.schema(schema).parquet(paths[-1]).where("level IS NULL"))
+        both = came if seen is None else seen.unionByName(came)
+        seen_now = stage(both.groupBy(G, "target").agg(F.max("_best").alias("_best"), F.sum("_got").alias("_got")), replaces=staged_path(seen) if seen else None)
+        ready = seen_now.join(need, [G, "target"]).where("_got = _need")
+        done = known.select(G, F.col("id").alias("target"))
+        front = stage(ready.join(done, [G, "target"], "left_anti").select(G, F.col("target").alias("id"), F.col("_best").cast("int").alias("level")))
+        seen = seen_now
+        paths.append(staged_path(front))
+        known = nodes.sparkSession.read.schema(front.schema).parquet(*paths)
+    level = known.select(G, F.col("id").alias("head"), F.col("level").alias("_l"))
+    return heads.join(level, [G, "head"], "left").select(G, "id", (F.col("_l") + F.col("far")).cast("int").alias("level"))
 
 
 def acyclic(nodes: DataFrame, edges: DataFrame) -> DataFrame:

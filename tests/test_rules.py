@@ -264,3 +264,30 @@ def test_describe_frame(spark):
     got = A.describe_frame(spark.range(12).select("id", F.lit(None).cast("string").alias("s"))).first()
     assert got["row_count"] == 12 and len(got["sample"]) == 5 and got["sample"][0]["s"] is None
     assert [f["name"] for f in got["schema"]] == ["id", "s"]
+
+
+def test_levels_by_brute_force(spark):
+    import random
+
+    rnd = random.Random(11)
+    nodes, edges, want = [], [], {}
+    for g in range(12):
+        n = rnd.randrange(1, 25)
+        own = {(rnd.randrange(n), rnd.randrange(n)) for _ in range(rnd.randrange(0, 40))}
+        if g % 3:  # without cycles
+            own = {(min(a, b), max(a, b)) for a, b in own}
+        if g % 4 == 1:
+            own.add((99, 0))  # an unknown source
+        nodes += [(g, i) for i in range(n)]
+        edges += [(g, a, b) for a, b in own]
+        level, open_ = {}, {i: {a for a, b in own if b == i and a != b} for i in range(n)}
+        while ready := [i for i in open_ if i not in level and all(a in level for a in open_[i])]:
+            for i in ready:
+                level[i] = max((level[a] + 1 for a in open_[i]), default=0)
+        want.update({(g, i): level.get(i) for i in range(n)})
+    chain = 3000
+    nodes += [(50, i) for i in range(chain)]
+    edges += [(50, i, i + 1) for i in range(chain - 1)]
+    want.update({(50, i): i for i in range(chain)})
+    got = K.levels(spark.createDataFrame(nodes, "graph_id int, id int"), spark.createDataFrame(edges, "graph_id int, source int, target int"))
+    assert {(r["graph_id"], r["id"]): r["level"] for r in got.collect()} == want
