@@ -60,7 +60,7 @@ def score_candidates(df: DataFrame, exprs: dict[str, str], y: str, k: int = 1, k
         spread = F.sqrt(F.var_pop("x") * F.var_pop(pairs))  # a constant side gives no score
         found = cells.groupBy("fold", "i").agg(F.try_divide(F.covar_pop("x", "_y"), spread).alias("r"), F.count(pairs).alias("rows"))
         name = F.get(F.array(*[F.lit(n) for n in numeric]), F.col("i"))
-        parts.append(found.select(name.alias("candidate"), "fold", F.least(F.abs("r"), F.lit(1.0)).alias("score"), "rows"))
+        parts.append(found.select(name.alias("candidate"), "fold", F.when(F.abs("r") > 1, 1.0).otherwise(F.abs("r")).alias("score"), "rows"))
     if textual:
         middle = df.agg(F.avg(target)).first()[0] or 0.0
         target = target - F.lit(middle)
