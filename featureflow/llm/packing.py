@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featureflow.llm.common import with_package
-from featureflow.llm.tokens import default_path, encoder
+from featureflow.llm.tokens import default_paths, encoder
 
 END_ID = 1
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
@@ -175,13 +175,13 @@ def pack(
     `parts` names the text columns of an example in their order and whether their
     ids bear loss (a prompt's don't); the end id bears loss as the last part does.
     """
-    path = tokenizer or default_path()
+    paths = (tokenizer, None) if tokenizer else default_paths()
     names = [f"t{i}" for i in range(len(parts))]
     rows = examples.select(F.col(key).cast("long").alias("doc_id"), *[F.col(c).cast("string").alias(n) for n, (c, _) in zip(names, parts, strict=True)])
-    return with_package(rows).mapInArrow(_packing(path, [b for _, b in parts], limits), PIECES)
+    return with_package(rows).mapInArrow(_packing(paths, [b for _, b in parts], limits), PIECES)
 
 
-def _packing(path: str, bears: Sequence[bool], limits: Limits) -> Callable:
+def _packing(paths: tuple[str, str | None], bears: Sequence[bool], limits: Limits) -> Callable:
     fields = [f.strip().split(" ")[0] for f in PIECES.split(",")]
 
     def to_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -189,7 +189,7 @@ def _packing(path: str, bears: Sequence[bool], limits: Limits) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(limits, TaskContext.get().partitionId() << 40)
-        enc, out = encoder(path), []
+        enc, out = encoder(*paths), []
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)

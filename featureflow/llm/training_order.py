@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featureflow.llm.common import batch_rows, with_package
-from featureflow.llm.tokens import default_path, encoder
+from featureflow.llm.tokens import default_paths, encoder
 from featureflow.session import scratch_dir
 
 LENGTH = 2048
@@ -78,7 +78,7 @@ def slots(numbers: np.ndarray, n: int, key: int = KEY, back: bool = False) -> np
 
 def sequences(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None) -> DataFrame:
     """The ids of `docs` in records of `length` ids, numbered (task, nth)."""
-    path = tokenizer or default_path("byte_bpe_50k.tiktoken")
+    paths = (tokenizer, None) if tokenizer else default_paths()
     fields = [f.strip().split(" ")[0] for f in SEQUENCES.split(", ")]
 
     def to_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -86,7 +86,7 @@ def sequences(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = Non
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, enc = TaskContext.get().partitionId(), encoder(path)
+        task, enc = TaskContext.get().partitionId(), encoder(*paths)
         out: list[tuple] = []
         nth, held, owners, start, size = 0, [], [], 0, 0  # of the sequence at hand
 

@@ -35,7 +35,7 @@ def roots(nodes, links):
 
 
 def plain_ids(texts):
-    return tokens.Encoder(tokens.default_path()).encode(texts)
+    return tokens.Encoder(tokens.default_paths()[0]).encode(texts)
 
 
 # --- shared helpers -----------------------------------------------------------------------
@@ -62,13 +62,15 @@ def test_components_of_chains_and_stars(spark):
     assert {n: got.get(n, n) for n in nodes} == roots(nodes, links)
 
 
-def test_encoder_equals_tokenizer():
+def test_encoder_equals_tokenizer(spark):
     texts = ["", "a b\nc", "a\n\nb", " a", "a  b", "x\0y \0z", "don't. it's!?", "é.\nñ,;", "tab\there", "<|endoftext|> x", "  x", "a.b.c. d", "15. 3.14,", "\n", "a\n", "😀, ok 😀."]
     from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(tokens.default_path())
+    whole = Tokenizer.from_file(tokens.default_paths()[0])
     whole.encode_special_tokens = True
-    for enc in [tokens.Encoder(tokens.default_path())] * 2 + [tokens.Encoder(tokens.default_path("byte_bpe_50k.tiktoken"))]:
+    texts += ["a" * 5000, " " * 5000 + "x", "\u00a0" * 3000, "w" * 999 + " " * 999 + "z", "x\u2003 y\u2028z", "ẞ\u0301a ١٢٣ ⅷ"]
+    texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    for enc in (tokens.Encoder(tokens.default_paths()[0]), tokens.Encoder(*tokens.default_paths())):
         for text, ids in zip(texts, enc.encode(texts), strict=True):
             assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids
 
