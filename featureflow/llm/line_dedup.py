@@ -104,14 +104,15 @@ def _near_removed(known: DataFrame) -> DataFrame:
         keys.groupBy("v", "n", "at").agg(F.min(F.struct("first", "id")).alias("least"), F.max("first").alias("latest"))
         .select("v", "n", "at", F.col("least.first").alias("e_first"), F.col("least.id").alias("e_id"), "latest")
     )
-    replaced = groups.where("at >= 0 AND e_first <> latest").select("v", "n", "at", "e_first", "e_id")
+    replaced = groups.where("at >= 0 AND e_first <> latest").select("v", "n", F.col("at").alias("r_at"), "e_first", "e_id", F.lit("replaced").alias("how"))
     shorter = groups.where("at < 0").select("v", "n", F.col("e_first").alias("s_first"), F.col("e_id").alias("s_id"))
-    # a replaced word: every line of the group against its earliest
-    one = keys.join(replaced, ["v", "n", "at"]).where("first > e_first").select("id", "e_id", "at", F.lit("replaced").alias("how"))
-    # a word more: the longer line against the shorter; and the shorter against the earliest longer of each group
-    two = keys.where("at >= 0").join(shorter, ["v", "n"]).where("first > s_first").select("id", F.col("s_id").alias("e_id"), "at", F.lit("longer").alias("how"))
+    # a replaced word: every line of the group against its earliest; a word more: the longer line against the shorter
+    longer = shorter.select("v", "n", F.lit(None).cast("int").alias("r_at"), F.col("s_first").alias("e_first"), F.col("s_id").alias("e_id"), F.lit("longer").alias("how"))
+    earlier = keys.where("at >= 0").join(replaced.unionByName(longer), ["v", "n"]).where("(r_at IS NULL OR r_at = at) AND first > e_first")
+    one_two = earlier.select("id", "e_id", "at", "how")
+    # and the shorter line against the earliest longer one of each group
     three = groups.where("at >= 0").join(shorter, ["v", "n"]).where("s_first > e_first").select(F.col("s_id").alias("id"), "e_id", "at", F.lit("shorter").alias("how"))
-    pairs = one.unionByName(two).unionByName(three)
+    pairs = one_two.unionByName(three)
     words = known.select("id", "ws")
     held = pairs.join(words, "id").join(words.select(F.col("id").alias("e_id"), F.col("ws").alias("es")), "e_id")
     less = lambda ws: F.concat(F.slice(ws, F.lit(1), F.col("at")), F.slice(ws, F.col("at") + 2, F.greatest(F.size(ws) - F.col("at") - 1, F.lit(0))))
