@@ -3,12 +3,18 @@
 Base spans come from four patterns (email, ip, card, phone), leftmost and not
 overlapping within a kind; matches that fail their kind's check are dropped.
 
-Base spans are seeds. The lexical pattern of an occurrence is the word to its left
-together with the shape of the string (letters as a, digits as 9, runs of up to three as one). A bipartite
-graph joins patterns and strings by how often they meet; rounds score patterns by the
-share of known strings among all they extract and strings by the patterns that extract
-them. Strings met in a pattern that scores at least `least_score` and holds at
-least `least_seeds` different seeds are added as spans of that kind.
+Base spans are seeds. An occurrence has patterns of four families: the words on both sides,
+two words to the left, or two to the right, each with a coarse class (with an at sign, or with
+four digits or more: no identifier has fewer), and the word to the left with the shape of the
+string (letters as a, digits as 9, runs of up to three as one). A bipartite graph joins
+patterns and strings by how often they meet; rounds score patterns by the share of known
+strings among all they extract and strings by the patterns that extract them (the best family
+counts). Strings met in a pattern that scores at least `least_score` and holds at least
+`least_seeds` different seeds are added as spans of that kind.
+
+Candidates are runs with a digit or an at sign, groups of such runs joined by single spaces,
+slashes, colons and brackets, and words around a bracketed at. Runs of a group are candidates
+too, but a group counts once in a pattern, and where the group is added its runs are not.
 
 All rows of a text are worked on within its row; the graph is aggregated by
 (pattern, string) before it is joined, so that a frequent word is one row per string.
@@ -38,8 +44,15 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
-#: Strings that may be identifiers: runs with a digit or an at sign.
-CANDIDATE = r"(?<![0-9A-Za-z_%+@.-])[A-Za-z_%+.-]*+[0-9@][0-9A-Za-z_%+@.-]*+"
+#: Strings that may be identifiers: runs with a digit or an at sign, and groups of them.
+_STARTS = r"(?<![0-9A-Za-z_%+@.-])"
+_RUN = r"[A-Za-z_%+.-]*+[0-9@][0-9A-Za-z_%+@.-]*+"
+_PART_AT = r"[0-9A-Za-z_%+.-]++"
+CANDIDATE = _STARTS + _RUN
+GROUP = (
+    rf"{_STARTS}{_PART_AT}(?:\x20?+[(\[](?i:at|dot)[)\]]\x20?+{_PART_AT})++"
+    rf"|(?:[(\[]|{_STARTS}){_RUN}[)\]]?+(?:(?:\x20|[/:]{{1,2}}+)?+[(\[]?+{_RUN}[)\]]?+)*+"
+)
 
 LEAST_SCORE = 0.9
 LEAST_SEEDS = 3
@@ -47,7 +60,7 @@ ROUNDS = 3
 
 
 def _spans(text: Column, pattern: str) -> Column:
-    """start, end (code points), left (up to 80 characters before) and string of all matches."""
+    """start, end (code points), left and right (up to 80 characters around) and string of all matches."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
     def placed(ms: Column) -> Column:
@@ -55,12 +68,14 @@ def _spans(text: Column, pattern: str) -> Column:
             ends = running(F.transform(ms, lambda m, i: (F.length(m) + F.length(F.get(gaps, i))).cast("long")))
 
             def span(es: Column) -> Column:
-                before = lambda i: F.concat(F.coalesce(F.get(ms, i - 1), F.lit("")), F.get(gaps, i))
+                at = lambda a, i: F.coalesce(F.get(a, i), F.lit(""))
+                before = lambda i: F.concat(at(gaps, i - 2), at(ms, i - 2), at(gaps, i - 1), at(ms, i - 1), at(gaps, i))
+                after = lambda i: F.concat(at(gaps, i + 1), at(ms, i + 1), at(gaps, i + 2), at(ms, i + 2), at(gaps, i + 3))
                 return F.transform(
                     ms,
                     lambda m, i: F.struct(
                         (F.get(es, i) - F.length(m)).alias("start"), F.get(es, i).alias("end"),
-                        F.right(before(i), F.lit(80)).alias("left"), m.alias("string"),
+                        F.right(before(i), F.lit(80)).alias("left"), m.alias("string"), F.left(after(i), F.lit(80)).alias("right"),
                     ),
                 )
 
@@ -68,7 +83,7 @@ def _spans(text: Column, pattern: str) -> Column:
 
         return let(F.split(text, pattern), between)
 
-    empty = F.expr("cast(array() as array<struct<start:bigint,end:bigint,left:string,string:string>>)")
+    empty = F.expr("cast(array() as array<struct<start:bigint,end:bigint,left:string,string:string,right:string>>)")
     return let(matches, lambda ms: F.when(F.size(ms) == 0, empty).otherwise(placed(ms)))
 
 
@@ -115,59 +130,139 @@ def _tagged(spans: Column, kind: int) -> Column:
 
 def _occurrence(x: Column, kind: Column) -> Column:
     return F.struct(
-        x["start"].alias("start"), kind.cast("int").alias("kind"), x["end"].alias("end"), x["left"].alias("left"), x["string"].alias("string")
-    )
+        x["start"].alias("start"), kind.cast("int").alias("kind"), x["end"].alias("end"), x["left"].alias("left"), x["string"].alias("string"),
+        x["right"].alias("right"), x["start"].alias("unit"), F.lit(True).alias("whole"),
+    )
 
 
 def _none() -> Column:
-    return F.expr("cast(array() as array<struct<start:bigint,kind:int,end:bigint,left:string,string:string>>)")
+    return F.expr("cast(array() as array<struct<start:bigint,kind:int,end:bigint,left:string,string:string,right:string,unit:bigint,whole:boolean>>)")
+
+
+def _core(x: Column, unit: Column, whole: Column) -> Column:
+    """A candidate without the marks at its ends and without brackets that don't belong to it."""
+
+    def cut(front: Column) -> Column:
+        rest = F.substring(x["string"], F.length(front) + 1, F.length(x["string"]))
+
+        def inner(r: Column) -> Column:
+            closed = r.rlike(r"[(\[][^()\[\]]*+[)\]]$")
+            return F.when(closed, r).otherwise(F.regexp_replace(r, r"(?<![.%_+)\]-])[.%_+)\]-]++$", ""))
+
+        def made(r: Column) -> Column:
+            start = x["start"] + F.length(front)
+            return let(inner(r), lambda s: F.struct(
+                start.alias("start"), F.lit(None).cast("int").alias("kind"), (start + F.length(s)).alias("end"),
+                F.right(F.concat(x["left"], front), F.lit(80)).alias("left"), s.alias("string"),
+                F.left(F.concat(F.substring(r, F.length(s) + 1, F.length(r)), x["right"]), F.lit(80)).alias("right"),
+                unit.alias("unit"), whole.alias("whole"),
+            ))
+
+        return let(rest, made)
+
+    # an opening bracket stays if it is closed before the end
+    return let(F.regexp_extract(x["string"], r"^(?:[.%_-]|[(\[](?![^()\[\]]*+[)\]].))*+", 0), cut)
 
 
 def _candidates(text: Column, base: Column) -> Column:
-    """Occurrences of identifier-like strings, end marks stripped, that touch no base span."""
+    """Occurrences of identifier-like strings that touch no base span: groups and the runs in them.
+
+    `unit` is the place of the group, `whole` is false for a run that is a part of one.
+    """
 
-    def core(x: Column) -> Column:
-        front = F.length(F.regexp_extract(x["string"], r"^[.%_-]*", 0))
-        inner = F.regexp_replace(x["string"], r"^[.%_-]+|[.%_+-]+$", "")
-        start = x["start"] + front
-        return F.struct(
-            start.alias("start"), F.lit(None).cast("int").alias("kind"), (start + F.length(inner)).alias("end"), x["left"].alias("left"), inner.alias("string")
-        )
+    def runs(g: Column) -> Column:
+        shifted = lambda x: F.struct(
+            (g["start"] + x["start"]).alias("start"), x["string"].alias("string"),
+            F.right(F.concat(g["left"], x["left"]), F.lit(80)).alias("left"), F.left(F.concat(x["right"], g["right"]), F.lit(80)).alias("right"),
+        )
+        return F.transform(_spans(g["string"], CANDIDATE), lambda x: _core(shifted(x), g["start"], F.lit(False)))
 
     # base spans are few and both lists are ordered by start, so each candidate meets the base spans of its row only
     free = lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    return F.filter(F.transform(_spans(text, CANDIDATE), core), lambda x: (x["start"] < x["end"]) & free(x))
+    fit = lambda x: _class(x["string"]).isNotNull() & free(x)
+
+    def both(g: Column) -> Column:
+        def chosen(w: Column) -> Column:
+            # a run as long as its group is the group; the runs of a group that touches a base span stand alone
+            parts = F.when(
+                w["string"].rlike(r"[\x20()\[\]/:]"),
+                F.transform(
+                    F.filter(runs(g), lambda x: fit(x) & ~((x["start"] == w["start"]) & (x["end"] == w["end"]))),
+                    lambda x: x.withField("whole", ~free(w)),
+                ),
+            ).otherwise(_none())
+            return F.concat(F.filter(F.array(w), fit), parts)
+
+        return let(_core(g, g["start"], F.lit(True)), chosen)
 
+    return F.flatten(F.transform(_spans(text, GROUP), both))
 
-def _left_word(left: Column) -> Column:
-    """The last word of the text before, lower case, digits as 9; empty at the start of a text."""
-    words = F.filter(F.split(F.lower(left), r"\s+"), lambda w: w != "")
-    return F.coalesce(F.regexp_replace(F.try_element_at(words, F.lit(-1)), "[0-9]", "9"), F.lit(""))
+
+def _word(words: Column, at: int) -> Column:
+    return F.coalesce(F.regexp_replace(F.try_element_at(words, F.lit(at)), "[0-9]", "9"), F.lit(""))
+
+
+def _context(text: Column) -> Column:
+    """The words of a context, lower case."""
+    return F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+
+
+def _class(s: Column) -> Column:
+    """Coarse class of a string; NULL for what is no identifier of any kind."""
+    at = s.contains("@") | s.rlike(r"(?i)[(\[]at[)\]]")
+    return F.when(at, F.lit("@")).when(F.length(_digits(s)) >= 4, F.lit("9"))
 
 
 def _shape(s: Column) -> Column:
     short = F.regexp_replace(s, "(?<![0-9])[0-9]{1,3}(?![0-9])", "9")  # longer runs keep their length
-    shape = F.regexp_replace(F.regexp_replace(short, "[0-9]", "9"), r"\p{L}+", "a")
-    return F.when(F.length(shape) > 64, F.md5(shape)).otherwise(shape)
+    return _key(F.regexp_replace(F.regexp_replace(short, "[0-9]", "9"), r"\p{L}+", "a"))
+
+
+def _key(s: Column) -> Column:
+    return F.when(F.length(s) > 64, F.md5(s)).otherwise(s)
+
+
+def _patterns(left: Column, right: Column, string: Column) -> Column:
+    """Array of (family, pattern); contexts without any word are none."""
+
+    def pattern(family: int, *parts: Column) -> Column:
+        return F.struct(F.lit(family).alias("family"), F.concat_ws("\x01", *parts).alias("pattern"))
+
+    def made(l1: Column, l2: Column, r1: Column, r2: Column) -> Column:
+        cls = _class(string)
+        return F.array_compact(F.array(
+            pattern(0, l1, _shape(string)),
+            F.when((l1 != "") | (r1 != ""), pattern(1, l1, r1, cls)),
+            F.when(l1 != "", pattern(2, l2, l1, cls)),
+            F.when(r1 != "", pattern(3, r1, r2, cls)),
+        ))
+
+    return let(_context(left), lambda ls: let(_context(right), lambda rs: made(_word(ls, -1), _word(ls, -2), _word(rs, 1), _word(rs, 2))))
 
 
 def bootstrap(seen: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS) -> tuple[DataFrame, DataFrame]:
-    """Scores of patterns (left, shape, kind, score, seeds) and of strings (string, kind, score).
+    """Scores of patterns (family, pattern, kind, score, seeds) and of strings (string, kind, score).
 
-    `seen`: one row per occurrence with left, shape, string and kind (NULL: not known).
+    `seen`: one row per occurrence with patterns, string, whole and kind (NULL: not known).
     """
-    edges = stage(seen.groupBy("left", "shape", "string").agg(F.count(F.lit(1)).alias("n")))
+    by = ["family", "pattern"]
+    met = seen.select("string", "whole", F.explode("patterns").alias("p")).select("p.*", "string", "whole")
+    # parts of a group are scored, but it is the group that counts for its patterns
+    edges = stage(met.groupBy(*by, "string").agg(F.count(F.lit(1)).alias("n"), F.count_if("whole").alias("n_whole")))
     known = stage(seen.where("kind IS NOT NULL").select("string", "kind").distinct().withColumn("score", F.lit(1.0)))
-    totals = stage(edges.groupBy("left", "shape").agg(F.sum("n").alias("total")))
-    weights = edges.groupBy("string").agg(F.sum("n").alias("total"))
-    seeds = edges.join(known, "string").groupBy("left", "shape", "kind").agg(F.count(F.lit(1)).alias("seeds"))
+    totals = stage(edges.groupBy(*by).agg(F.sum("n_whole").alias("total")))
+    weights = stage(seen.groupBy("string").agg(F.count(F.lit(1)).alias("total")))
+    seeds = edges.join(known, "string").groupBy(*by, "kind").agg(F.count(F.lit(1)).alias("seeds"))
     seeds = stage(seeds.where(F.col("seeds") >= least_seeds))
+    # edges of patterns without seeds lead nowhere
+    edges = stage(edges.join(seeds.select(*by).distinct(), by, "left_semi"))
     strings = known
     for _ in range(rounds):
-        good = edges.join(strings, "string").groupBy("left", "shape", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("good"))
-        patterns = good.join(seeds, ["left", "shape", "kind"]).join(totals, ["left", "shape"])
-        patterns = stage(patterns.select("left", "shape", "kind", "seeds", (F.col("good") / (F.col("total") + 1)).alias("score")))
-        reached = edges.join(patterns, ["left", "shape"]).groupBy("string", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("s"))
+        good = edges.join(strings, "string").groupBy(*by, "kind").agg(F.sum(F.col("n_whole") * F.col("score")).alias("good"))
+        patterns = good.join(seeds, [*by, "kind"]).join(totals, by)
+        patterns = stage(patterns.select(*by, "kind", "seeds", (F.col("good") / (F.col("total") + 1)).alias("score")))
+        reached = edges.join(patterns, by).groupBy("string", "kind", "family").agg(F.sum(F.col("n") * F.col("score")).alias("s"))
+        reached = reached.groupBy("string", "kind").agg(F.max("s").alias("s"))
         scored = reached.join(weights, "string").select("string", "kind", (F.col("s") / F.col("total")).alias("score"))
         strings = stage(known.unionByName(scored.join(known, ["string", "kind"], "left_anti")))
     return patterns, strings
@@ -176,19 +271,24 @@ def bootstrap(seen: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SE
 def find(docs: DataFrame, least_score: float = LEAST_SCORE, least_seeds: int = LEAST_SEEDS, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, `base` and `added`: ordered arrays of (start, kind, end) of every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    hint = F.col("text").rlike("[0-9@]")
+    hint = F.col("text").rlike(r"[0-9@]|[(\[](?i:at)[)\]]")
     rows = rows.select("doc_id", "text", F.explode(F.array(F.when(hint, base_spans(F.col("text"))).otherwise(_none()))).alias("base"))
     rows = rows.withColumn("maybe", F.when(hint, _candidates(F.col("text"), F.col("base"))).otherwise(_none()))
     # row numbers and spans are written out once; texts are not needed again
     rows = stage(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "base", "maybe"))
     seen = rows.select("row", F.explode(F.concat("base", "maybe")).alias("o")).select("row", "o.*")
-    seen = stage(seen.select("row", "start", "end", "kind", "string", _left_word(F.col("left")).alias("left"), _shape(F.col("string")).alias("shape")))
+    seen = stage(seen.select("row", "start", "end", "unit", "whole", "kind", _key(F.col("string")).alias("string"), _patterns(F.col("left"), F.col("right"), F.col("string")).alias("patterns")))
     patterns, strings = bootstrap(seen, rounds, least_seeds)
-    sure = patterns.where(F.col("score") >= least_score).select("left", "shape", F.col("kind").alias("new_kind"), "score")
+    sure = patterns.where(F.col("score") >= least_score).select("family", "pattern", F.col("kind").alias("new_kind"), "score")
     likely = strings.where(F.col("score") >= least_score).select("string", F.col("kind").alias("new_kind"))
-    found = seen.where("kind IS NULL").join(sure, ["left", "shape"]).join(likely, ["string", "new_kind"], "left_semi")
-    best = found.groupBy("row", "start", "end").agg(F.max_by("new_kind", F.struct("score", -F.col("new_kind"))).alias("kind"))
-    added = best.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("added"))
+    maybe = seen.where("kind IS NULL").select("row", "start", "end", "unit", "string", F.explode("patterns").alias("p")).select("*", "p.*").drop("p")
+    found = maybe.join(sure, ["family", "pattern"]).join(likely, ["string", "new_kind"], "left_semi")
+    best = found.groupBy("row", "unit", "start", "end").agg(F.max_by("new_kind", F.struct("score", -F.col("new_kind"))).alias("kind"))
+    # of a group and its runs, found both, the group stays
+    spans = best.groupBy("row", "unit").agg(F.collect_list(F.struct("start", "kind", "end")).alias("x"), F.min("start").alias("lo"), F.max("end").alias("hi"))
+    group = F.filter("x", lambda o: (o["start"] == F.col("lo")) & (o["end"] == F.col("hi")))
+    spans = spans.select("row", F.explode(let(group, lambda g: F.when(F.size(g) > 0, g).otherwise(F.col("x")))).alias("o"))
+    added = spans.groupBy("row").agg(F.array_sort(F.collect_list("o")).alias("added"))
     out = rows.join(added, "row", "left")
     short = F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
     none = F.expr("cast(array() as array<struct<start:bigint,kind:int,end:bigint>>)")

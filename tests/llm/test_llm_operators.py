@@ -194,6 +194,29 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert added == {"server host 300.1.3.4 is up": "ip:12:21"}
 
 
+def test_contexts_discover_forms_of_no_base_pattern(spark):
+    rows = [f"please write to mail: user{i}x{i * 7}@site{i % 9}.org today" for i in range(30)]
+    rows += [f"the office phone is +49 30 {i + 100} {i * 37 + 1000} for all calls" for i in range(40)]
+    rows += [f"server host {i % 250}.{i}.3.4 is up" for i in range(30)]
+    unseen = {
+        "please write to mail: someone@localhost today": "someone@localhost",
+        "please write to mail: someone [at] example [dot] org today": "someone [at] example [dot] org",
+        "the office phone is 030 1234 5678 for all calls": "030 1234 5678",
+        "the office phone is (030) 1234-567 for all calls": "(030) 1234-567",
+        "the office phone is 4930.1234.5678 for all calls": "4930.1234.5678",
+        "server host 300.1.3.4 is up": "300.1.3.4",
+    }
+    other = ["in the year 1998 they met", "the sum is 12 345 678 of all", "mail: someone@intranet now", "the office phone is 12 years old"]
+    texts = [*rows, *unseen, *other]
+    got = pii.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    added = {}
+    for r in got:
+        if r.n_added:
+            text = texts[r.doc_id]
+            added[text] = [text[int(a) : int(b)] for _, a, b in (x.split(":") for x in r.spans.split(","))]
+    assert added == {text: [string] for text, string in unseen.items()}
+
+
 # --- 5 packing ----------------------------------------------------------------------------
 
 
