@@ -27,10 +27,10 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featureflow.llm.common import with_package
+from featureflow.llm.common import text_of, with_package
 from featureflow.llm.components import components
 from featureflow.session import stage
 
@@ -64,16 +64,23 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(bits.view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row."""
+def _tie(text: str = "text") -> Column:
+    """Tells rows that repeat a doc_id with different texts apart."""
+    return F.xxhash64(text_of(text))
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, tied: bool = False) -> DataFrame:
+    """doc_id and fp (the fingerprint as a signed long) of every row, with `tied` also tie, a hash of its text."""
+    names = ["doc_id", "fp", "tie"] if tied else ["doc_id", "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64)), *batch.columns[2:]], names)
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return with_package(texts).mapInArrow(run, "doc_id long, fp long")
+    tie = [_tie().alias("tie")] if tied else []
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *tie)
+    return with_package(texts).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def _close_pairs(
@@ -238,30 +245,39 @@ def _descend(rows: DataFrame, max_bits: int) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id for every row of `docs`."""
-    prints = stage(fingerprints(docs, shingle))
+def _classed(docs: DataFrame, shingle: int, max_bits: int, tied: bool = False) -> DataFrame:
+    """The columns of `fingerprints` with root and component_id of every row's class."""
+    prints = stage(fingerprints(docs, shingle, tied))
     distinct = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     star = components(close_links(distinct, max_bits))
     rooted = distinct.join(star.withColumnRenamed("node", "fp"), "fp", "left")
     rooted = rooted.select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    member = rooted.join(least, "root").select("fp", "component_id")
-    out = prints.join(member, "fp")
+    member = rooted.join(least, "root").select("fp", "root", "component_id")
+    return prints.join(member, "fp")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id for every row of `docs`."""
+    out = _classed(docs, shingle, max_bits)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of `docs`, all columns, one for each class: that of its smallest doc_id.
 
-    Rows that repeat this doc_id count as copies and one of them stays. Rows
-    without a doc_id can't be named as copies of one another; they all stay.
+    Rows that repeat a doc_id and its text are copies and one of them stays; with
+    another text they stand for themselves, in the class of that text. Rows without
+    a doc_id can't be named as copies of one another; they all stay.
     """
     names = docs.columns
-    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    key = F.col(f"c{names.index('doc_id')}")
+    at = {n: f"c{i}" for i, n in enumerate(names)}
+    plain = docs.toDF(*at.values())
+    key = F.col(at["doc_id"])
     named = docs.where(F.col("doc_id").isNotNull())
-    stays = near_duplicates(named, shingle, max_bits).where("doc_id = component_id").select(F.col("doc_id").alias("keep_id")).distinct()
-    out = plain.join(stays, key == F.col("keep_id"), "left_semi").dropDuplicates([f"c{names.index('doc_id')}"])
-    out = out.unionByName(plain.where(key.isNull()))
+    first = _classed(named, shingle, max_bits, tied=True).groupBy("root").agg(F.min(F.struct("doc_id", "tie")).alias("x"))
+    stays = first.select(F.col("x.doc_id").alias("keep_id"), F.col("x.tie").alias("keep_tie"))
+    rows = plain.withColumn("tie", _tie(at["text"]))
+    out = rows.join(stays, (key == F.col("keep_id")) & (F.col("tie") == F.col("keep_tie")), "left_semi").dropDuplicates([at["doc_id"], "tie"])
+    out = out.drop("tie").unionByName(plain.where(key.isNull()))
     return out.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])

@@ -428,6 +428,14 @@ def test_classes_by_brute_force(spark, sf):
     assert {r.doc_id: (int(r.fingerprint, 16), r.component_id) for r in got} == {d: (prints[d], want[d]) for d in docs}
 
 
+def test_repeated_ids_keep_one_row_of_each_class(spark):
+    rnd = random.Random(9)
+    a, b, c = (" ".join(rnd.choice("abcdefgh") * rnd.randrange(1, 9) for _ in range(60)) for _ in range(3))
+    rows = [(1, a), (1, a), (1, b), (2, b), (3, c), (3, a)]
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted([(1, a), (1, b), (3, c)])
+
+
 # --- the pipeline -------------------------------------------------------------------------
 
 
