@@ -52,28 +52,33 @@ def s4f(spark, sf):
     return TR.explode_outcomes(DOC.read_trajectories(spark, path, one_per_file=False)).drop("code")
 
 
+def indented_runs(spark, sf):
+    """Whole indented files of several lines, one document each, in folders named after their run and without a run id."""
+    trials = view(spark, sf, "trials")
+    node = F.struct(F.col("trial"), F.col("parent_trial"), F.col("operator").alias("operator_to_evolve"))
+    runs = trials.groupBy("run_id").agg(F.collect_list(F.struct(node.alias("search_node"), "score")).alias("outcomes"))
+    text = F.to_json(F.struct("outcomes"), {"pretty": "true"})
+    path = fresh(spark, "indented")
+    # a run is one row, so the writer makes one file in its folder
+    runs.select(F.concat(F.lit("run-"), F.col("run_id").cast("string")).alias("run"), text.alias("value")).write.partitionBy("run").text(path)
+    return TR.explode_outcomes(DOC.read_trajectories(spark, path)).drop("code")
+
+
+@query(
+    "s4_indented_files_all_runs",
+    oracle_with("trials") + " SELECT 'run-' || run_id AS run_id, trial, parent_trial, operator, score FROM trials",
+)
+def s4ia(spark, sf):
+    return indented_runs(spark, sf)
+
+
 @query(
     "s4_indented_files",
     oracle_with("trials") + " SELECT 'run-' || run_id AS run_id, trial, parent_trial, operator, score FROM trials WHERE run_id < 5",
 )
 def s4i(spark, sf):
-    """Whole indented files of several lines, one document each, named after their run and without a run id."""
-    trials = view(spark, sf, "trials").where("run_id < 5")
-    node = F.struct(F.col("trial"), F.col("parent_trial"), F.col("operator").alias("operator_to_evolve"))
-    runs = trials.groupBy("run_id").agg(F.collect_list(F.struct(node.alias("search_node"), "score")).alias("outcomes"))
-    text = F.to_json(F.struct("outcomes"), {"pretty": "true"})
-    path = fresh(spark, "indented")
-    # one file per run: the writer's folder gives the name, so each is written to a path of its own
-    jvm = spark.sparkContext._jvm
-    fs_path = jvm.org.apache.hadoop.fs.Path
-    for row in runs.select("run_id", text.alias("t")).collect():  # five small documents
-        part = f"{path}/write-{row['run_id']}"
-        spark.createDataFrame([(row["t"],)], "value string").coalesce(1).write.text(part)
-        fs = fs_path(part).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        found = [f.getPath() for f in fs.listStatus(fs_path(part)) if f.getPath().getName().startswith("part-")][0]
-        fs.mkdirs(fs_path(f"{path}/docs"))
-        fs.rename(found, fs_path(f"{path}/docs/run-{row['run_id']}.json"))
-    return TR.explode_outcomes(DOC.read_trajectories(spark, f"{path}/docs")).drop("code")
+    """The runs its DuckDB text names, out of all runs written and read back."""
+    return indented_runs(spark, sf).where("cast(substring(run_id, 5) AS bigint) < 5")
 
 
 @query(

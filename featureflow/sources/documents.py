@@ -79,7 +79,7 @@ def parse_trajectories(df: DataFrame, text: str, keep: list[str] | None = None)
 def read_trajectories(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
     """Trajectory documents of a folder: one per file, or one per line for large histories.
 
-    A document without a run id takes the name of its file.
+    A document without a run id takes the name of its folder run=..., else that of its file.
     """
     raw = spark.read.text(path, wholetext=one_per_file).select(
         "value",
@@ -88,7 +88,10 @@ def read_trajectories(spark: SparkSession, path: str, one_per_file: bool = True)
     )
     docs = parse_trajectories(raw, "value", ["file_path", "modified"])
     name = F.url_decode(F.element_at(F.split("file_path", "/"), -1))
-    return docs.withColumn("run_id", F.coalesce("run_id", F.regexp_replace(name, r"\.[^.]*$", "")))
+    # Spark's writer escapes folder names once more than paths are
+    decoded = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    folder = F.nullif(decoded(decoded(F.regexp_extract("file_path", r"/run=([^/]+)/[^/]+$", 1))), F.lit(""))
+    return docs.withColumn("run_id", F.coalesce("run_id", folder, F.regexp_replace(name, r"\.[^.]*$", "")))
 
 
 def newest_files(df: DataFrame, key: str, exclude: str | None = None, path: str = "file_path",

@@ -164,6 +164,15 @@ def test_indented_documents_take_the_name_of_their_file(spark, tmp_path):
     assert sorted((r["run_id"], r["trial"]) for r in TR.best_path(t).collect()) == [("first", 0), ("first", 2), ("second", 0), ("second", 2)]
 
 
+def test_documents_of_all_runs_take_the_name_of_their_folder(spark, tmp_path):
+    text = '{\n  "outcomes": [{"search_node": {"trial": 0},\n  "score": 0.5}]\n}'
+    names = [f"run-{i}" for i in range(12)] + ["a b:c%2B+d"]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame([(n, text) for n in names], "run string, value string").write.partitionBy("run").text(path)
+    got = TR.explode_outcomes(DOC.read_trajectories(spark, path)).collect()
+    assert sorted(r["run_id"] for r in got) == sorted(names) and {(r["trial"], r["score"]) for r in got} == {(0, 0.5)}
+
+
 def test_trajectory_files(spark, tmp_path):
     import json
 
