@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featureflow.llm import cotraining, lang_id, line_dedup, merkle, mixing, packing, pii, quality_rules, simhash, training_order
+from featureflow.llm import (
+    cotraining,
+    filter_audit,
+    lang_id,
+    line_dedup,
+    merkle,
+    mixing,
+    packing,
+    pii,
+    quality_rules,
+    resampling,
+    simhash,
+    swap_packing,
+    training_order,
+)
 from featureflow.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +124,18 @@ def op9(spark, sf_dir):
 @query("op10_simhash")
 def op10(spark, sf_dir):
     return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+@query("op11_filter_audit", filter_audit.audit_sql())
+def op11(spark, sf_dir):
+    return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query("op12_swap_packing")
+def op12(spark, sf_dir):
+    return swap_packing.pack(documents(spark, sf_dir))
+
+
+@query("op13_resampling", resampling.resample_sql())
+def op13(spark, sf_dir):
+    return resampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
