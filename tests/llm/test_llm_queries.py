@@ -3,7 +3,21 @@
 import pytest
 from compare import connect, diff
 
-from featureflow.llm import cotraining, lang_id, line_dedup, merkle, mixing, packing, pii, quality_rules, simhash, training_order
+from featureflow.llm import (
+    cotraining,
+    filter_audit,
+    lang_id,
+    line_dedup,
+    merkle,
+    mixing,
+    packing,
+    pii,
+    quality_rules,
+    resampling,
+    simhash,
+    swap_packing,
+    training_order,
+)
 from featureflow.llm.queries import ORACLES, QUERIES
 
 CASES = {
@@ -21,8 +35,11 @@ CASES = {
     "op9": lambda d: cotraining.score(d, cotraining.learn(d, d.selectExpr("doc_id", "cast(doc_id % 2 as int) quality"))),
     "op10": simhash.near_duplicates,
     "op10 rows": simhash.one_of_each,
+    "op11": lambda d: filter_audit.audit(d, d.selectExpr("doc_id", "1 AS quality", "cast(NULL AS int) AS toxic")),
+    "op12": swap_packing.pack,
+    "op13": lambda d: resampling.resample(d, d.select("text")),
 }
-ONE_ROW_EACH = ("op2", "op3", "op4", "op6", "op7", "op9", "op10")
+ONE_ROW_EACH = ("op2", "op3", "op4", "op6", "op7", "op9", "op10", "op13")
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
