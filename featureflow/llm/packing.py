@@ -6,12 +6,13 @@ dot product of its demands and what the sequence has left, both as shares of the
 limits. Where nothing fits whole, an example is cut so that the sequence is full.
 
 Each task packs its own rows: whole-sequence pieces leave at once, the rest waits in
-a pool of bounded size. What a task has left at its end goes out in sequences whose
-length is a power of two, so that they need no padding either; only a rest below
-`min_cut` ids is padded.
+a pool of bounded size. What another limit than tokens closes, and what a task has left
+at its end, goes out in sequences whose length is a power of two, so that they need no
+padding either; only a rest below `min_cut` ids is padded.
 
 Defined results: NULL text counts as empty and gives the end id alone; repeated
-rows are packed one by one; an empty table gives no rows.
+rows are packed one by one; very long texts fill sequences of their own, their rest waits like
+any other; of equal dot products the example that came first goes first; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -139,7 +140,7 @@ class Packer:
                     room -= (n, 1, head.loss)
                 if room[0] < 1 or room[1] < 1:
                     break
-            if leave == 0 and not live.any() and room[0] >= lim.min_cut:
+            if room[0] >= lim.min_cut:  # closed by another limit than tokens, or the last one
                 yield from self._close_short(own)
             else:
                 yield from self._close(own)
@@ -148,7 +149,7 @@ class Packer:
         self.pool = [p for p, there in zip(pieces, live, strict=True) if there]
 
     def _close_short(self, own: list[Piece]) -> Iterator[tuple]:
-        """The task's last ids, in sequences of falling powers of two."""
+        """Ids that don't fill a sequence, in sequences of falling powers of two."""
         left = sum(len(p.ids) for p in own)
         while left:
             size = 1 << (left.bit_length() - 1)
