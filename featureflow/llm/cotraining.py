@@ -1,18 +1,20 @@
 """Quality classifier by co-training of a text view and a page-metadata view.
 
 Each view has its own logistic regression. Both start from the labelled sample; in
-every round each view labels rows of an unlabelled pool, and those it is surest of, in
+every round one Spark pass scores all unlabelled rows with both views, and those a view is surest of, in
 the class proportions of the labelled sample, join the training rows of the other view.
 At the end both views are calibrated (Platt scaling) on labelled rows that were never
 trained on, and the two calibrated log odds are combined by a third regression on
 the same rows. All documents are scored in one pass over texts and metadata.
 
-What the models are fitted on is bounded by `Settings.labelled` and `Settings.pool`
-(rows in hash order); scoring reads every row.
+What the models are fitted on is bounded by `Settings.labelled` (rows in hash order) and by
+`Settings.exchanged` rows per view and round; rounds and scoring read every row. Features
+are made once and staged with 16 bits each.
 
 Defined results: NULL text, source, lang or n_chars are feature values of their
 own; without labels of both classes every score is the smoothed share of good labels
-(one half without any label); rows that repeat a doc_id are scored one by one; labels that
+(one half without any label); rows that repeat a doc_id are scored one by one, and the one with the
+least hash of its values is learned from; rows without a doc_id are unlabelled; labels that
 repeat a doc_id count once, the lower one; an empty table gives no rows.
 """
 
@@ -28,6 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featureflow.llm.common import staged_side, with_package
+from featureflow.operators.windows import top_per_group
+from featureflow.session import remove_path, stage, staged_path
 
 _CLASSES = np.zeros(256, dtype=np.int64)  # other bytes: 0
 for _k, _chars in enumerate((b" \t\r\x0b\x0c", b"\n", b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".,;:?'\"()-", b"!"), 1):
@@ -41,7 +45,6 @@ class Settings:
     """Bounds of the samples and the course of the rounds."""
 
     labelled: int = 4000
-    pool: int = 4000
     rounds: int = 4
     exchanged: int = 200
     least_sure: float = 0.9
@@ -123,38 +126,97 @@ class Model:
         return sigmoid(a), sigmoid(b), sigmoid(both)
 
 
-def _surest(p: np.ndarray, free: np.ndarray, share: float, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the pool with the surest labels, good and bad in the given proportion, and the labels."""
-    good = max(1, round(s.exchanged * share))
-    found, labels = [], []
-    for label, count, sure in ((1, good, p), (0, max(1, s.exchanged - good), 1 - p)):
-        order = np.argsort(np.where(free, -sure, 1.0), kind="stable")[:count]
-        order = order[free[order] & (sure[order] >= s.least_sure)]
-        found.append(order)
-        labels.append(np.full(len(order), label))
-    return np.concatenate(found), np.concatenate(labels)
+#: Row numbers, both feature blocks and labels of the rows that a view is surest of.
+Surest = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, aside: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, s: Settings = Settings()) -> Model:
-    """The model of a labelled sample (`aside`: rows for calibration) and an unlabelled pool."""
+def wanted(share: float, s: Settings) -> dict[int, int]:
+    """How many good and bad rows a view hands over."""
+    good = max(1, round(s.exchanged * share))
+    return {1: good, 0: max(1, s.exchanged - good)}
+
+
+class ArrayPool:
+    """Unlabelled rows as arrays."""
+
+    def __init__(self, text: np.ndarray, meta: np.ndarray):
+        self.text, self.meta = text, meta
+
+    def surest(self, text_w: np.ndarray, meta_w: np.ndarray, to_text: set[int], to_meta: set[int], counts: dict[int, int], least: float) -> tuple[Surest, Surest]:
+        """What the text view hands to the other and the other way round; rows already handed over stay out."""
+        out = []
+        for z, taken in ((log_odds(self.text, text_w), to_meta), (log_odds(self.meta, meta_w), to_text)):
+            free = np.ones(len(z), dtype=bool)
+            free[list(taken)] = False
+            found, labels = [], []
+            for label, count in counts.items():
+                sure = z if label else -z
+                order = np.argsort(np.where(free, -sure, np.inf), kind="stable")[:count]
+                order = order[free[order] & (sure[order] >= _logit(least))]
+                found.append(order)
+                labels.append(np.full(len(order), label))
+            at = np.concatenate(found)
+            out.append((at, self.text[at], self.meta[at], np.concatenate(labels)))
+        return out[0], out[1]
+
+
+class TablePool:
+    """Rows as a staged table (row, doc_id, h, x); a pass over it scores all with both views, `known` (doc_id) stays out."""
+
+    def __init__(self, rows: DataFrame, known: DataFrame):
+        self.rows, self.known = rows, known
+
+    def surest(self, text_w: np.ndarray, meta_w: np.ndarray, to_text: set[int], to_meta: set[int], counts: dict[int, int], least: float) -> tuple[Surest, Surest]:
+        bound = _logit(least)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = _unpacked(batch.column(3).to_pylist())
+                z = np.stack([log_odds(x[:, :N_TEXT], text_w), log_odds(x[:, N_TEXT:], meta_w)])
+                for view in (0, 1):
+                    sure = np.abs(z[view]) >= bound
+                    at = pa.array(np.flatnonzero(sure))
+                    columns = [*(batch.column(i).take(at) for i in range(3)), pa.array(np.full(len(at), view, np.int32)), pa.array((z[view][sure] > 0).astype(np.int32)), pa.array(-np.abs(z[view][sure]))]
+                    yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "h", "view", "label", "doubt"])
+
+        spark = self.rows.sparkSession
+        sure = with_package(self.rows).mapInArrow(run, "row long, doc_id long, h long, view int, label int, doubt double")
+        sure = sure.join(self.known, "doc_id", "left_anti")
+        handed = [(r, 0) for r in to_meta] + [(r, 1) for r in to_text]
+        if handed:  # at most `exchanged` rows per view and round
+            sure = sure.join(F.broadcast(spark.createDataFrame(handed, "row long, view int")), ["row", "view"], "left_anti")
+        # of equal rows one is handed over
+        sure = stage(sure.groupBy("view", "label", "h").agg(F.min("doubt").alias("doubt"), F.min("row").alias("row")))
+        most = F.when(F.col("label") == 1, F.lit(counts[1])).otherwise(F.lit(counts[0]))
+        best = top_per_group(sure, ["view", "label"], most, ["doubt", "h", "row"]).select("row", "view", "label")
+        found = self.rows.join(F.broadcast(best), "row").select("row", "view", "label", "h", "x").toPandas().sort_values(["view", "label", "h", "row"])
+        remove_path(spark, staged_path(sure))
+        out = []
+        for view in (0, 1):
+            own = found[found["view"] == view]
+            x = _unpacked(own["x"])
+            out.append((own["row"].to_numpy(np.int64), x[:, :N_TEXT], x[:, N_TEXT:], own["label"].to_numpy(np.int64)))
+        return out[0], out[1]
+
+
+def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, aside: np.ndarray, pool: ArrayPool | TablePool | None, s: Settings = Settings()) -> Model:
+    """The model of a labelled sample (`aside`: rows for calibration) and a pool of unlabelled rows."""
     learn = ~aside
     if min(len(np.unique(y[learn])), len(np.unique(y[aside]))) < 2:
         prior = _logit((y.sum() + 1) / (len(y) + 2))
         flat = lambda n: np.append(np.zeros(n), prior)
         return Model(flat(N_TEXT), flat(N_META))
-    share = float(y[learn].mean())
+    counts = wanted(float(y[learn].mean()), s)
     tx, ty, mx, my = text[learn], y[learn], meta[learn], y[learn]
-    text_free, meta_free = np.ones(len(pool_text), dtype=bool), np.ones(len(pool_text), dtype=bool)
-    for _ in range(s.rounds):
+    to_text, to_meta = set(), set()
+    for _ in range(s.rounds if pool else 0):
         text_w, meta_w = fit(tx, ty, s.penalty), fit(mx, my, s.penalty)
-        if not len(pool_text):
-            break
-        to_meta, meta_y = _surest(sigmoid(log_odds(pool_text, text_w)), meta_free, share, s)
-        to_text, text_y = _surest(sigmoid(log_odds(pool_meta, meta_w)), text_free, share, s)
-        meta_free[to_meta], text_free[to_text] = False, False
-        mx, my = np.vstack([mx, pool_meta[to_meta]]), np.concatenate([my, meta_y])
-        tx, ty = np.vstack([tx, pool_text[to_text]]), np.concatenate([ty, text_y])
-        if not len(to_meta) + len(to_text):
+        by_text, by_meta = pool.surest(text_w, meta_w, to_text, to_meta, counts, s.least_sure)
+        to_meta.update(by_text[0].tolist())
+        to_text.update(by_meta[0].tolist())
+        mx, my = np.vstack([mx, by_text[2]]), np.concatenate([my, by_text[3]])
+        tx, ty = np.vstack([tx, by_meta[1]]), np.concatenate([ty, by_meta[3]])
+        if not len(by_text[0]) + len(by_meta[0]):
             break
     text_w, meta_w = fit(tx, ty, s.penalty), fit(mx, my, s.penalty)
     scaled = []
@@ -179,28 +241,32 @@ def _picked(ids: DataFrame, rows: int) -> DataFrame:
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, text, source, lang, n_chars, label = (c.to_pylist() for c in batch.columns)
-        values = [np.concatenate([text_features(t), meta_features(*m)]).tobytes() for t, m in zip(text, zip(source, lang, n_chars, strict=True), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(label, pa.int64()), pa.array(values, pa.binary())], ["doc_id", "label", "x"])
+        text, source, lang, n_chars = (c.to_pylist() for c in batch.columns[2:])
+        values = [np.concatenate([text_features(t), meta_features(*m)]).astype(np.float16).tobytes() for t, m in zip(text, zip(source, lang, n_chars, strict=True), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, pa.binary())], ["doc_id", "h", "x"])
+
+
+def _unpacked(rows) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), dtype=np.float16).reshape(-1, N_TEXT + N_META).astype(np.float32)
 
 
 def learn(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
-    """Co-trains on bounded samples of `docs`; `labels` has doc_id and quality (0 or 1)."""
+    """Co-trains on a bounded labelled sample and all other rows of `docs`; `labels` has doc_id and quality (0 or 1)."""
     rows = _narrow(docs)
     known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     known = known.agg(F.min("quality").cast("long").alias("label"))
     ids = rows.select("doc_id").where("doc_id IS NOT NULL").distinct()
-    marked = _picked(ids.join(known, "doc_id"), s.labelled)
-    free = _picked(ids.join(known, "doc_id", "left_anti"), s.pool).withColumn("label", F.lit(None).cast("long"))
-    chosen = staged_side(marked.unionByName(free))
-    wanted = rows.join(chosen, "doc_id").select("doc_id", "text", "source", "lang", "n_chars", "label")
-    found = with_package(wanted).mapInArrow(_featured, "doc_id long, label long, x binary").toPandas()
-    found = found.drop_duplicates("doc_id").sort_values("doc_id")  # one row per id, in an order of its own
-    x = np.frombuffer(b"".join(found["x"]), dtype=np.float32).reshape(-1, N_TEXT + N_META)
-    has = found["label"].notna().to_numpy()
-    y = found["label"][has].to_numpy(np.int64)
-    aside = np.array([crc32(str(i).encode()) % 4 == 0 for i in found["doc_id"][has]], dtype=bool)
-    return co_train(x[has, :N_TEXT], x[has, N_TEXT:], y, aside, x[~has, :N_TEXT], x[~has, N_TEXT:], s)
+    marked = staged_side(_picked(ids.join(known, "doc_id"), s.labelled))
+    h = F.xxhash64("text", "source", "lang", "n_chars").alias("h")
+    made = with_package(rows.select("doc_id", h, "text", "source", "lang", "n_chars")).mapInArrow(_featured, "doc_id long, h long, x binary")
+    pool = stage(made.select(F.monotonically_increasing_id().alias("row"), "doc_id", "h", "x"))
+    found = pool.join(marked, "doc_id").select("doc_id", "h", "label", "x").toPandas()
+    found = found.sort_values(["doc_id", "h"]).drop_duplicates("doc_id")
+    x, y = _unpacked(found["x"]), found["label"].to_numpy(np.int64)
+    aside = np.array([crc32(str(i).encode()) % 4 == 0 for i in found["doc_id"]], dtype=bool)
+    model = co_train(x[:, :N_TEXT], x[:, N_TEXT:], y, aside, TablePool(pool, staged_side(known.select("doc_id"))), s)
+    remove_path(docs.sparkSession, staged_path(pool))
+    return model
 
 
 def score(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
