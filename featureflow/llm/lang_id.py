@@ -9,8 +9,10 @@ context all 256 bytes are equally likely. A context that a language hasn't seen
 nothing and is left for the next shorter one. The language with the shortest code for
 the whole text wins; the score is its share among 2^-length of all languages.
 
-The trees of all languages share one automaton: its states are the contexts, and one
-table holds the price of every byte in every state for every language. A text is
+Each language keeps its own most frequent contexts, the same number whatever other
+languages there are. Its tree is an automaton: states are the contexts, and a table holds the
+price of every byte in every state. Bytes that a language hasn't seen share one column,
+so that the table grows with the contexts and the bytes of the language only. A text is
 cut into segments that run side by side; since a state depends on the last `order` bytes
 only, a segment started that far ahead gives exactly the lengths of an uncut run.
 
@@ -21,9 +23,11 @@ repeated doc_id are judged one by one; an empty table gives no rows.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +41,8 @@ from featureflow.llm.common import staged_side, with_package
 #: Labelled rows per language that a model is learned from.
 SAMPLE_ROWS = 400
 ORDER = 4
-#: Contexts kept (the most frequent; every prefix and suffix of one is kept too) and bytes of the price table.
+#: Contexts kept per language (the most frequent; every prefix and suffix of one is kept too).
 MOST_CONTEXTS = 8192
-TABLE_BYTES = 64 << 20
 UNKNOWN = "und"
 
 _SEGMENT = 256
@@ -98,78 +101,98 @@ def _grams(raw: bytes, size: int) -> np.ndarray:
 
 
 @dataclass(frozen=True)
-class Model:
-    """Frozen statistics: for each kept context its size and number, for each (context, byte, language) a count."""
+class Tree:
+    """Frozen statistics of a language: the size and number of each kept context, and a count for each (context, byte) seen."""
 
-    name: str
-    languages: tuple[str, ...]
-    order: int
     sizes: np.ndarray
     contexts: np.ndarray
     state: np.ndarray
     byte: np.ndarray
-    language: np.ndarray
     n: np.ndarray
 
 
+@dataclass(frozen=True)
+class Model:
+    name: str
+    languages: tuple[str, ...]
+    order: int
+    trees: tuple[Tree, ...]
+
+
 def learn(docs: DataFrame, rows: int = SAMPLE_ROWS, order: int = ORDER, most: int = MOST_CONTEXTS) -> Model:
     """The model of a sample; what comes to the driver is bounded by the sample."""
     found = gram_counts(sample(docs, rows), order).toPandas()
     languages = tuple(sorted(found["lang"].unique()))
-    if languages:
-        most = max(1, min(most, TABLE_BYTES // (256 * 4 * len(languages))))
-    size, gram, n = (found[c].to_numpy(np.int64) for c in ("size", "gram", "n"))
-    lang = np.searchsorted(np.array(languages, dtype=object), found["lang"].to_numpy(object)) if languages else np.zeros(0, np.int64)
+    trees = tuple(_tree(*(own[c].to_numpy(np.int64) for c in ("size", "gram", "n")), most) for own in (found[found["lang"] == x] for x in languages))
+    name = sha256(pickle.dumps((languages, order, trees))).hexdigest()
+    return Model(name, languages, order, trees)
+
+
+def _tree(size: np.ndarray, gram: np.ndarray, n: np.ndarray, most: int) -> Tree:
     keys = np.stack([size - 1, gram >> 8], axis=1)  # the context of each run of bytes
     contexts, at = np.unique(keys, axis=0, return_inverse=True)
     at = at.reshape(-1)
     total = np.bincount(at, weights=n, minlength=len(contexts))
-    best = np.lexsort((contexts[:, 1], contexts[:, 0], -total))[:most]
-    keep = np.sort(best)
+    keep = np.sort(np.lexsort((contexts[:, 1], contexts[:, 0], -total))[:most])
     number = np.full(len(contexts), -1)
     number[keep] = np.arange(len(keep))
     known = number[at] >= 0
-    name = f"{abs(hash((languages, order, most, len(found), int(n.sum()), gram.tobytes()))):x}"
-    return Model(name, languages, order, contexts[keep, 0], contexts[keep, 1], number[at][known], gram[known] & 255, lang[known], n[known])
-
-
-def tables(model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """step[state * 256 + byte]: next state; bits[state * 256 + byte, language]: price."""
-    n_states, n_langs = len(model.sizes), len(model.languages)
-    number = {(int(s), int(c)): i for i, (s, c) in enumerate(zip(model.sizes, model.contexts, strict=True))}
-    counts = np.zeros((n_states, 256, n_langs), dtype=np.float32)
-    counts[model.state, model.byte, model.language] = model.n
-    step = np.zeros((n_states, 256), dtype=np.int32)
-    bits = np.full((n_states, 256, n_langs), 8.0, dtype=np.float32)
-    for i in np.argsort(model.sizes, kind="stable").tolist():  # shorter contexts first
-        size, code = int(model.sizes[i]), int(model.contexts[i])
+    place = np.lexsort((gram[known], number[at][known]))  # rows come from a shuffle in any order
+    return Tree(contexts[keep, 0], contexts[keep, 1], number[at][known][place], (gram[known] & 255)[place], n[known][place])
+
+
+@dataclass(frozen=True)
+class Table:
+    """column[byte]; at state * width + column, the next state and the price in bits."""
+
+    column: np.ndarray
+    width: int
+    step: np.ndarray
+    bits: np.ndarray
+
+
+def tables(model: Model) -> list[Table]:
+    return [_table(t, model.order) for t in model.trees]
+
+
+def _table(tree: Tree, order: int) -> Table:
+    seen = np.unique(tree.byte)
+    column = np.full(256, len(seen), dtype=np.int64)  # the last column is for bytes never seen
+    column[seen] = np.arange(len(seen))
+    n_states, width = len(tree.sizes), len(seen) + 1
+    number = {(int(s), int(c)): i for i, (s, c) in enumerate(zip(tree.sizes, tree.contexts, strict=True))}
+    counts = np.zeros((n_states, width), dtype=np.float32)
+    counts[tree.state, column[tree.byte]] = tree.n
+    step = np.zeros((n_states, width), dtype=np.int32)
+    bits = np.full((n_states, width), 8.0, dtype=np.float32)
+    for i in np.argsort(tree.sizes, kind="stable").tolist():  # shorter contexts first
+        size, code = int(tree.sizes[i]), int(tree.contexts[i])
         if size:
             shorter = number[size - 1, code & ((1 << (8 * (size - 1))) - 1)]
             step[i], below = step[shorter], bits[shorter]
         else:
             below = bits[i].copy()
-        seen = counts[i]
-        t, d = seen.sum(axis=0), (seen > 0).sum(axis=0)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            own = np.where(seen > 0, -np.log2(seen / (t + d)), -np.log2(d / (t + d)) + below)
-        bits[i] = np.where(t > 0, own, below)
-        if size < model.order:
-            for b in np.flatnonzero(seen.any(axis=1)).tolist():
-                longer = number.get((size + 1, (code << 8) | b))
+        t, d = counts[i].sum(), np.count_nonzero(counts[i])
+        bits[i] = below - np.log2(d / (t + d))
+        here = np.flatnonzero(counts[i])
+        bits[i, here] = -np.log2(counts[i, here] / (t + d))
+        if size < order:
+            for k in here.tolist():
+                longer = number.get((size + 1, (code << 8) | int(seen[k])))
                 if longer is not None:
-                    step[i, b] = longer
-    return step.reshape(-1), bits.reshape(-1, n_langs)
+                    step[i, k] = longer
+    return Table(column, width, step.reshape(-1), bits.reshape(-1))
 
 
 @lru_cache(maxsize=2)
-def _cached(name: str, shared: Broadcast) -> tuple[np.ndarray, np.ndarray]:
+def _cached(name: str, shared: Broadcast) -> list[Table]:
     return tables(shared.value)
 
 
-def code_lengths(raws: list[bytes], order: int, step: np.ndarray, bits: np.ndarray) -> np.ndarray:
+def code_lengths(raws: list[bytes], order: int, languages: list[Table]) -> np.ndarray:
     """Bits of every text in every language."""
     sizes = np.array([len(r) for r in raws], dtype=np.int64)
-    out = np.zeros((len(raws), bits.shape[1]))
+    out = np.zeros((len(raws), len(languages)))
     if not sizes.sum():
         return out
     data = np.frombuffer(b"\0" * order + b"".join(raws) + b"\0" * _SEGMENT, dtype=np.uint8)
@@ -181,18 +204,19 @@ def code_lengths(raws: list[bytes], order: int, step: np.ndarray, bits: np.ndarr
     length = np.minimum(sizes[owner] - nth * _SEGMENT, _SEGMENT)
     rank = np.argsort(-length, kind="stable")
     owner, begin, length, first = owner[rank], begin[rank], length[rank], nth[rank] == 0
-    total = np.zeros((len(owner), bits.shape[1]))
     live = np.searchsorted(-length, -np.arange(_SEGMENT), side="left")  # segments longer than t, for each t
-    state = np.zeros(len(owner), dtype=np.int64)
-    for t in range(-order, 0):  # the bytes before a segment set its state; a text's first segment starts with none
-        state = np.where(first, 0, step[state * 256 + data[begin + t]])
-    for t in range(int(length[0])):
-        k = int(live[t])
-        at = state[:k] * 256 + data[begin[:k] + t]
-        total[:k] += bits[at]
-        state[:k] = step[at]
-    for i in range(bits.shape[1]):
-        out[:, i] = np.bincount(owner, weights=total[:, i], minlength=len(raws))
+    for i, table in enumerate(languages):
+        columns = table.column[data]
+        total = np.zeros(len(owner))
+        state = np.zeros(len(owner), dtype=np.int64)
+        for t in range(-order, 0):  # the bytes before a segment set its state; a text's first segment starts with none
+            state = np.where(first, 0, table.step[state * table.width + columns[begin + t]])
+        for t in range(int(length[0])):
+            k = int(live[t])
+            at = state[:k] * table.width + columns[begin[:k] + t]
+            total[:k] += table.bits[at]
+            state[:k] = table.step[at]
+        out[:, i] = np.bincount(owner, weights=total, minlength=len(raws))
     return out
 
 
@@ -201,16 +225,16 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     languages, order, name = model.languages, model.order, model.name
 
-    def some(texts: list[str | None], letters: list[bool], step: np.ndarray, bits: np.ndarray) -> list[tuple]:
+    def some(texts: list[str | None], letters: list[bool], trees: list[Table]) -> list[tuple]:
         raws = [t.encode() if ok else b"" for t, ok in zip(texts, letters, strict=True)]
-        lengths = code_lengths(raws, order, step, bits)
+        lengths = code_lengths(raws, order, trees)
         best = lengths.argmin(axis=1)
         share = 1.0 / np.exp2(np.maximum(lengths.min(axis=1, keepdims=True) - lengths, -1000.0)).sum(axis=1)
         rows = zip(letters, best.tolist(), share.tolist(), lengths.min(axis=1).tolist(), raws, strict=True)
         return [(languages[b], s, n / len(r)) if ok else (UNKNOWN, 0.0, None) for ok, b, s, n, r in rows]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step, bits = _cached(name, shared) if languages else (None, None)
+        trees = _cached(name, shared) if languages else []
         for batch in batches:
             text = batch.column(1)
             letters = pc.fill_null(pc.match_substring_regex(text, r"\pL"), False).to_pylist()
@@ -221,7 +245,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     chars += len(texts[hi] or "")
                     hi += 1
                 if languages:
-                    rows += some(texts[lo:hi], letters[lo:hi], step, bits)
+                    rows += some(texts[lo:hi], letters[lo:hi], trees)
                 else:
                     rows += [(UNKNOWN, 0.0, None)] * (hi - lo)
                 lo = hi
