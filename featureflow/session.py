@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
+from functools import wraps
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,6 +70,8 @@ def stage(df: DataFrame, replaces: str | None = None) -> DataFrame:
     out._staged_path = path
     if replaces:
         remove_path(spark, replaces)
+    if (own := _STAGED.get()) is not None:
+        own.add(path)
     return out
 
 
@@ -72,6 +79,48 @@ def staged_path(df: DataFrame) -> str | None:
     return getattr(df, "_staged_path", None)
 
 
+#: Folders staged by the innermost `tidy` call of this thread.
+_STAGED: ContextVar[set[str] | None] = ContextVar("staged", default=None)
+
+
+def tidy(fn: Callable) -> Callable:
+    """Removes what `fn` has staged once it returns, but for the folders that its result, a frame, still reads.
+
+    Calls may nest: what is left of an inner one is the outer one's to remove. Frames that
+    `fn` was given are never touched, nor those staged in threads of its own.
+    """
+
+    @wraps(fn)
+    def run(*args, **kwargs):
+        outer, own = _STAGED.get(), set()
+        token = _STAGED.set(own)
+        try:
+            out = fn(*args, **kwargs)
+        finally:
+            _STAGED.reset(token)
+        read = read_folders(out) if isinstance(out, DataFrame) else set()
+        spark = SparkSession.getActiveSession()
+        for path in own:
+            if path.rpartition("/")[2] not in read:
+                remove_path(spark, path)
+            elif outer is not None:
+                outer.add(path)
+        return out
+
+    return run
+
+
+def read_folders(df: DataFrame) -> set[str]:
+    """Names of the folders that a frame's plan reads."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    found: set[str] = set()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and leaf.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            found.update(p.rstrip("/").rpartition("/")[2] for p in leaf.relation().location().rootPaths().mkString("\n").split("\n"))
+    return found
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -84,6 +133,19 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def with_package(df: DataFrame) -> DataFrame:
+    """`df`, after this package's folder was named to Python workers that share it.
+
+    On a cluster without a shared folder the package comes with `--py-files`.
+    """
+    env = df.sparkSession.sparkContext.environment
+    root = str(Path(__file__).resolve().parents[1])
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+    return df
+
+
 def has_at_most(df: DataFrame, rows: int) -> bool:
     """True if `df` has no more than `rows` rows; reads no further than needed."""
     return df.limit(rows + 1).count() <= rows
