@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featureflow.functions.numbers import NUMERIC, finite
 from featureflow.operators.sampling import with_fold
+from featureflow.session import broadcast_if_small, stage
 
 #: Wider aggregates outgrow the method size that the JVM compiles; they run in pieces.
 CHUNK = 25
+#: Numbers of a block that a task holds at once, whatever the number of candidates.
+CELLS = 1 << 19
+MOMENTS = "fold int, i int, n long, mx double, my double, sx double, sy double, sxy double, x0 double, x1 double, y0 double, y1 double"
 
 
 def candidate_types(df: DataFrame, exprs: dict[str, str]) -> tuple[dict, dict[str, str]]:
@@ -54,11 +61,9 @@ def score_candidates(df: DataFrame, exprs: dict[str, str], y: str, k: int = 1, k
     textual = [n for n, t in types.items() if t.typeName() == "string"]
     parts = []
     if numeric:
-        values = F.array(*[finite(F.expr(exprs[n]).cast("double"), _double()) for n in numeric])
-        cells = folded.where(target.isNotNull()).select("fold", target.alias("_y"), F.posexplode(values).alias("i", "x"))
-        pairs = F.when(F.col("x").isNotNull(), F.col("_y"))
-        spread = F.sqrt(F.var_pop("x") * F.var_pop(pairs))  # a constant side gives no score
-        found = cells.groupBy("fold", "i").agg(F.try_divide(F.covar_pop("x", "_y"), spread).alias("r"), F.count(pairs).alias("rows"))
+        values = [finite(F.expr(exprs[n]).cast("double"), _double()).alias(f"c{i}") for i, n in enumerate(numeric)]
+        rows = folded.where(target.isNotNull()).select(F.col("fold").cast("int").alias("fold"), target.alias("_y"), *values)
+        found = _correlations(rows)
         name = F.get(F.array(*[F.lit(n) for n in numeric]), F.col("i"))
         parts.append(found.select(name.alias("candidate"), "fold", F.when(F.abs("r") > 1, 1.0).otherwise(F.abs("r")).alias("score"), "rows"))
     if textual:
@@ -86,6 +91,83 @@ def score_candidates(df: DataFrame, exprs: dict[str, str], y: str, k: int = 1, k
     return out.withColumn("score", finite(F.col("score"), _double()))
 
 
+def _correlations(rows: DataFrame) -> DataFrame:
+    """(fold, i, r, rows) of the columns c0, c1, ... of `rows` with `_y`, in one pass.
+
+    A task keeps a block of co-moments per fold: count, means, sums of squares and products
+    around the means, for all candidates side by side. Blocks merge by the pairwise
+    formula, inside the task and then over the tasks' blocks.
+    """
+    blocks = stage(rows.mapInArrow(_co_moments(len(rows.columns) - 2), MOMENTS))
+    key = ["fold", "i"]
+    mean = lambda m: F.try_divide(F.sum(F.col("n") * F.col(m)), F.sum("n"))
+    flat = (F.min("x0") == F.max("x1")) | (F.min("y0") == F.max("y1"))  # a constant side gives no score
+    whole = stage(blocks.groupBy(*key).agg(F.sum("n").alias("rows"), mean("mx").alias("ax"), mean("my").alias("ay"), flat.alias("flat")))
+    dx, dy = F.col("mx") - F.col("ax"), F.col("my") - F.col("ay")
+    sums = (
+        blocks.join(broadcast_if_small(whole), key)
+        .groupBy(*key, "rows", "flat")
+        .agg(
+            F.sum(F.col("sx") + F.col("n") * dx * dx).alias("sx"), F.sum(F.col("sy") + F.col("n") * dy * dy).alias("sy"),
+            F.sum(F.col("sxy") + F.col("n") * dx * dy).alias("sxy"),
+        )
+    )
+    r = F.when(~F.col("flat"), F.try_divide(F.col("sxy"), F.sqrt("sx") * F.sqrt("sy")))
+    return sums.select(*key, r.alias("r"), "rows")
+
+
+def _co_moments(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's blocks: rows (fold, _y, c0, ...) in, one row of MOMENTS per fold and candidate out."""
+    names = [f.split(" ")[0] for f in MOMENTS.split(", ")]
+    step = max(1, CELLS // max(1, width))
+
+    def block(x: np.ndarray, y: np.ndarray) -> tuple:
+        """n, means, sums around the means and extremes per column. Values are moved by the first of their column, so equal ones cancel."""
+        there = ~np.isnan(x)
+        n = there.sum(axis=0)
+        first = x[there.argmax(axis=0), np.arange(x.shape[1])]
+        x = np.where(there, x, first)
+        moved = x - first
+        share = np.maximum(n, 1)
+        mx = moved.sum(axis=0) / share
+        dx = np.where(there, moved - mx, 0.0)
+        own = y - y[0]
+        my = own @ there / share
+        dy = np.where(there, own[:, None] - my, 0.0)
+        wide = np.where(there, y[:, None], np.nan)
+        return (
+            n, np.where(n, mx + first, 0.0), np.where(n, my + y[0], 0.0), (dx * dx).sum(axis=0), (dy * dy).sum(axis=0), (dx * dy).sum(axis=0),
+            np.fmin.reduce(x), np.fmax.reduce(x), np.fmin.reduce(wide), np.fmax.reduce(wide),
+        )
+
+    def merged(a: tuple, b: tuple) -> tuple:
+        n = a[0] + b[0]
+        share = np.maximum(n, 1)
+        dx, dy = np.where(a[0] * b[0], b[1] - a[1], 0.0), np.where(a[0] * b[0], b[2] - a[2], 0.0)
+        weight = a[0] * (b[0] / share)
+        mean = lambda i, d: np.where(a[0], a[i] + d * (b[0] / share), b[i])
+        sums = (a[3] + b[3] + dx * dx * weight, a[4] + b[4] + dy * dy * weight, a[5] + b[5] + dx * dy * weight)
+        return n, mean(1, dx), mean(2, dy), *sums, np.fmin(a[6], b[6]), np.fmax(a[7], b[7]), np.fmin(a[8], b[8]), np.fmax(a[9], b[9])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folds: dict[int, tuple] = {}
+        with np.errstate(all="ignore"):  # sums beyond the doubles are no score
+            for batch in batches:
+                for lo in range(0, batch.num_rows, step):
+                    part = batch.slice(lo, step)
+                    fold, y = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False)
+                    x = np.column_stack([part.column(2 + i).to_numpy(zero_copy_only=False).astype(float) for i in range(width)])
+                    for f in np.unique(fold):
+                        here = fold == f
+                        new = block(x[here], y[here])
+                        folds[f] = merged(folds[f], new) if f in folds else new
+        for f, sums in folds.items():
+            columns = [np.full(width, f, dtype=np.int32), np.arange(width, dtype=np.int32), sums[0].astype(np.int64), *sums[1:]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, from_pandas=True) for c in columns], names)
+
+    return run
+
+
 def _double():
     from pyspark.sql.types import DoubleType
 
@@ -95,8 +177,8 @@ def _double():
 def candidate_quality(df: DataFrame, exprs: dict[str, str]) -> DataFrame:
     """(candidate, nulls, constant, mean, fingerprint) in one scan per 25 candidates.
 
-    Floating values that are not finite count as null. Equal fingerprints (a fold of row and
-    value hashes) mark copies. The mean is NULL for text.
+    Floating values that are not finite count as null. Equal fingerprints (a sum of row and
+    value hashes, so that repeated rows don't cancel) mark copies. The mean is NULL for text.
     """
     types, _ = candidate_types(df, exprs)
     row_hash = F.xxhash64(*[F.col(c) for c in df.columns if "map" not in df.schema[c].dataType.simpleString()])
@@ -112,7 +194,7 @@ def candidate_quality(df: DataFrame, exprs: dict[str, str]) -> DataFrame:
             c = F.col(f"c{i}")
             aggs += [
                 F.count(c).alias(f"n{i}"), F.min(c).alias(f"a{i}"), F.max(c).alias(f"z{i}"),
-                F.bit_xor(F.xxhash64("_h", c)).alias(f"f{i}"),
+                F.sum(F.xxhash64("_h", c).cast("decimal(38,0)")).alias(f"f{i}"),
             ]
             if isinstance(types[n], NUMERIC):
                 aggs.append(F.avg(c.cast("double")).alias(f"m{i}"))

@@ -61,8 +61,8 @@ class SemFillNA(Operator):
                 best = exact_quantiles(known, ctx, t, {"_best": 0.5})
             else:
                 per = counts.groupBy(*ctx, "_v").agg(F.sum("_c").alias("_c"))
-                best = per.groupBy(*ctx).agg(F.min(F.struct((-F.col("_c")).alias("c"), F.col("_v").alias("v")))["v"].alias("_best"))
-                best = best.withColumn("_best", F.col("_best").cast(df.schema[t].dataType))
+                typed = F.col("_v").cast(df.schema[t].dataType)  # ties go to the least value, not the least text
+                best = per.groupBy(*ctx).agg(F.min(F.struct((-F.col("_c")).alias("c"), typed.alias("v")))["v"].alias("_best"))
             best = best.dropna(subset=ctx)
             name = f"level{depth}"
             program.lookup(name, stage(best), [(quote(c), c) for c in ctx], {"_best": f"_fill{depth}"})
