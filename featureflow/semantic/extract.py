@@ -12,7 +12,8 @@ from featureflow.functions.dates import with_date_interval
 from featureflow.functions.text import words
 from featureflow.operators.udf import map_batches
 from featureflow.semantic import sqltext
-from featureflow.semantic.program import FeatureProgram, Operator, quote, text_literal
+from featureflow.semantic.program import FeatureProgram, Operator, quote
+from featureflow.semantic.terms import TermList, walk_inline, walk_joined, with_hits
 
 # Small word lists by class. Callers pass their own for other domains.
 LEXICON = {
@@ -35,7 +36,7 @@ LEXICON = {
 PHRASE = r"[\p{Lu}][\p{L}]+(?:\s[\p{Lu}][\p{L}]+)+"
 PERSON = r"(?:Mr|Mrs|Ms|Dr|Sir|Lady|Lord|Saint|St|King|Queen|Prince|Princess)\.?\s[\p{Lu}][\p{L}]+(?:\s[\p{Lu}][\p{L}]+)*"
 
-#: Word lists up to this size are written into the expression; larger ones are joined.
+#: Lists of terms up to this size are written into the expression; larger ones are joined.
 INLINE_TERMS = 2000
 
 
@@ -69,23 +70,25 @@ class SemExtract(Operator):
             )
             return program
         joined = f"concat_ws(' ', {', '.join(quote(c) for c in self.inputs)})"
-        for feature, terms in self.dictionaries.items():
-            if len(terms) > INLINE_TERMS:
-                frame = df.sparkSession.createDataFrame([(t.lower(),) for t in terms], "term string").distinct()
-                program.tables[f"terms_{feature}"] = frame
-                program.steps.append(
-                    {"op": "terms", "table": f"terms_{feature}", "text": joined, "feature": feature}
-                )
+        for i, (feature, terms) in enumerate(self.dictionaries.items()):
+            held = TermList(df.sparkSession, terms, INLINE_TERMS)
+            if not held.inline:
+                program.tables[f"terms_{feature}"] = held.steps
+                program.steps.append({"op": "terms", "table": f"terms_{feature}", "text": joined, "feature": feature, "depth": held.depth})
                 continue
-            listed = f"array({', '.join(text_literal(t.lower()) for t in terms)})"
-            found = f"array_sort(array_intersect({sqltext.words(joined)}, {listed}))"
+            words, prefix = f"_d{i}_w", f"_d{i}_"
+            program.columns(**{words: sqltext.words(joined)})
+            steps, hit = walk_inline(words, prefix, held.known)
+            for step in steps:
+                program.columns(**step)
             program.columns(
                 **{
-                    f"is_{feature}": f"size({found}) > 0",
-                    f"{feature}_count": f"cast(size({found}) AS bigint)",
-                    f"{feature}_terms": f"array_join({found}, ', ')",
+                    f"is_{feature}": f"size({hit}) > 0",
+                    f"{feature}_count": f"cast(size({hit}) AS bigint)",
+                    f"{feature}_terms": f"array_join({hit}, ', ')",
                 }
             )
+            program.drop(words, *[n for step in steps for n in step])
         return program
 
 
@@ -125,19 +128,11 @@ def _dates(self, df: DataFrame, step: dict, bound) -> DataFrame:
 
 
 def _terms(self, df: DataFrame, step: dict, bound) -> DataFrame:
-    """Large word list: distinct texts → words ⋈ terms, then back to the rows."""
+    """Large word list: distinct texts are walked level by level, then joined back to the rows."""
     feature = step["feature"]
     df = df.withColumn("_text", F.expr(step["text"]))
-    texts = df.select("_text").distinct()
-    hit = (
-        texts.select("_text", F.explode(F.array_distinct(F.expr(sqltext.words("_text")))).alias("term"))
-        .join(self.tables[step["table"]], "term")
-        .groupBy("_text")
-        # at most one entry per distinct word of one text
-        .agg(F.array_sort(F.collect_set("term")).alias("_hit"))
-    )
-    n = F.coalesce(F.size("_hit"), F.lit(0)).cast("bigint")
-    n = F.when(F.col("_hit").isNull(), F.lit(0).cast("bigint")).otherwise(n)
+    hit = walk_joined(df.select("_text").distinct(), "_text", self.tables[step["table"]], step["depth"], "_hit")
+    n = F.when(F.col("_hit").isNull(), F.lit(0)).otherwise(F.size("_hit")).cast("bigint")
     return (
         df.join(hit, "_text", "left")
         .withColumns(
@@ -164,28 +159,34 @@ def extract_distinct(df: DataFrame, column: str, op: SemExtract) -> DataFrame:
 def annotate(df: DataFrame, text: str, lexicon: dict[str, list[str]] | None = None) -> DataFrame:
     """Annotation columns of a text: distinct terms per class, names, phrases, adjective share.
 
-    Classes come from word lists; people from titles before names; phrases are runs of
-    capitalised words. Everything stays in JVM expressions over the whole text.
+    Classes come from lists of terms of any number of words; people from titles before names; phrases are
+    runs of capitalised words. The share of adjectives is of single words. Everything stays in JVM
+    expressions over the whole text, and in joins where the lists are long.
     """
     lex = lexicon or LEXICON
     body = F.coalesce(F.col(text), F.lit(""))
     w = F.col("_w")
+    classes = ("cultural_group", "location", "period")
+    # all classes are walked at once; the few hits are then told apart by class
+    listed = [(kind, t) for kind in (*classes, "adjective") for t in lex[kind]]
+    cut = df.sparkSession.createDataFrame(listed, "kind string, term string").select("kind", "term", F.expr(sqltext.words("term")).alias("words")).collect()
+    spelling: dict[str, str] = {}
+    for r in sorted((r for r in cut if r["kind"] != "adjective"), key=lambda r: r["term"].lower()):
+        spelling.setdefault(" ".join(r["words"]), r["term"].lower())
+    plain = [r["words"][0] for r in cut if r["kind"] == "adjective" and len(r["words"]) == 1]
 
     def terms(kind: str) -> Column:
-        listed = F.array(*[F.lit(t) for t in lex[kind]])
-        return F.array_join(F.array_sort(F.array_intersect("_hit", listed)), ", ")
+        own = F.array(*[F.lit(t) for t in sorted({spelling[" ".join(r["words"])] for r in cut if r["kind"] == kind})])
+        return F.array_join(F.array_sort(F.array_intersect("_hit", own.cast("array<string>"))), ", ")
 
     def matches(pattern: str) -> Column:
         found = F.regexp_extract_all(body, F.lit(pattern), F.lit(0))
         tidy = F.transform(found, lambda x: F.regexp_replace(x, r"\s+", " "))
         return F.array_join(F.array_sort(F.array_distinct(tidy)), ", ")
 
-    adjectives = F.size(F.filter(w, lambda x: x.isin(*lex["adjective"])))
-    classes = ("cultural_group", "location", "period")
-    listed = F.array(*[F.lit(t) for t in sorted({t for kind in classes for t in lex[kind]})])
-    # the words are a column of their own, so they are cut out of the text once and met with all lists
-    # once; the few hits are then told apart by class
-    return df.withColumn("_w", words(body)).withColumn("_hit", F.array_intersect("_w", listed)).withColumns(
+    adjectives = F.size(F.filter(w, lambda x: x.isin(*plain)))
+    held = TermList(df.sparkSession, sorted(set(spelling.values())), INLINE_TERMS)
+    return with_hits(df.withColumn("_w", words(body)), text, "_w", held, "_hit").withColumns(
         {
             "ent_cultural_group": terms("cultural_group"),
             "ent_people": matches(PERSON),
