@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featureflow.operators.columns import cols_of
+from featureflow.operators.windows import global_position
+from featureflow.session import broadcast_if_small, has_at_most, remove_path, stage, staged_path
 
 #: Text columns with at most this many distinct values are one-hot encoded, others hashed.
 CARDINALITY = 40
@@ -115,23 +117,41 @@ def standardize(df: DataFrame, cols: list[str], fit_on: DataFrame | None = None)
 
 
 class LabelCodec:
-    """Text classes ↔ indices; classes in alphabetical order."""
+    """Text classes ↔ indices; classes in alphabetical order, values that are unknown or missing come after the last.
 
-    def __init__(self, col: str, index: str = "label"):
-        self.col, self.index = col, index
+    Up to `inline` classes are held by the model and written into expressions (`classes`). More are a
+    staged table (class, index), numbered in ranges and joined both ways, and never come to the driver.
+    """
+
+    def __init__(self, col: str, index: str = "label", inline: int = 10_000):
+        self.col, self.index, self.inline = col, index, inline
 
     def fit(self, df: DataFrame) -> LabelCodec:
-        self.model = StringIndexer(
-            inputCol=self.col, outputCol=self.index, stringOrderType="alphabetAsc", handleInvalid="keep"
-        ).fit(df)
-        self.classes = list(self.model.labels)
+        self.table = self.classes = None
+        values = stage(df.select(F.col(self.col).cast("string").alias("_class")).where(F.col("_class").isNotNull()).distinct())
+        if has_at_most(values, self.inline):
+            few = values.withColumnRenamed("_class", self.col)
+            self.model = StringIndexer(
+                inputCol=self.col, outputCol=self.index, stringOrderType="alphabetAsc", handleInvalid="keep"
+            ).fit(few)
+            self.classes = list(self.model.labels)
+        else:
+            self.table = stage(global_position(values, ["_class"], "_index"))
+            self.size = self.table.count()
+        remove_path(df.sparkSession, staged_path(values))
         return self
 
     def encode(self, df: DataFrame) -> DataFrame:
-        return self.model.transform(df)
+        if self.table is None:
+            return self.model.transform(df)
+        out = df.join(broadcast_if_small(self.table), F.col(self.col).cast("string") == F.col("_class"), "left")
+        return out.withColumn(self.index, F.coalesce("_index", F.lit(self.size)).cast("double")).drop("_class", "_index")
 
     def decode(self, df: DataFrame, index: str, out: str) -> DataFrame:
         """The class of an index; NULL for the index of unknown or missing values."""
+        if self.table is not None:
+            named = self.table.withColumnRenamed("_class", out)
+            return df.drop(out).join(broadcast_if_small(named), F.col(index).cast("long") == F.col("_index"), "left").drop("_index")
         if not self.classes:
             return df.withColumn(out, F.lit(None).cast("string"))
         return df.withColumn(out, F.get(F.array(*[F.lit(c) for c in self.classes]), F.col(index).cast("int")))

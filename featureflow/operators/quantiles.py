@@ -10,11 +10,13 @@ from featureflow.session import stage
 
 #: Groups up to this many rows are ranked whole.
 SMALL_GROUP = 50_000
+#: A group with more cells than this is ranked in chunks instead of in one task.
+HOT_CELLS = 1_000_000
 
 
 def exact_quantiles(
     df: DataFrame, by: list[str], col: str | Column, probs: dict[str, float],
-    accuracy: int = 20_000, small_group: int = SMALL_GROUP,
+    accuracy: int = 20_000, small_group: int = SMALL_GROUP, hot_cells: int = HOT_CELLS,
 ) -> DataFrame:
     """Interpolated quantiles per group (`by` may be empty), exact at any size.
 
@@ -69,7 +71,8 @@ def exact_quantiles(
         )
     else:
         # staged: one row per group, so the join is planned from its true size
-        with_b = v.join(stage(brackets), cond).drop(*[f"{k}_b" for k in keys])
+        brackets = stage(brackets)
+        with_b = v.join(brackets, cond).drop(*[f"{k}_b" for k in keys])
 
     inside, below = F.lit(False), F.lit(float("-inf"))
     for i in range(len(names)):
@@ -79,13 +82,16 @@ def exact_quantiles(
     cells = with_b.groupBy(*keys, F.when(inside, F.col("_v")).otherwise(below).alias("_cell")).agg(
         F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n")
     )
-    if by:
+    # cells of a group: all its values if it is small, else those in the brackets and one per gap
+    largest = brackets.agg(F.max("_n")).first()[0] if by else None
+    few = by and max(small_group, accuracy, (largest or 0) * 2 * eps * len(names)) <= hot_cells
+    if few:
         upto = F.sum("_c").over(
             Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         )
         ranked = cells.withColumn("_upto", upto)
-    else:  # one group: its cells are ranked in ranges if they are many
-        ranked = running(stage(cells), keys, ["_cell"], {"_upto": ("sum", "_c")})
+    else:  # a group's cells are ranked in chunks if they are many
+        ranked = running(stage(cells), keys, ["_cell"], {"_upto": ("sum", "_c")}, hot_cells, max(1, hot_cells // 8))
     picks = []
     for i, p in enumerate(probs.values()):
         at = (F.col("_n") - 1) * F.lit(p)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from featureflow.functions.hashing import key_digest
 from featureflow.lineage.graphs import producer_edges
+from featureflow.models.prep import LabelCodec
 from featureflow.operators import windows as W
 from featureflow.operators.joins import align_by_occurrence
 from featureflow.operators.quantiles import exact_quantiles
@@ -88,6 +89,28 @@ def test_quantiles(rows, small, accuracy):
         assert np.allclose([out[k][n] for n in probs], np.quantile(values, list(probs.values())))
 
 
+def test_quantiles_of_a_hot_group_in_chunks(spark):
+    """One group holds nearly all of many distinct values: its cells are ranked in chunks."""
+    df = spark.range(60_000).selectExpr("CASE WHEN id % 50 = 0 THEN 'cold' ELSE 'hot' END AS k", "cast((id * 7919) % 60013 AS double) + 0.5 AS v")
+    probs = {"a": 0.01, "b": 0.5, "c": 0.93}
+    got = {r["k"]: r for r in exact_quantiles(df, ["k"], "v", probs, accuracy=50, small_group=10, hot_cells=500).collect()}
+    values = {"hot": [], "cold": []}
+    for i in range(60_000):
+        values["cold" if i % 50 == 0 else "hot"].append((i * 7919) % 60013 + 0.5)
+    for k, own in values.items():
+        assert np.allclose([got[k][n] for n in probs], np.quantile(own, list(probs.values())))
+
+
+def test_many_classes_stay_in_a_table(spark):
+    df = spark.range(3000).selectExpr("CASE WHEN id % 11 = 0 THEN NULL ELSE concat('c', (id * 37) % 500) END AS c", "id")
+    codec, plain = LabelCodec("c", inline=100).fit(df), LabelCodec("c").fit(df)
+    assert codec.classes is None and len(plain.classes) == codec.size
+    more = df.unionByName(spark.createDataFrame([("new", -1), (None, -2)], "c string, id long"))
+    a, b = codec.encode(more), plain.encode(more)
+    assert as_set(a.select("id", "label")) == as_set(b.select("id", "label"))
+    assert as_set(codec.decode(a, "label", "d").select("id", "d")) == as_set(plain.decode(b, "label", "d").select("id", "d"))
+
+
 def test_quantiles_over_distinct_values(spark):
     df = spark.range(20_000).select(((F.col("id") * 7919) % 20_011).cast("double").alias("v"))
     values = np.array([(i * 7919) % 20_011 for i in range(20_000)], dtype=float)
