@@ -6,15 +6,19 @@ short and a lost executor costs one round; parent chains are walked by doubling.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featureflow.operators.windows import running
-from featureflow.session import stage, staged_path
+from featureflow.session import remove_path, stage, staged_path
 
 G = "graph_id"
+#: Graphs of at most so many nodes and edges are walked whole, one task each; larger ones by joins.
+WHOLE = 200_000
 
 
 def validate_graphs(nodes: DataFrame, edges: DataFrame, check_cycles: bool = True) -> DataFrame:
@@ -61,7 +65,7 @@ def validate_graphs(nodes: DataFrame, edges: DataFrame, check_cycles: bool = Tru
 
 
 def _heads(left: DataFrame, inward: DataFrame) -> DataFrame:
-    """(graph_id, id, head, far): where the walk up over single parents ends, and its length.
+    """(graph_id, id, head, far), staged: where the walk up over single parents ends, and its length.
 
     Nodes with one incoming edge point at its source; pointers double their reach per round.
     The head is NULL for nodes that end in a cycle or at an unknown node.
@@ -83,19 +87,60 @@ def _heads(left: DataFrame, inward: DataFrame) -> DataFrame:
             (F.col("_open") & F.coalesce("_o", F.lit(False)) & F.col("_h").isNotNull()).alias("_open"),
         )
         state = stage(moved, replaces=staged_path(state))
-    return state.select(G, "id", F.when(~F.col("_open"), F.col("head")).alias("head"), "far")
-
-
-def _peel(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    return stage(state.select(G, "id", F.when(~F.col("_open"), F.col("head")).alias("head"), "far"), replaces=staged_path(state))
+
+
+def _walk_whole() -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Levels of one graph's nodes, by taking off nodes whose sources all have levels."""
+
+    def run(nodes: pa.Table, edges: pa.Table) -> pa.Table:
+        at = {x: i for i, x in enumerate(nodes.column("id").to_pylist())}
+        level, waits, after = [0] * len(at), [0] * len(at), [[] for _ in at]
+        for source, target in zip(edges.column("source").to_pylist(), edges.column("target").to_pylist(), strict=True):
+            if source != target and target in at:
+                waits[at[target]] += 1
+                if source in at:  # an unknown source never comes off
+                    after[at[source]].append(at[target])
+        ready = [i for i, n in enumerate(waits) if n == 0]
+        for i in ready:  # grows while it is walked
+            for j in after[i]:
+                level[j] = max(level[j], level[i] + 1)
+                waits[j] -= 1
+                if waits[j] == 0:
+                    ready.append(j)
+        found = pa.array([None if n else x for x, n in zip(level, waits, strict=True)], pa.int32())
+        return nodes.select([G, "id"]).append_column("level", found)
+
+    return run
+
+
+def _peel(nodes: DataFrame, edges: DataFrame, whole: int | None = None) -> DataFrame:
     """(graph_id, id, level): the longest distance from a root.
 
     Nodes in or behind a cycle, or behind an unknown source, get NULL. Self-loops do not
-    count. Runs of nodes with one parent are walked by doubling, so chains and trees take
+    count. Graphs of at most `whole` nodes and edges are walked in one round, a task each.
+    """
+    whole = WHOLE if whole is None else whole
+    left = stage(nodes.select(G, "id").distinct())
+    links = stage(edges.where("source <> target").select(G, "source", "target").distinct())
+    sizes = left.select(G).unionAll(links.select(G)).groupBy(G).count()
+    large = stage(sizes.where(F.col("count") > whole).select(G))
+    out = f"{G} {left.schema[G].dataType.simpleString()}, id {left.schema['id'].dataType.simpleString()}, level int"
+    no_large = large.isEmpty()
+    if no_large:
+        remove_path(nodes.sparkSession, staged_path(large))
+    some_left, some_links = (left, links) if no_large else (left.join(large, G, "left_anti"), links.join(large, G, "left_anti"))
+    small = some_left.groupBy(G).cogroup(some_links.groupBy(G)).applyInArrow(_walk_whole(), out)
+    if no_large:
+        return small
+    return small.unionByName(_peel_by_joins(left.join(large, G, "left_semi"), links.join(large, G, "left_semi")))
+
+
+def _peel_by_joins(left: DataFrame, links: DataFrame) -> DataFrame:
+    """The same for graphs of any size. Runs of nodes with one parent are walked by doubling, so chains and trees take
     as many rounds as their depth has binary digits; only where several edges meet do
     levels go up one round at a time, over the meeting nodes alone.
     """
-    left = nodes.select(G, "id").distinct()
-    links = stage(edges.where("source <> target").select(G, "source", "target").distinct())
     inward = links.groupBy(G, F.col("target").alias("id")).agg(F.count(F.lit(1)).alias("_n"), F.max("source").alias("_up"))
     inward = stage(inward)
     heads = _heads(left, inward)
@@ -118,9 +163,12 @@ def _peel(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         front = stage(ready.join(done, [G, "target"], "left_anti").select(G, F.col("target").alias("id"), F.col("_best").cast("int").alias("level")))
         seen = seen_now
         paths.append(staged_path(front))
-        known = nodes.sparkSession.read.schema(front.schema).parquet(*paths)
+        known = left.sparkSession.read.schema(front.schema).parquet(*paths)
     level = known.select(G, F.col("id").alias("head"), F.col("level").alias("_l"))
-    return heads.join(level, [G, "head"], "left").select(G, "id", (F.col("_l") + F.col("far")).cast("int").alias("level"))
+    out = stage(heads.join(level, [G, "head"], "left").select(G, "id", (F.col("_l") + F.col("far")).cast("int").alias("level")))
+    for old in (*paths, *(staged_path(x) for x in (inward, heads, into, need, seen) if x is not None)):
+        remove_path(left.sparkSession, old)
+    return out
 
 
 def acyclic(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -133,11 +181,44 @@ def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(_peel(nodes, edges), [G, "id"], "left")
 
 
+def _flip(edges: DataFrame) -> DataFrame:
+    return edges.select(G, F.col("target").alias("source"), F.col("source").alias("target"), F.col("_t").alias("_s"), F.col("_s").alias("_t"))
+
+
+def _pass_through(edges: DataFrame) -> DataFrame:
+    """`edges` (staged, replaced) without removed nodes that lead to one node only, and without ways that end in a removed node.
+
+    A run of such nodes is walked by doubling: what leads into it leads to its end. A
+    cycle of them leads nowhere.
+    """
+    loops = F.col("_s") & (F.col("source") == F.col("target"))
+    out = edges.where("_s").where(~loops).groupBy(G, F.col("source").alias("id")).agg(F.count(F.lit(1)).alias("_n"), F.max("target").alias("_up"))
+    out = stage(out)
+    ends = edges.where("_t").select(G, F.col("target").alias("id")).unionByName(out.where("_n = 1").select(G, F.col("_up").alias("id"))).unionByName(out.select(G, "id"))
+    heads = _heads(ends.distinct(), out)
+    # a removed node stays if it leads to several nodes
+    forks = out.where("_n > 1").select(G, F.col("id").alias("head"), F.lit(True).alias("_fork"))
+    gone = edges.where("_s").select(G, F.col("source").alias("head"), F.lit(True).alias("_gone")).unionByName(edges.where("_t").select(G, F.col("target").alias("head"), F.lit(True).alias("_gone"))).distinct()
+    led = heads.where("head IS NOT NULL").join(gone, [G, "head"], "left").join(forks, [G, "head"], "left").where("_gone IS NULL OR _fork")
+    led = led.select(G, F.col("id").alias("target"), "head", F.col("_fork").isNotNull().alias("_t"))
+    kept = edges.where("_s").join(forks.select(G, F.col("head").alias("source")), [G, "source"], "left_semi").unionByName(edges.where("NOT _s"))
+    through = kept.where("_t").drop("_t").join(led, [G, "target"]).select(G, "source", F.col("head").alias("target"), "_s", "_t")
+    whole = kept.where("NOT _t").unionByName(through.where(~(F.col("_s") & (F.col("source") == F.col("target")))))
+    done = stage(whole.distinct(), replaces=staged_path(edges))
+    for old in (out, heads):
+        remove_path(edges.sparkSession, staged_path(old))
+    return done
+
+
 def contract(nodes: DataFrame, edges: DataFrame, internal: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Remove internal nodes; every kept source reaches every kept target behind them.
 
-    The walk passes through removed nodes only. Returns (nodes, edges); edges are distinct.
+    Returns (nodes, edges); edges are distinct. Removed nodes with one way out, then those with one way in,
+    are taken out first, again and again until none is left: that keeps or lowers the number of
+    edges, and whole chains go in one round. Only from the removed nodes where ways both meet and part are
+    pairs (source, removed node) formed, each once.
     """
+    spark = nodes.sparkSession
     gone = stage(internal.select(G, "id").distinct())
     kept_nodes = nodes.join(gone, [G, "id"], "left_anti")
     marks_t = gone.select(G, F.col("id").alias("target"), F.lit(True).alias("_t"))
@@ -147,19 +228,29 @@ def contract(nodes: DataFrame, edges: DataFrame, internal: DataFrame) -> tuple[D
         .join(marks_t, [G, "target"], "left")
         .select(G, "source", "target", F.col("_s").isNotNull().alias("_s"), F.col("_t").isNotNull().alias("_t"))
     )
+    if not flagged.where("_s AND _t").isEmpty():
+        left, before = flagged.count(), None
+        while left != before:
+            flagged = _pass_through(flagged)
+            back = stage(_flip(flagged), replaces=staged_path(flagged))
+            back = _pass_through(back)
+            flagged = stage(_flip(back), replaces=staged_path(back))
+            left, before = flagged.count(), left
     direct = flagged.where("NOT _s AND NOT _t").select(G, "source", "target")
     inner = flagged.where("_s").select(G, F.col("source").alias("_at"), F.col("target").alias("_to"), "_t")
     front = stage(flagged.where("NOT _s AND _t").select(G, "source", F.col("target").alias("_at")))
-    seen, found = front, [direct]
-    while True:  # each round reaches new pairs, so it ends
-        step = stage(front.join(inner, [G, "_at"]).select(G, "source", "_to", "_t").distinct())
-        found.append(step.where("NOT _t").select(G, "source", F.col("_to").alias("target")))
-        ahead = step.where("_t").select(G, "source", F.col("_to").alias("_at"))
+    steps, fronts = [], [front]
+    while not front.isEmpty():  # each round reaches new pairs, so it ends
+        steps.append(stage(front.join(inner, [G, "_at"]).select(G, "source", "_to", "_t").distinct()))
+        ahead = steps[-1].where("_t").select(G, "source", F.col("_to").alias("_at"))
+        seen = spark.read.schema(front.schema).parquet(*[staged_path(f) for f in fronts])
         front = stage(ahead.join(seen, [G, "source", "_at"], "left_anti"))
-        if front.limit(1).count() == 0:
-            break
-        seen = stage(seen.unionByName(front))
-    return kept_nodes, reduce(lambda a, b: a.unionByName(b), found).distinct()
+        fronts.append(front)
+    found = [direct, *(s.where("NOT _t").select(G, "source", F.col("_to").alias("target")) for s in steps)]
+    out = stage(reduce(lambda a, b: a.unionByName(b), found).distinct())
+    for old in (flagged, *steps, *fronts):
+        remove_path(spark, staged_path(old))
+    return kept_nodes, out
 
 
 def prune(nodes: DataFrame, edges: DataFrame, final: DataFrame | None = None,
