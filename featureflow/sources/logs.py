@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from featureflow.functions.hashing import _col
 from featureflow.operators.windows import running
@@ -90,6 +91,105 @@ def read_log_blocks(spark: SparkSession, path: str) -> DataFrame:
     return out.withColumn("position", (F.col("_nth") - 1).cast("bigint")).drop("_nth")
 
 
+def growing_pieces(spark: SparkSession, folder: str, suffix: str = "") -> DataFrame:
+    """Pieces of text files that are still written, as a stream: (file_path, end, value).
+
+    The source keeps a byte offset per file. A batch takes what the files have gained; a piece ends with the end mark
+    of a block and belongs to the batch in which the mark is complete, so that a block cut across two
+    batches comes once and whole: its front is read again, back to the mark before it. `end` is the
+    byte after the mark. Files are listed on the driver and read in the tasks, by the folder's
+    file system. A file that shrinks counts as a new one. A restart goes on from its checkpoint.
+    """
+    spark.dataSource.register(_growing_source())
+    return spark.readStream.format("growing_pieces").option("folder", folder).option("suffix", suffix).load()
+
+
+def stream_growing(spark: SparkSession, folder: str, suffix: str = "") -> DataFrame:
+    """Marked blocks of growing log files; `position` counts the blocks of a piece, `end` orders pieces in a file."""
+    return parse_marked_blocks(growing_pieces(spark, folder, suffix), "value")
+
+
+def _growing_source() -> type:
+    """The source's class; made here, so that workers get it with the stream and need no package."""
+    mark, step = BLOCK_END.encode(), 1 << 16
+
+    class Reader(DataSourceStreamReader):
+        def __init__(self, folder: str, suffix: str):
+            self.folder, self.suffix = folder, suffix
+
+        def _files(self):
+            from pyarrow import fs
+
+            if "://" in self.folder or self.folder.startswith("file:"):
+                return fs.FileSystem.from_uri(self.folder)
+            return fs.LocalFileSystem(), self.folder
+
+        def initialOffset(self) -> dict:
+            return {}
+
+        def latestOffset(self) -> dict:
+            from pyarrow import fs
+
+            files, root = self._files()
+            found = files.get_file_info(fs.FileSelector(root, allow_not_found=True))
+            named = (f for f in found if f.is_file and not f.base_name.startswith((".", "_")) and f.base_name.endswith(self.suffix))
+            return {f.path: f.size for f in named if f.size}
+
+        def partitions(self, start: dict, end: dict) -> list:
+            grown = []
+            for path, to in sorted(end.items()):
+                since = start.get(path, 0)
+                since = 0 if since > to else since
+                if since < to:
+                    grown.append(GrowingPart(path, since, to))
+            return grown
+
+        def read(self, part):
+            files, _ = self._files()
+            with files.open_input_file(part.path) as f:
+                # the open piece begins after the last mark that was complete before `since`
+                first, tail = part.since, b""
+                while first > 0 and mark not in tail:
+                    back = max(0, first - step)
+                    f.seek(back)
+                    tail = f.read(first - back) + tail
+                    first = back
+                if mark in tail:
+                    first += tail.rindex(mark) + len(mark)
+                f.seek(first)
+                held, at = b"", first
+                while at < part.to:
+                    chunk = f.read(min(step, part.to - at))
+                    if not chunk:
+                        break
+                    at += len(chunk)
+                    *whole, held = (held + chunk).split(mark)
+                    for piece in whole:
+                        first += len(piece) + len(mark)
+                        yield (part.path, first, (piece + mark).decode("utf-8", "replace"))
+
+        def commit(self, end: dict) -> None:
+            pass
+
+    class GrowingPart(InputPartition):
+        def __init__(self, path: str, since: int, to: int):
+            super().__init__(0)
+            self.path, self.since, self.to = path, since, to
+
+    class Source(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return "growing_pieces"
+
+        def schema(self) -> str:
+            return "file_path string, end long, value string"
+
+        def streamReader(self, schema):
+            return Reader(self.options["folder"], self.options.get("suffix", ""))
+
+    return Source
+
+
 EVENT = T.StructType(
     [
         T.StructField("type", T.StringType()),

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+import uuid
+from collections.abc import Callable, Iterator, Mapping
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from featureflow.session import path_exists, remove_path
+from featureflow.session import broadcast_if_small, remove_path, stage, staged_path
 
 
 def read_table(spark: SparkSession, path: str, schema: str | T.StructType, fmt: str = "csv") -> DataFrame:
@@ -46,58 +49,173 @@ def load_dataset(spark: SparkSession, folder: str, names: list[str]) -> Inputs:
 
 
 KEYS = ["cache_key", "operation"]
+_PLACE = ["batch", *KEYS]
+_SNAPSHOT = "batch string, cache_key string, operation string, version int"
 
 
 def write_results(df: DataFrame, path: str) -> None:
     """Store rows by (cache_key, operation); only the keys in `df` are replaced.
 
-    The rebalance hint merges small writers and splits a key that holds most rows.
+    Rows go into a folder of their own that no snapshot names yet; the snapshot that makes them live is
+    committed by one rename, so readers see all of a write or nothing. The rebalance
+    hint merges small writers and splits a key that holds most rows.
     """
-    (
-        df.hint("rebalance", *KEYS)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*KEYS)
-        .parquet(f"{path}/live")
-    )
+    spark, batch = df.sparkSession, uuid.uuid4().hex
+    df.hint("rebalance", *KEYS).write.partitionBy(*KEYS).parquet(f"{path}/data/batch={batch}")
+    if not any(True for _ in _children(spark, f"{path}/data/batch={batch}", "cache_key=")):
+        return  # no rows, no keys
+    new = _text_keys(spark, f"{path}/data/batch={batch}").select(*KEYS).distinct().withColumn("batch", F.lit(batch))
+    new = stage(new.select(*_PLACE, F.lit(None).cast("int").alias("version")))
+
+    def after(rows: DataFrame) -> DataFrame:
+        gone = new.select(*[F.col(k).alias(f"_{k}") for k in KEYS])
+        same = F.col("cache_key").eqNullSafe(F.col("_cache_key")) & F.col("operation").eqNullSafe(F.col("_operation"))
+        kept = rows.join(gone, same & F.col("version").isNull(), "left_anti")
+        return kept.unionByName(new)
+
+    _commit(spark, path, after)
+    remove_path(spark, staged_path(new))
 
 
 def read_results(spark: SparkSession, path: str, key: str | None = None, operation: str | None = None) -> DataFrame:
-    """Live rows; the filters prune folders."""
-    df = spark.read.parquet(f"{path}/live").withColumns({k: F.col(k).cast("string") for k in KEYS})
-    if key is not None:
-        df = df.where(F.col("cache_key") == key)
-    if operation is not None:
-        df = df.where(F.col("operation") == operation)
-    return df
+    """Live rows of the newest snapshot; the filters prune folders."""
+    return _rows(spark, path, F.col("_version").isNull(), key, operation).drop("_version")
 
 
 def list_keys(spark: SparkSession, path: str) -> DataFrame:
-    return read_results(spark, path).select("cache_key").distinct()
+    """Live keys, from the snapshot alone."""
+    return _snapshot(spark, path)[1].where("version IS NULL").select("cache_key").distinct()
 
 
 def archive_results(spark: SparkSession, path: str, key: str) -> int:
-    """Move the live rows of a key to its next archive version; returns the version.
+    """Make the live rows of a key its next archive version; returns the version.
 
-    The archive copy is complete before the live folder goes, so a lost job can be
-    repeated without losing rows.
+    Rows stay where they are: the next snapshot names them as archived. A job that is lost before
+    the commit has changed nothing, one that is repeated after it finds nothing to archive.
     """
-    version = 1
-    if path_exists(spark, f"{path}/archive/cache_key={key}"):
-        old = read_archive(spark, path).where(F.col("cache_key") == key)
-        version = (old.agg(F.max("version")).first()[0] or 0) + 1
-    rows = read_results(spark, path, key).withColumn("version", F.lit(version))
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        "cache_key", "version", "operation"
-    ).parquet(f"{path}/archive")
-    remove_path(spark, f"{path}/live/cache_key={key}")
-    return version
+    found = {}
+
+    def after(rows: DataFrame) -> DataFrame:
+        own = F.col("cache_key") == key
+        old = rows.where(own).agg(F.max("version").alias("v"), F.count(F.when(F.col("version").isNull(), 1)).alias("live")).first()
+        found["version"] = (old["v"] or 0) + (1 if old["live"] else 0)
+        moved = F.when(own & F.col("version").isNull(), F.lit(found["version"])).otherwise(F.col("version"))
+        return rows.withColumn("version", moved.cast("int"))
+
+    _commit(spark, path, after)
+    return found["version"]
 
 
 def read_archive(spark: SparkSession, path: str, key: str | None = None, version: int | None = None) -> DataFrame:
-    df = spark.read.parquet(f"{path}/archive").withColumn("cache_key", F.col("cache_key").cast("string"))
-    if key is not None:
-        df = df.where(F.col("cache_key") == key)
-    if version is not None:
-        df = df.where(F.col("version") == version)
-    return df
+    """Archived rows of the newest snapshot with their version."""
+    wanted = F.col("_version").isNotNull() if version is None else F.col("_version") == version
+    return _rows(spark, path, wanted, key, None).withColumnRenamed("_version", "version")
+
+
+def clean_results(spark: SparkSession, path: str) -> int:
+    """Remove what the newest snapshot doesn't name: replaced rows, lost writes, older snapshots. Returns the folders removed.
+
+    Not beside running writers or readers of older snapshots.
+    """
+    number, rows = _snapshot(spark, path)
+    used = {r["batch"] for r in rows.select("batch").distinct().collect()}  # one row per write
+    gone = [b for b in _children(spark, f"{path}/data", "batch=") if b.partition("=")[2] not in used]
+    newest = _name_of(spark, path, number)
+    gone_rows = [r for r in _children(spark, f"{path}/snapshots/rows", "") if r != newest]
+    for folder in [f"{path}/data/{b}" for b in gone] + [f"{path}/snapshots/rows/{r}" for r in gone_rows]:
+        remove_path(spark, folder)
+    for n in _numbers(spark, path):
+        if n < number:
+            remove_path(spark, f"{path}/snapshots/{n}")
+    return len(gone)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _children(spark: SparkSession, path: str, prefix: str) -> Iterator[str]:
+    p, fs = _hadoop(spark, path)
+    if fs.exists(p):
+        for status in fs.listStatus(p):
+            name = status.getPath().getName()
+            if name.startswith(prefix) and not name.startswith((".", "_")):
+                yield name
+
+
+def _text_keys(spark: SparkSession, path: str) -> DataFrame:
+    """A folder with its partition columns as the text they are."""
+    name = "spark.sql.sources.partitionColumnTypeInference.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        return spark.read.parquet(path)
+    finally:
+        spark.conf.set(name, before)
+
+
+def _numbers(spark: SparkSession, path: str) -> list[int]:
+    return sorted(int(n) for n in _children(spark, f"{path}/snapshots", "") if n.isdigit())
+
+
+def _name_of(spark: SparkSession, path: str, number: int) -> str | None:
+    return spark.read.text(f"{path}/snapshots/{number}").first()[0] if number else None
+
+
+def _snapshot(spark: SparkSession, path: str) -> tuple[int, DataFrame]:
+    """Number and rows of the newest snapshot: which keys of which write are live (version NULL) or archived."""
+    numbers = _numbers(spark, path)
+    if not numbers:
+        return 0, spark.createDataFrame([], _SNAPSHOT)
+    name = _name_of(spark, path, numbers[-1])
+    return numbers[-1], spark.read.schema(_SNAPSHOT).parquet(f"{path}/snapshots/rows/{name}")
+
+
+def _commit(spark: SparkSession, path: str, change: Callable[[DataFrame], DataFrame]) -> None:
+    """Write the next snapshot and commit it by renaming the file that names it; begins anew if another writer was first."""
+    while True:
+        number, rows = _snapshot(spark, path)
+        name = uuid.uuid4().hex
+        change(rows).coalesce(1).write.parquet(f"{path}/snapshots/rows/{name}")  # a row per key, not per result
+        _write_text(spark, f"{path}/snapshots/.{name}", name)
+        if _rename(spark, f"{path}/snapshots/.{name}", f"{path}/snapshots/{number + 1}"):
+            return
+        remove_path(spark, f"{path}/snapshots/rows/{name}")
+
+
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    p, fs = _hadoop(spark, path)
+    out = fs.create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def _rename(spark: SparkSession, source: str, target: str) -> bool:
+    """Rename a file unless the target is there; True if it was done."""
+    jvm = spark.sparkContext._jvm
+    (src, _), (dst, _) = _hadoop(spark, source), _hadoop(spark, target)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(src.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        context.rename(src, dst, spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+    except Py4JJavaError as e:
+        if "FileAlreadyExistsException" not in str(e.java_exception):
+            raise
+        remove_path(spark, source)
+        return False
+    return True
+
+
+def _rows(spark: SparkSession, path: str, wanted: Column, key: str | None, operation: str | None) -> DataFrame:
+    number, snapshot = _snapshot(spark, path)
+    if not number:
+        raise ValueError(f"no results under {path}")
+    data = _text_keys(spark, f"{path}/data")
+    named = snapshot.withColumnRenamed("version", "_version").where(wanted)
+    for column, value in (("cache_key", key), ("operation", operation)):
+        if value is not None:
+            data, named = data.where(F.col(column) == value), named.where(F.col(column) == value)
+    named = named.select(*[F.col(c).alias(f"_{c}") for c in _PLACE], "_version")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in _PLACE])
+    return data.join(broadcast_if_small(named), same).drop(*[f"_{c}" for c in _PLACE], "batch")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from featureflow.operators.windows import latest_per_key
 from featureflow.sources.logs import EVENT, parse_event_lines, parse_marked_blocks
@@ -53,6 +54,63 @@ def run_status(events: DataFrame, run: str = "run_id", type_: str = "type", cost
     )
 
 
+STATUS = "cost_usd double, events long, nodes long, status string, ended boolean"
+
+
+def run_status_until(events: DataFrame, timeout_s: int, run: str = "run_id", type_: str = "type", cost: str = "cost", ts: str = "ts",
+                     seq: str = "seq", done: tuple[str, ...] = DONE, node_type: str = "node_code", late_s: int = 0) -> DataFrame:
+    """`run_status` of a stream with bounded state: a run ends `timeout_s` seconds after its last event.
+
+    One row per run in every batch that has events of it, and a last one with `ended` when its
+    time is up: the status is then "timeout" if no terminal event came, and its state is dropped. Time
+    is event time; rows more than `late_s` seconds behind the latest one are late and dropped, out of
+    order ones within that count. A run that speaks again after its end starts anew. Needs the RocksDB state store.
+    """
+    key = events.schema[run].dataType.simpleString()
+    rows = events.withWatermark(ts, f"{late_s} seconds").select(
+        F.col(run).alias("run"), F.col(ts).alias("ts"), F.col(seq).cast("long").alias("seq"), F.coalesce(F.col(cost).cast("double"), F.lit(0.0)).alias("cost"),
+        (F.col(type_) == node_type).alias("node"), F.when(F.col(type_).isin(*done), F.col(type_)).alias("end"),
+    )
+    out = rows.groupBy("run").transformWithStateInPandas(_run_processor(timeout_s * 1000), f"run {key}, {STATUS}", "update", "eventTime")
+    return out.withColumnRenamed("run", run)
+
+
+def _run_processor(timeout_ms: int) -> StatefulProcessor:
+    """Status of one run; a small class made here, so that workers get it with the stream and need no package."""
+
+    class Status(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            kinds = "cost double, events long, nodes long, status string, end_ms long, end_seq long, last_ms long"
+            self.state = handle.getValueState("run", kinds)
+
+        def handleInputRows(self, key, rows, timerValues):
+            cost, events, nodes, status, end_ms, end_seq, last = self.state.get() or (0.0, 0, 0, None, None, None, None)
+            before = last
+            for part in rows:
+                ms = part["ts"].astype("datetime64[ms]").astype("int64")
+                cost, events, nodes = cost + float(part["cost"].sum()), events + len(part), nodes + int(part["node"].fillna(False).sum())
+                last = int(ms.max()) if last is None else max(last, int(ms.max()))
+                for at, nth, end in zip(ms, part["seq"], part["end"], strict=True):
+                    if end is not None and (end_ms is None or (int(at), int(nth)) > (end_ms, end_seq)):
+                        status, end_ms, end_seq = end, int(at), int(nth)
+            if before is not None:
+                self.handle.deleteTimer(before + timeout_ms)
+            self.handle.registerTimer(last + timeout_ms)
+            self.state.update((cost, events, nodes, status, end_ms, end_seq, last))
+            yield pd.DataFrame({"run": [key[0]], "cost_usd": [cost], "events": [events], "nodes": [nodes], "status": [status], "ended": [False]})
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            cost, events, nodes, status, *_ = self.state.get()
+            self.state.clear()
+            yield pd.DataFrame({"run": [key[0]], "cost_usd": [cost], "events": [events], "nodes": [nodes], "status": [status or "timeout"], "ended": [True]})
+
+        def close(self) -> None:
+            pass
+
+    return Status()
+
+
 def write_updates(stream: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Update-mode sink: every micro-batch adds its changed rows with the batch number.
 
