@@ -137,6 +137,27 @@ def q4f(spark, sf):
     return SemRefine("mode", existing_only=True, max_deletes=1).fit_transform(li)
 
 
+#: Part names, about three of five with one or two edits.
+MISSPELT = (
+    "CASE p_partkey % 5 WHEN 0 THEN concat(substring(p_name, 1, 2), substring(p_name, 4)) WHEN 1 THEN concat(substring(p_name, 1, 3), 'zq', substring(p_name, 4))"
+    " WHEN 2 THEN concat('x', substring(p_name, 2)) ELSE p_name END"
+)
+
+
+@query(
+    "q4_refine_distance",
+    f"WITH RECURSIVE p AS (SELECT p_partkey, {MISSPELT} AS name FROM part), k AS (SELECT p_partkey, name,"
+    " array_to_string(list_sort(list_distinct(regexp_extract_all(lower(name), '[\\p{L}\\p{N}]+'))), ' ') AS k FROM p),"
+    " d AS (SELECT DISTINCT k FROM k), r AS (SELECT k, k AS g FROM d UNION SELECT r.k, d.k FROM r JOIN d ON levenshtein(r.g, d.k) <= 2),"
+    " c AS (SELECT k, min(g) AS g FROM r GROUP BY 1), n AS (SELECT g, name, count(*) AS n FROM k JOIN c USING (k) GROUP BY ALL),"
+    " b AS (SELECT g, name AS best FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY n DESC, name) AS i FROM n) WHERE i = 1)"
+    " SELECT p_partkey, best AS name FROM k JOIN c USING (k) JOIN b USING (g)",
+)
+def q4d(spark, sf):
+    p = table(spark, sf, "part").selectExpr("p_partkey", f"{MISSPELT} AS name")
+    return SemRefine("name", existing_only=True, max_distance=2).fit_transform(p)
+
+
 @query("q5_extract_dates", date_sql("ordinal"))
 def q5(spark, sf):
     meanings = {
@@ -157,7 +178,7 @@ def words_sql(c: str) -> str:
 
 
 def list_sql(words) -> str:
-    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]::VARCHAR[]"
 
 
 TERMS = {"metal": ["widget", "bolt", "gear"], "mood": ["cold", "small", "large", "red"]}
@@ -185,6 +206,49 @@ def q7(spark, sf):
     return op.fit_transform(table(spark, sf, "pages").select("page_id", "html"))
 
 
+#: Terms of several words, with accents, one inside another, two spellings of the same words, and one without words.
+PLACES = ["New York", "York", "café", "Cafe", "Café de la Paix", "são  paulo", "red widget", "--", "ring near the"]
+PLACED = "p_name || CASE p_partkey % 4 WHEN 0 THEN ' in New-York, near the Café!' WHEN 1 THEN ' of SÃO Paulo, de la Paix' WHEN 2 THEN ' CAFÉ de  la paix; new' ELSE ' near york' END"
+
+
+def phrases_sql(terms: list[str], text: str, feature: str) -> str:
+    """Flag, count and list of the terms whose plain words stand side by side in a text."""
+    spelled = "(SELECT array_to_string(" + words_sql("t") + ", ' ') AS k, min(lower(t)) AS t FROM (SELECT unnest(" + list_sql(terms) + ") AS t) GROUP BY 1 HAVING k <> '')"
+    return (
+        f"WITH p AS (SELECT p_partkey, ' ' || array_to_string({words_sql(text)}, ' ') || ' ' AS w FROM part),"
+        f" h AS (SELECT p_partkey, list_sort(list(t)) AS l FROM p JOIN {spelled} ON contains(w, ' ' || k || ' ') GROUP BY 1)"
+        f" SELECT p_partkey, l IS NOT NULL AS is_{feature}, coalesce(len(l), 0) AS {feature}_count, coalesce(array_to_string(l, ', '), '') AS {feature}_terms"
+        " FROM p LEFT JOIN h USING (p_partkey)"
+    )
+
+
+@query("q6_extract_phrases", phrases_sql(PLACES, PLACED, "place"))
+def q6p(spark, sf):
+    p = table(spark, sf, "part").selectExpr("p_partkey", f"{PLACED} AS text")
+    return SemExtract(["text"], dictionaries={"place": PLACES}).fit_transform(p).drop("text")
+
+
+#: Too many to be literals of an expression.
+MANY_PLACES = [*PLACES, *(f"{a} {b} no {i}" for a in ("red", "old", "hot") for b in ("ring", "gear", "rod") for i in range(230))]
+NUMBERED = f"{PLACED} || ' no ' || p_partkey % 300 || ' ' || p_name || ' no ' || p_size"
+
+
+@query("q6_extract_many_phrases", phrases_sql(MANY_PLACES, NUMBERED, "place"))
+def q6m(spark, sf):
+    """A long list, stored and loaded, behind another program."""
+    p = table(spark, sf, "part").selectExpr("p_partkey", f"{NUMBERED} AS text")
+    path = fresh(spark, "terms")
+    chain(SemExtract(["text"], dictionaries={"color": ["red"]}).fit(p), SemExtract(["text"], dictionaries={"place": MANY_PLACES}).fit(p)).save(spark, path)
+    return FeatureProgram.load(spark, path).transform(p).select("p_partkey", "is_place", "place_count", "place_terms")
+
+
+@query("q8_annotate_phrases", "SELECT p_partkey, place_terms AS ent_location FROM (" + phrases_sql(PLACES, PLACED, "place") + ")")
+def q8p(spark, sf):
+    lists = {"cultural_group": ["ring near"], "location": PLACES, "period": [], "adjective": ["old"]}
+    p = table(spark, sf, "part").selectExpr("p_partkey", f"{PLACED} AS text")
+    return annotate(p, "text", lists).select("p_partkey", "ent_location")
+
+
 @query(
     "q8_annotate",
     "SELECT doc_id, "
@@ -382,6 +446,39 @@ def q1t(spark, sf):
     return o.select("o_orderkey", F.col("d").cast("string").alias("d"), F.col("t").cast("string").alias("t"), "b")
 
 
+TIED = "SELECT p_partkey, p_partkey // 3 AS g, CASE p_partkey % 3 WHEN 0 THEN 9 WHEN 1 THEN 10 END AS n, CASE p_partkey % 3 WHEN 0 THEN 10.5 WHEN 1 THEN 9.5 END::DECIMAL(6,1) AS d FROM part"
+
+
+@query(
+    "q1_fill_ties",
+    f"WITH t AS ({TIED}), b AS (SELECT g, min(n) AS bn, min(d) AS bd FROM t GROUP BY 1) SELECT p_partkey, coalesce(n, bn, 9)::BIGINT AS n, coalesce(d, bd, 9.5)::VARCHAR AS d,"
+    " CASE WHEN n IS NOT NULL THEN 'given' WHEN bn IS NOT NULL THEN 'group' ELSE 'overall' END AS n_source FROM t LEFT JOIN b USING (g)",
+)
+def q1ties(spark, sf):
+    """Of values that are met equally often the least goes, as a number and not as text."""
+    p = table(spark, sf, "part").selectExpr(
+        "p_partkey", "p_partkey div 3 AS g", "CASE p_partkey % 3 WHEN 0 THEN 9L WHEN 1 THEN 10L END AS n",
+        "CAST(CASE p_partkey % 3 WHEN 0 THEN 10.5 WHEN 1 THEN 9.5 END AS DECIMAL(6,1)) AS d",
+    )
+    out = SemFillNA("d", ["g"]).fit_transform(SemFillNA("n", ["g"]).fit_transform(p))
+    return out.select("p_partkey", "n", F.col("d").cast("string").alias("d"), "n_source")
+
+
+@query(
+    "q9_doubled_rows",
+    oracle_with("products") + ", n AS (SELECT 2 * count(*) AS rows FROM products) SELECT candidate, state, rows FROM n, (VALUES ('price_per_qty', 'kept'),"
+    " ('freq_make', 'kept'), ('cash_price_vs_item_mean', 'kept'), ('broken', 'refused'), ('flat', 'constant'), ('again', 'duplicate')) AS v(candidate, state)",
+)
+def q9d(spark, sf):
+    """Rows that come twice don't make different candidates look alike."""
+    p = view(spark, sf, "products")
+    twice = p.unionByName(p)
+    copy = [{"name": "again", "expr": "try_divide(cash_price, qty + 1) * 1", "needs": []}]
+    program = SemGenFeatures(how_many=9, proposer=lambda profile, hint: fixed_candidates(profile, hint) + copy).fit(twice)
+    tries = [(t["candidate"], t["state"]) for t in program.attempts[0]["tries"]]
+    return spark.createDataFrame(tries, "candidate string, state string").withColumn("rows", F.lit(twice.count()).cast("long"))
+
+
 # --- programs, preparation ---------------------------------------------------------------
 
 
