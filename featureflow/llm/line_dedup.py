@@ -1,9 +1,9 @@
 """Line deduplication by a join over deletion neighbourhoods. DataFrame operations only.
 
-Lines are sequences of words. A line goes if an earlier line (by doc_id, then line
+Lines are sequences of words. A line with at least `min_words` words goes if an earlier line (by doc_id, then line
 number) has the same words, or, where both have `near_words` words at least, is
-one word edit away: a word put in, left out or replaced. Lines of fewer than
-`min_words` words always stay. "Earlier" looks at all lines of the table, kept or not.
+one word edit away: a word put in, left out or replaced. "Earlier" looks at all lines of
+the table, kept or not.
 
 Distinct lines within one edit share an equal variant: for a replaced word both
 without that word, else the shorter line and the longer one without the extra word. All
@@ -15,7 +15,8 @@ a group are one edit apart and each is held against the group's earliest only.
 
 Before variants are emitted, lines that can't have a partner are left out: one
 edit leaves the first or the second half of a line as it is, so a line none of whose
-half keys is shared by another line has no partner.
+half keys is shared by another line has no partner. The lines left are numbered in their
+order, and variants carry the number only.
 
 Defined results: a NULL text counts as empty (one line without words, which stays);
 NULL doc_id comes last; rows that repeat doc_id and text count as one document; an empty
@@ -27,17 +28,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featureflow.llm.common import WORD, let, running, staged_side, text_of
-from featureflow.session import stage
+from featureflow.llm.common import WHITE, WORD, let, running, staged_side, text_of
+from featureflow.operators.windows import global_position
+from featureflow.session import stage, tidy
 
-MIN_WORDS = 5
+MIN_WORDS = 1
 NEAR_WORDS = 10
 
 _LAST = (1 << 63) - 1
 
 
+def _lines(text: Column) -> Column:
+    """The lines of a text, with blanks as their only white space."""
+    for c in WHITE.replace("\n", "").replace(" ", ""):
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.split(text, "\n")
+
+
 def _words(line: Column) -> Column:
-    return F.regexp_extract_all(line, F.lit(WORD), F.lit(0))
+    """Words of a line of `_lines`; splitting by one character needs no pattern."""
+    return F.array_remove(F.split(line, " "), "")
 
 
 def _pair_hash(words: Column) -> list[Column]:
@@ -59,23 +69,34 @@ def _id_columns() -> list[Column]:
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("d"), F.xxhash64(text_of()).alias("tie")]
 
 
-def _exploded(docs: DataFrame) -> DataFrame:
-    """d, tie, line_no, line of all lines."""
-    return docs.select(*_id_columns(), F.posexplode(F.split(text_of(), "\n")).alias("line_no", "line"))
-
-
 def _hashed(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
     """Place, hashes and half keys of all lines with at least `min_words` words."""
-    lines = _exploded(docs).select("d", "tie", "line_no", F.explode(F.array(_words(F.col("line")))).alias("ws"))
+    lines = docs.select(*_id_columns(), F.posexplode(_lines(text_of())).alias("line_no", "line"))
+    lines = lines.select("d", "tie", "line_no", F.explode(F.array(_words(F.col("line")))).alias("ws"))
     halves = F.when(F.size("ws") >= near_words, _half_keys(F.col("ws")))
     return lines.where(F.size("ws") >= min_words).select("d", "tie", "line_no", *_pair_hash(F.col("ws")), halves.alias("halves"))
 
 
 def _candidates(lines: DataFrame) -> DataFrame:
-    """h1, h2 of distinct lines that share a half key with another line."""
+    """h1 of distinct lines that share a half key with another line."""
     keyed = lines.where("halves IS NOT NULL").select("h1", F.explode("halves").alias("half"))
     shared = keyed.groupBy("half").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("half")
-    return keyed.join(shared, "half", "left_semi").select("h1").distinct()
+    return keyed.join(staged_side(shared), "half", "left_semi").select("h1").distinct()
+
+
+def _numbered(lines: DataFrame) -> DataFrame:
+    """Candidates (h1, h2) with the place (d, tie, line_no) of their first occurrence and a number `k` in that order."""
+    long = lines.where("halves IS NOT NULL").join(staged_side(_candidates(lines)), "h1", "left_semi")
+    firsts = long.groupBy("h1", "h2").agg(F.min(F.struct("d", "tie", "line_no")).alias("p")).select("h1", "h2", "p.*")
+    return stage(global_position(firsts, ["d", "tie", "line_no"], "k"))
+
+
+def _with_words(docs: DataFrame, numbered: DataFrame) -> DataFrame:
+    """k and the words of the candidates, cut out of the documents that hold their first occurrences."""
+    wanted = numbered.groupBy("d", "tie").agg(F.collect_list(F.struct("line_no", "k")).alias("own"))  # at most a document's lines
+    texts = docs.select(*_id_columns(), text_of().alias("text")).join(staged_side(wanted), ["d", "tie"])
+    lines = texts.select(F.explode(let(_lines(F.col("text")), lambda ls: F.transform("own", lambda o: F.struct(o["k"].alias("k"), F.get(ls, o["line_no"]).alias("line"))))).alias("x"))
+    return stage(lines.groupBy("x.k").agg(F.min("x.line").alias("line")).select("k", _words(F.col("line")).alias("ws")))
 
 
 def _variants(known: DataFrame) -> DataFrame:
@@ -92,54 +113,51 @@ def _variants(known: DataFrame) -> DataFrame:
             return let(running(moved, xor=True), each)
         return let(running(here, xor=True), lambda a: F.concat(F.array(F.element_at(a, -1)), without(a)))
 
-    spread = known.select("id", "first", F.size("ws").alias("size"), F.posexplode(let(F.col("ws"), keys)).alias("nth", "v"))
+    spread = known.select("k", F.size("ws").alias("size"), F.posexplode(let(F.col("ws"), keys)).alias("nth", "v"))
     whole = F.col("nth") == 0
-    return spread.select("id", "first", F.when(whole, F.col("size")).otherwise(F.col("size") - 1).alias("n"), (F.col("nth") - 1).alias("at"), "v")
+    return spread.select("k", F.when(whole, F.col("size")).otherwise(F.col("size") - 1).alias("n"), (F.col("nth") - 1).alias("at"), "v")
 
 
 def _near_removed(known: DataFrame) -> DataFrame:
-    """id of the distinct lines (id, first, ws) that have an earlier line one edit away."""
-    keys = _variants(known)
-    groups = stage(
-        keys.groupBy("v", "n", "at").agg(F.min(F.struct("first", "id")).alias("least"), F.max("first").alias("latest"))
-        .select("v", "n", "at", F.col("least.first").alias("e_first"), F.col("least.id").alias("e_id"), "latest")
-    )
-    replaced = groups.where("at >= 0 AND e_first <> latest").select("v", "n", F.col("at").alias("r_at"), "e_first", "e_id", F.lit("replaced").alias("how"))
-    shorter = groups.where("at < 0").select("v", "n", F.col("e_first").alias("s_first"), F.col("e_id").alias("s_id"))
+    """k of the distinct lines (k, ws) that have an earlier line one edit away."""
+    keys = stage(_variants(known))
+    groups = stage(keys.groupBy("v", "n", "at").agg(F.min("k").alias("e"), F.max("k").alias("latest")))
+    replaced = groups.where("at >= 0 AND e <> latest").select("v", "n", F.col("at").alias("r_at"), "e", F.lit("replaced").alias("how"))
+    shorter = groups.where("at < 0").select("v", "n", F.col("e").alias("s"))
+    longer = groups.where("at >= 0").join(shorter, ["v", "n"])
     # a replaced word: every line of the group against its earliest; a word more: the longer line against the shorter
-    longer = shorter.select("v", "n", F.lit(None).cast("int").alias("r_at"), F.col("s_first").alias("e_first"), F.col("s_id").alias("e_id"), F.lit("longer").alias("how"))
-    earlier = keys.where("at >= 0").join(replaced.unionByName(longer), ["v", "n"]).where("(r_at IS NULL OR r_at = at) AND first > e_first")
-    one_two = earlier.select("id", "e_id", "at", "how")
+    more = longer.where("latest > s").select("v", "n", F.col("at").alias("r_at"), F.col("s").alias("e"), F.lit("longer").alias("how"))
+    against = staged_side(replaced.unionByName(more))
+    earlier = keys.where("at >= 0").join(against, ["v", "n"]).where("r_at = at AND k > e")
+    one_two = earlier.select("k", "e", "at", "how")
     # and the shorter line against the earliest longer one of each group
-    three = groups.where("at >= 0").join(shorter, ["v", "n"]).where("s_first > e_first").select(F.col("s_id").alias("id"), "e_id", "at", F.lit("shorter").alias("how"))
+    three = longer.where("s > e").select(F.col("s").alias("k"), "e", "at", F.lit("shorter").alias("how"))
     pairs = one_two.unionByName(three)
-    words = known.select("id", "ws")
-    held = pairs.join(words, "id").join(words.select(F.col("id").alias("e_id"), F.col("ws").alias("es")), "e_id")
+    held = pairs.join(known, "k").join(known.select(F.col("k").alias("e"), F.col("ws").alias("es")), "e")
     less = lambda ws: F.concat(F.slice(ws, F.lit(1), F.col("at")), F.slice(ws, F.col("at") + 2, F.greatest(F.size(ws) - F.col("at") - 1, F.lit(0))))
     ws, es = F.col("ws"), F.col("es")
     confirmed = F.when(F.col("how") == "replaced", less(ws) == less(es)).when(F.col("how") == "longer", less(ws) == es).otherwise(ws == less(es))
-    return held.where(confirmed).select("id").distinct()
+    return held.where(confirmed).select("k").distinct()
 
 
+@tidy
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
     """d, tie and `gone`, the ascending numbers (from 0) of the lines that go, of documents that lose any."""
     lines = stage(_hashed(docs, min_words, near_words))
-    place = F.struct("d", "tie", "line_no")
-    distinct = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
-    distinct = stage(distinct)
-    wanted = staged_side(_candidates(lines))
-    texts = _exploded(docs).select(F.struct("d", "tie", "line_no").alias("place"), F.explode(F.array(_words(F.col("line")))).alias("ws"))
-    texts = texts.where(F.size("ws") >= near_words).select("place", "ws", *_pair_hash(F.col("ws")))
-    known = texts.join(wanted, "h1", "left_semi").groupBy("h1", "h2").agg(F.min(F.struct("place", "ws")).alias("x"))
-    known = stage(known.select(F.struct("h1", "h2").alias("id"), F.col("x.place").alias("first"), F.col("x.ws").alias("ws")))
-    near = _near_removed(known).select("id.h1", "id.h2", F.lit(True).alias("near"))
-    # lines of which something goes: repeated ones and near ones
-    marked = distinct.join(near, ["h1", "h2"], "left").where("n > 1 OR near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    marked = staged_side(marked)
-    gone = lines.select("d", "tie", "line_no", "h1", "h2").join(marked, ["h1", "h2"]).where(F.col("near") | (F.struct("d", "tie", "line_no") != F.col("first")))
-    return gone.groupBy("d", "tie").agg(F.array_sort(F.collect_set("line_no")).alias("gone"))
-
-
+    numbered = _numbered(lines)
+    near = _near_removed(_with_words(docs, numbered)).join(numbered, "k").select("h1", "h2", F.lit(True).alias("near"), F.lit(None).cast("long").alias("d0"))
+    equal = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("d0")).where("n > 1").select("h1", "h2", F.lit(False).alias("near"), "d0")
+    marked = equal.unionByName(near).groupBy("h1", "h2").agg(F.max("near").alias("near"), F.min("d0").alias("d0"))
+    hit = stage(lines.select("d", "tie", "line_no", "h1", "h2").join(staged_side(marked), ["h1", "h2"]))
+    # all occurrences go, but of a line without an earlier near one the first, which is in a document with the least d
+    firsts = hit.where("NOT near AND d = d0").groupBy("h1", "h2").agg(F.min(F.struct("d", "tie", "line_no")).alias("p")).select("p.*")
+    places = hit.select("d", "tie", "line_no", F.lit(False).alias("stays")).unionByName(firsts.select("d", "tie", "line_no", F.lit(True).alias("stays")))
+    of = lambda side: F.collect_set(F.when(F.col("stays") == F.lit(side), F.col("line_no")))
+    gone = places.groupBy("d", "tie").agg(F.array_sort(F.array_except(of(False), of(True))).alias("gone"))
+    return gone.where(F.size("gone") > 0)
+
+
+@tidy
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
     """All rows and columns of `docs` as c0, c1, ..., with n_lines, gone (line numbers) and kept_text."""
     gone = staged_side(repeated_lines(docs, min_words, near_words))
@@ -152,14 +170,15 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = N
     return out.select(*[f"c{i}" for i in range(len(names))], F.size("lines").alias("n_lines"), F.coalesce("gone", F.expr("cast(array() as array<int>)")).alias("gone"), kept.alias("kept_text"))
 
 
+@tidy
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
-    """The rows of `docs` with what stays of their text; rows that lose all their lines go.
+    """The rows of `docs` with what stays of their text; rows that lose all their lines with words go.
 
     A column n_chars follows the text. Rows that lose no line come through as they are.
     """
     names = docs.columns
-    out = dedup_lines(docs, min_words, near_words).where("size(gone) < n_lines")
     lost = F.size("gone") > 0
+    out = dedup_lines(docs, min_words, near_words).where(~lost | F.col("kept_text").rlike(WORD))
 
     def column(i: int, name: str) -> Column:
         c, kind = F.col(f"c{i}"), docs.schema[i].dataType
