@@ -6,7 +6,9 @@ overlapping within a kind; matches that fail their kind's check are dropped.
 Base spans are seeds. An occurrence has patterns of four families: the words on both sides,
 two words to the left, or two to the right, each with a coarse class (with an at sign, or with
 four digits or more: no identifier has fewer), and the word to the left with the shape of the
-string (letters as a, digits as 9, runs of up to three as one). A bipartite graph joins
+string (letters as a, digits as 9, runs of up to three as one). A fifth family backs off where words
+are rare: the class of the word to the left (a word, a number, a mark, none), the shape, and the
+kinds whose own pattern and check the string passes. A bipartite graph joins
 patterns and strings by how often they meet; rounds score patterns by the share of known
 strings among all they extract and strings by the patterns that extract them (the best family
 counts). Strings met in a pattern that scores at least `least_score` and holds at least
@@ -33,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featureflow.llm.common import let, running, text_of
-from featureflow.session import stage
+from featureflow.session import stage, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -222,6 +224,19 @@ def _key(s: Column) -> Column:
     return F.when(F.length(s) > 64, F.md5(s)).otherwise(s)
 
 
+def _word_class(w: Column) -> Column:
+    """What a word ends with: a letter, a digit, a colon or equals sign, another mark; nothing if there is no word."""
+    return F.when(w == "", "").when(w.rlike(r"\p{L}$"), "w").when(w.rlike("[0-9]$"), "9").when(w.rlike('[:="]$'), ":").otherwise(".")
+
+
+def _passes(s: Column) -> Column:
+    """The kinds, one letter each, whose pattern the whole string matches and whose check it passes."""
+    found = []
+    for kind, pattern in zip(KINDS, (EMAIL, IP, CARD, PHONE), strict=True):
+        found.append(F.when(s.rlike(f"^(?:{pattern})$") & _valid(kind)(s), kind[0]).otherwise(""))
+    return F.concat(*found)
+
+
 def _patterns(left: Column, right: Column, string: Column) -> Column:
     """Array of (family, pattern); contexts without any word are none."""
 
@@ -235,6 +250,7 @@ def _patterns(left: Column, right: Column, string: Column) -> Column:
             F.when((l1 != "") | (r1 != ""), pattern(1, l1, r1, cls)),
             F.when(l1 != "", pattern(2, l2, l1, cls)),
             F.when(r1 != "", pattern(3, r1, r2, cls)),
+            pattern(4, _word_class(l1), _shape(string), _passes(string)),
         ))
 
     return let(_context(left), lambda ls: let(_context(right), lambda rs: made(_word(ls, -1), _word(ls, -2), _word(rs, 1), _word(rs, 2))))
@@ -268,14 +284,51 @@ def bootstrap(seen: DataFrame, rounds: int = ROUNDS, least_seeds: int = LEAST_SE
     return patterns, strings
 
 
-def find(docs: DataFrame, least_score: float = LEAST_SCORE, least_seeds: int = LEAST_SEEDS, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, `base` and `added`: ordered arrays of (start, kind, end) of every row."""
+def _with_hidden(rows: DataFrame, hidden: Callable[[Column], Column]) -> DataFrame:
+    """Base spans whose string is hidden become candidates of no known kind."""
+    keep = F.filter("base", lambda x: ~hidden(x["string"]))
+    as_new = F.transform(F.filter("base", lambda x: hidden(x["string"])), lambda x: x.withField("kind", F.lit(None).cast("int")))
+    return rows.withColumns({"base": keep, "maybe": F.concat("maybe", as_new)})
+
+
+@tidy
+def hidden_seeds(docs: DataFrame, fold: int = 0, folds: int = 5, **settings) -> DataFrame:
+    """Per kind: spans of every `folds`th distinct base string, hidden from the seeds, how many of them come back, and other spans added.
+
+    This measures discovery on the documents themselves, with the settings that `find` would use.
+    """
+    hidden = lambda s: F.pmod(F.xxhash64(F.lit(17), s), F.lit(folds)) == fold
+    found = find(docs, hidden=hidden, **settings)
+    rows = found.select(F.explode(F.array(*[
+        F.struct(
+            F.lit(k).alias("kind"), F.size(F.filter("hidden", lambda x, i=i: x["kind"] == i)).alias("hidden"),
+            F.size(F.filter("added", lambda x, i=i: (x["kind"] == i) & F.exists("hidden", lambda y: y == x))).alias("found"),
+            F.size(F.filter("added", lambda x, i=i: (x["kind"] == i) & ~F.exists("hidden", lambda y: y == x))).alias("other"),
+        )
+        for i, k in enumerate(KINDS)
+    ])).alias("k")).select("k.*")
+    return rows.groupBy("kind").agg(*[F.sum(c).cast("long").alias(c) for c in ("hidden", "found", "other")])
+
+
+@tidy
+def find(
+    docs: DataFrame, least_score: float = LEAST_SCORE, least_seeds: int = LEAST_SEEDS, rounds: int = ROUNDS, hidden: Callable[[Column], Column] | None = None
+) -> DataFrame:
+    """doc_id, `base` and `added`: ordered arrays of (start, kind, end) of every row.
+
+    Base strings for which `hidden` holds are not seeds: their spans are in `hidden` instead of `base`, and may be added.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     hint = F.col("text").rlike(r"[0-9@]|[(\[](?i:at)[)\]]")
     rows = rows.select("doc_id", "text", F.explode(F.array(F.when(hint, base_spans(F.col("text"))).otherwise(_none()))).alias("base"))
     rows = rows.withColumn("maybe", F.when(hint, _candidates(F.col("text"), F.col("base"))).otherwise(_none()))
+    short = lambda spans: F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
+    gone = []
+    if hidden is not None:
+        rows = _with_hidden(rows.withColumn("hidden", short(F.filter("base", lambda x: hidden(x["string"])))), hidden)
+        gone = ["hidden"]
     # row numbers and spans are written out once; texts are not needed again
-    rows = stage(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "base", "maybe"))
+    rows = stage(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "base", "maybe", *gone))
     seen = rows.select("row", F.explode(F.concat("base", "maybe")).alias("o")).select("row", "o.*")
     seen = stage(seen.select("row", "start", "end", "unit", "whole", "kind", _key(F.col("string")).alias("string"), _patterns(F.col("left"), F.col("right"), F.col("string")).alias("patterns")))
     patterns, strings = bootstrap(seen, rounds, least_seeds)
@@ -290,9 +343,8 @@ def find(docs: DataFrame, least_score: float = LEAST_SCORE, least_seeds: int = L
     spans = spans.select("row", F.explode(let(group, lambda g: F.when(F.size(g) > 0, g).otherwise(F.col("x")))).alias("o"))
     added = spans.groupBy("row").agg(F.array_sort(F.collect_list("o")).alias("added"))
     out = rows.join(added, "row", "left")
-    short = F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
     none = F.expr("cast(array() as array<struct<start:bigint,kind:int,end:bigint>>)")
-    return out.select("doc_id", short.alias("base"), F.coalesce("added", none).alias("added"))
+    return out.select("doc_id", short(F.col("base")).alias("base"), F.coalesce("added", none).alias("added"), *gone)
 
 
 def written(spans: Column) -> Column:
@@ -301,6 +353,7 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(name, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
+@tidy
 def report(docs: DataFrame, **settings) -> DataFrame:
     """Counts per kind, the digest of the base spans and all spans of every row."""
     rows = find(docs, **settings)
