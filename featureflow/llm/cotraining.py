@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from featureflow.llm.common import staged_side, with_package
 from featureflow.operators.windows import top_per_group
-from featureflow.session import remove_path, stage, staged_path
+from featureflow.session import remove_path, stage, staged_path, tidy
 
 _CLASSES = np.zeros(256, dtype=np.int64)  # other bytes: 0
 for _k, _chars in enumerate((b" \t\r\x0b\x0c", b"\n", b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".,;:?'\"()-", b"!"), 1):
@@ -250,6 +250,7 @@ def _unpacked(rows) -> np.ndarray:
     return np.frombuffer(b"".join(rows), dtype=np.float16).reshape(-1, N_TEXT + N_META).astype(np.float32)
 
 
+@tidy
 def learn(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
     """Co-trains on a bounded labelled sample and all other rows of `docs`; `labels` has doc_id and quality (0 or 1)."""
     rows = _narrow(docs)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featureflow.llm.common import WORD, with_package
-from featureflow.session import stage
+from featureflow.session import stage, tidy
 
 FIELD_BYTES = 6
 SPREAD = 64
@@ -241,6 +241,7 @@ def _unpacking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, ["part", "filter_order", "step", *COUNTS, "shapley"])
 
 
+@tidy
 def audit(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
     """One row per part, order of the filters and step; counts of documents within the part."""
     rows = stage(measured(docs, bounds))  # read twice: with and without doc_id

@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from featureflow.llm.common import staged_side, with_package
+from featureflow.session import tidy
 
 #: Labelled rows per language that a model is learned from.
 SAMPLE_ROWS = 400
@@ -119,6 +120,7 @@ class Model:
     trees: tuple[Tree, ...]
 
 
+@tidy
 def learn(docs: DataFrame, rows: int = SAMPLE_ROWS, order: int = ORDER, most: int = MOST_CONTEXTS) -> Model:
     """The model of a sample; what comes to the driver is bounded by the sample."""
     found = gram_counts(sample(docs, rows), order).toPandas()

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from featureflow.llm.common import let, range_bucket, text_of
+from featureflow.session import tidy
 
 PIECE = r"[^.,;:!?]{1,200}[.,;:!?]*|[.,;:!?]+"
 
@@ -145,6 +146,7 @@ def edited(text: Column, next_text: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), n - half), F.substring(next_text, F.lit(1), half))
 
 
+@tidy
 def edit_likeness(docs: DataFrame, range_chars: int = RANGE_CHARS) -> DataFrame:
     """Fingerprints of all documents and of their edited texts, and how alike they are."""
     rows = with_next(docs, range_chars).withColumn("changed", edited(F.col("text"), F.col("next_text")))

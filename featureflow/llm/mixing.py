@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from featureflow.llm.common import WORD, staged_side, text_of
-from featureflow.session import stage
+from featureflow.session import stage, tidy
 
 LEVELS = ("domain", "lang", "source")
 
@@ -151,6 +151,7 @@ def _placed(rows: DataFrame, leaves: DataFrame, mix: Mix) -> DataFrame:
     return out.withColumn("part", F.floor(F.col("u") / float(1 << 60) * F.col("n_parts")).cast("long"))
 
 
+@tidy
 def mix_rows(docs: DataFrame, mix: Mix = PRODUCTION, whole_rows: bool = False) -> DataFrame:
     """doc_id, domain, lang, source, epoch, n_tokens, leaf_budget of every chosen row.
 

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from featureflow.llm.common import with_package
-from featureflow.session import remove_path, stage, staged_path
+from featureflow.session import remove_path, stage, staged_path, tidy
 
 #: Bits of the numbers within a block, least and most, and of one digit: a block meets at most 2^DIGIT offsets.
 BLOCK_BITS = (10, 16)
@@ -179,6 +179,7 @@ def _placed(rows: pa.Table, offsets: pa.Table) -> pa.Table:
     return rows.drop_columns(["block", "digit", "number"]).append_column("number", pa.array(new))
 
 
+@tidy
 def resample(docs: DataFrame, target: DataFrame, draw: Draw = Draw()) -> DataFrame:
     """Every document's features, weight, score and rank; rank is NULL where it isn't drawn."""
     texts = lambda df, key: df.select(key, F.col("text").cast("string").cast("binary").alias("text"))

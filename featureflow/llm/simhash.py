@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from featureflow.llm.common import text_of, with_package
 from featureflow.llm.components import components
-from featureflow.session import stage
+from featureflow.session import stage, tidy
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -257,12 +257,14 @@ def _classed(docs: DataFrame, shingle: int, max_bits: int, tied: bool = False) -
     return prints.join(member, "fp")
 
 
+@tidy
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every row of `docs`."""
     out = _classed(docs, shingle, max_bits)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@tidy
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """The rows of `docs`, all columns, one for each class: that of its smallest doc_id.
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from featureflow.llm.common import with_package
 from featureflow.llm.tokens import default_paths, encoder
-from featureflow.session import stage
+from featureflow.session import stage, tidy
 
 END_ID = 0
 ROOM = 2048
@@ -200,6 +200,7 @@ def cut(docs: DataFrame, room: int = ROOM, tokenizer: str | None = None, key: st
     return with_package(rows).mapInArrow(run, PIECES)
 
 
+@tidy
 def pack(docs: DataFrame, room: int = ROOM, tokenizer: str | None = None, key: str = "doc_id", block: int = BLOCK) -> DataFrame:
     """One row per piece with its place in a sequence of at most `room` ids."""
     pieces = stage(cut(docs, room, tokenizer, key))

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from featureflow.llm.common import batch_rows, with_package
 from featureflow.llm.tokens import default_paths, encoder
-from featureflow.session import scratch_dir
+from featureflow.session import scratch_dir, tidy
 
 LENGTH = 2048
 PER_SHARD = 2048
@@ -226,6 +226,7 @@ def read_shards(spark, path: str, length: int = LENGTH, per_shard: int = PER_SHA
     return with_package(files.select("path", "content")).mapInArrow(run, "slot long, shard long, byte_offset long, stored_crc32 long")
 
 
+@tidy
 def materialise(docs: DataFrame, path: str | None = None, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, tokenizer: str | None = None) -> DataFrame:
     """Writes the shards and returns a row per sequence: what it holds and where it lies, with the CRC read back."""
     spark = docs.sparkSession
