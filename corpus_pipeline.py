@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from featureflow.llm import line_dedup, mixing, packing, quality_rules, simhash
 from featureflow.llm.common import documents
-from featureflow.session import stage
+from featureflow.session import stage, tidy
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,6 +46,7 @@ STAGES = [
 ORACLE_SQL = None
 
 
+@tidy
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, fn in STAGES[:-1]:
