@@ -299,14 +299,16 @@ def hidden_seeds(docs: DataFrame, fold: int = 0, folds: int = 5, **settings) ->
     """
     hidden = lambda s: F.pmod(F.xxhash64(F.lit(17), s), F.lit(folds)) == fold
     found = find(docs, hidden=hidden, **settings)
-    rows = found.select(F.explode(F.array(*[
-        F.struct(
-            F.lit(k).alias("kind"), F.size(F.filter("hidden", lambda x, i=i: x["kind"] == i)).alias("hidden"),
-            F.size(F.filter("added", lambda x, i=i: (x["kind"] == i) & F.exists("hidden", lambda y: y == x))).alias("found"),
-            F.size(F.filter("added", lambda x, i=i: (x["kind"] == i) & ~F.exists("hidden", lambda y: y == x))).alias("other"),
-        )
-        for i, k in enumerate(KINDS)
-    ])).alias("k")).select("k.*")
+    met = lambda y: F.exists("hidden", lambda x: x == y)
+
+    def counted(kind: int) -> Column:
+        of = lambda spans, ok: F.size(F.filter(spans, lambda x: (x["kind"] == kind) & ok(x)))
+        return F.struct(
+            F.lit(KINDS[kind]).alias("kind"), of("hidden", lambda x: F.lit(True)).alias("hidden"),
+            of("added", met).alias("found"), of("added", lambda x: ~met(x)).alias("other"),
+        )
+
+    rows = found.select(F.explode(F.array(*[counted(i) for i in range(len(KINDS))])).alias("k")).select("k.*")
     return rows.groupBy("kind").agg(*[F.sum(c).cast("long").alias(c) for c in ("hidden", "found", "other")])
 
 

@@ -238,13 +238,13 @@ def test_contexts_discover_forms_of_no_base_pattern(spark):
 
 def test_hidden_seeds_come_back(spark):
     """Every fifth base string of the documents is hidden: contexts and shapes find them again, and nothing else."""
-    docs = documents(spark, "/root/testdata/sf0.01")
+    docs = documents(spark, "/root/testdata/sf0.1")
     total = Counter()
-    for fold in range(5):
+    for fold in (0, 3):
         for r in pii.hidden_seeds(docs, fold).collect():
             total.update({("hidden", r.kind): r.hidden, ("found", r.kind): r.found, ("other", r.kind): r.other})
     hidden, found, other = (sum(n for (what, _), n in total.items() if what == w) for w in ("hidden", "found", "other"))
-    assert hidden > 30 and found >= 0.9 * hidden and other <= 0.05 * found, total
+    assert hidden > 150 and found >= 0.9 * hidden and other <= 0.02 * found, total
 
 
 # --- 5 packing ----------------------------------------------------------------------------
