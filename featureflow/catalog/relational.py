@@ -254,6 +254,17 @@ def f5(spark, sf):
     return FL.match_config(FL.match_config(p), model="PROMO", temp=0.3, model_col="p_type").select("p_partkey")
 
 
+@query(
+    "f6_take_last_texts",
+    "SELECT o_orderstatus, o_orderkey, o_orderpriority FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority DESC, o_totalprice, o_orderkey) AS n"
+    " FROM orders) WHERE n <= CASE o_orderstatus WHEN 'F' THEN 300 WHEN 'O' THEN 50 ELSE 0 END",
+)
+def f6t(spark, sf):
+    """In descending order of a text, ties by a number."""
+    out = FL.take_per_class(table(spark, sf, "orders"), "o_orderstatus", {"F": 300, "O": 50}, ["-o_orderpriority", "o_totalprice", "o_orderkey"])
+    return out.select("o_orderstatus", "o_orderkey", "o_orderpriority")
+
+
 @query(
     "f6_take_per_class",
     oracle_with("baskets") + " SELECT ID, fraud_flag FROM (SELECT *, row_number() OVER (PARTITION BY fraud_flag"

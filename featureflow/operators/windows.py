@@ -22,7 +22,32 @@ CHUNK_ROWS = 1_000_000
 
 
 def _order(order_cols: list) -> list[Column]:
-    return [F.col(c).asc_nulls_last() if isinstance(c, str) else c for c in order_cols]
+    """Names ascend, names after a minus sign descend; empty values come last both ways."""
+    named = lambda c: F.col(c[1:]).desc_nulls_last() if c.startswith("-") else F.col(c).asc_nulls_last()
+    return [named(c) if isinstance(c, str) else c for c in order_cols]
+
+
+#: Bytes of a text that make up its number in `_as_number`.
+PREFIX = 7
+
+
+def _as_number(df: DataFrame, name: str) -> Column | None:
+    """A number that ascends with the order `name` stands for; equal for texts that begin alike. None for other types."""
+    column = name.removeprefix("-")
+    kind, c = df.schema[column].dataType.typeName(), F.col(column)
+    if kind == "string":
+        # the first bytes as one number; a shorter text is filled up with zeros
+        c = F.conv(F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, PREFIX)), 2 * PREFIX, "0"), 16, 10).cast("long")
+        kind = "long"
+    elif kind not in SORTABLE:
+        return None
+    if not name.startswith("-"):
+        return c
+    if kind in ("float", "double"):
+        return -c
+    if kind in ("date", "timestamp", "timestamp_ntz"):
+        c = F.unix_micros(c.cast("timestamp"))
+    return F.bitwise_not(c)  # descends without an overflow
 
 
 def global_position(df: DataFrame, order_cols: list, name: str = "_pos") -> DataFrame:
@@ -276,7 +301,7 @@ def trajectory_progress(trials: DataFrame, run: str = "run_id", hot_rows: int |
 CUTS = (0.000001, 0.00001, 0.0001, 0.001, 0.01, 0.1)
 
 
-def _cut_by_order(df: DataFrame, part: list[str], k: int | Column, first: str, accuracy: int = 2_000_000) -> DataFrame:
+def _cut_by_order(df: DataFrame, part: list[str], k: int | Column, first: Column, accuracy: int = 2_000_000) -> DataFrame:
     """Without the rows that are certainly behind the first k of their group in ascending order of `first`.
 
     A sketch gives values at fixed shares of the group; the first one behind which k
@@ -295,22 +320,22 @@ def _cut_by_order(df: DataFrame, part: list[str], k: int | Column, first: str, a
         cond = cond & F.col(p).eqNullSafe(F.col(f"_g{i}"))
     out = df.join(broadcast_if_small(found), cond)
     # empty values come last in this order; they matter only where no bound is known
-    return out.where(F.col("_bound").isNull() | (F.col(first) <= F.col("_bound"))).select(*df.columns)
+    return out.where(F.col("_bound").isNull() | (first <= F.col("_bound"))).select(*df.columns)
 
 
 def top_per_group(df: DataFrame, part: list[str], k: int | Column, order: list, salts: int = 64,
                   small: int = 1_000_000) -> DataFrame:
     """The first k rows of every group in the given order (k may be a column).
 
-    Beyond `small` rows a bound on the order column is found first (where that is a number
-    or a time in ascending order), and rows behind it are dropped before anything is
-    shuffled. Then two rounds: first inside `salts` slices of the group, then among the
+    Beyond `small` rows a bound on the order column is found first (where that is the name of a number,
+    a time or a text, after a minus sign for a descending order), and rows behind it are dropped before
+    anything is shuffled. Then two rounds: first inside `salts` slices of the group, then among the
     survivors, so that a group of equal values meets in no one task before it is cut down.
     """
     o = _order(order)
-    plain = isinstance(order[0], str) and df.schema[order[0]].dataType.typeName() in SORTABLE
-    if plain and not has_at_most(df, small):
-        df = _cut_by_order(df, part, k, order[0])
+    number = _as_number(df, order[0]) if isinstance(order[0], str) else None
+    if number is not None and not has_at_most(df, small):
+        df = _cut_by_order(df, part, k, number)
     slice_of = F.pmod(F.xxhash64(*[c for c in df.columns if _hashable(df, c)]), F.lit(salts))
     one = Window.partitionBy(*part, "_slice").orderBy(*o)
     cut = (

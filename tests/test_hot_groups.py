@@ -133,6 +133,19 @@ def test_top_per_group_cut_before_the_shuffle(spark):
         assert as_set(W.top_per_group(df, ["k"], k, ["v", "id"], small=0)) == want and len(want) == 3 * k
 
 
+@pytest.mark.parametrize("kind", ["double", "bigint", "date", "string", "timestamp"])
+@pytest.mark.parametrize("sign", ["", "-"])
+def test_cut_by_descending_orders_and_texts(spark, kind, sign):
+    value = {"double": "cast(v AS double)", "bigint": "v - 2500L", "date": "date_add(DATE'2000-01-01', v)", "string": "concat(CASE WHEN v % 2 = 0 THEN 'é' ELSE 'prefix ' END, v)",
+             "timestamp": "timestamp_seconds(v * 1000)"}[kind]
+    df = spark.range(40_000).selectExpr("id % 3 AS k", "CASE WHEN id % 11 = 0 THEN NULL ELSE abs(hash(id)) % 5000 END AS v", "id").selectExpr("k", f"{value} AS o", "id")
+    cut = W._cut_by_order(df, ["k"], 40, W._as_number(df, f"{sign}o"))
+    assert kind == "string" or cut.count() < 20_000
+    want = Window.partitionBy("k").orderBy(F.col("o").desc_nulls_last() if sign else F.col("o").asc_nulls_last(), "id")
+    plain = df.withColumn("n", F.row_number().over(want)).where("n <= 40").drop("n")
+    assert as_set(W.top_per_group(df, ["k"], 40, [f"{sign}o", "id"], small=0)) == as_set(plain)
+
+
 def test_rank_of_many_equal_values(spark):
     df = spark.range(2000).selectExpr("id", "CASE WHEN id % 9 = 0 THEN NULL ELSE id % 40 END AS v")
     want = as_set(W.rank_desc(df, "v"))

@@ -14,7 +14,7 @@ from featureflow.semantic.choose import choices
 from featureflow.semantic.clean import SemClean
 from featureflow.semantic.extract import SemExtract
 from featureflow.semantic.fillna import SemFillNA
-from featureflow.semantic.generate import SemGenFeatures
+from featureflow.semantic.generate import SemGenFeatures, propose
 from featureflow.semantic.program import FeatureProgram
 from featureflow.semantic.refine import SemRefine
 from featureflow.semantic.select import SemSelect
@@ -89,6 +89,23 @@ def test_generator_rejects_and_records(spark):
     assert "constant" in states and sum(t["state"] == "kept" for t in program.attempts[0]["tries"]) == 2
 
 
+def test_pairs_of_a_wide_table(spark):
+    """Of many numbers only those that the hint names or that say something alone are paired."""
+    noise = [F.rand(i).alias(f"n{i}") for i in range(40)]
+    df = spark.range(400).select("id", (F.col("id") % 17).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b"), *noise)
+    df = df.withColumn("y", F.col("a") / (F.col("b") + 1))
+    seen = []
+
+    def watched(profile, hint):
+        seen.append(profile["pairs"])
+        return propose(profile, hint)
+
+    program = SemGenFeatures(how_many=1, y="y", exclude=["id"], pair_columns=4, hint="n7", proposer=watched).fit(df)
+    assert len(seen[0]) == 4 and {"a", "b", "n7"} <= set(seen[0])
+    assert [t["candidate"] for t in program.attempts[0]["tries"] if t["state"] == "kept"] == ["a_per_b"]
+    assert len(program.attempts[0]["tries"]) < 42 * 2 + 40
+
+
 def test_constant_target(spark):
     df = spark.range(50).select("id", F.lit(1).alias("y"), F.col("id").cast("double").alias("a"))
     assert [r["score"] for r in score_candidates(df, {"a": "a"}, "y").collect()] == [None]
