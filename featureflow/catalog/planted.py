@@ -170,9 +170,9 @@ FRAUD = {"simple": fraud.simple, "medium": fraud.medium, "full": fraud.full}
 
 @query(
     "e1_e2_e3_beat_the_majority",
-    oracle_with("baskets", "products") + ", n AS (SELECT count(*) AS rows, count(*) FILTER (EXISTS (SELECT 1 FROM products WHERE basket_ID = ID)) AS some"
+    oracle_with("baskets", "products") + ", n AS (SELECT count(*) AS rows, count(*) FILTER (EXISTS (SELECT 1 FROM products WHERE basket_ID = ID)) AS with_products"
     f" FROM baskets WHERE {duck_fraction('ID', 42)} < 0.25)"
-    " SELECT job, CASE job WHEN 'medium' THEN some ELSE rows END AS rows, true AS better FROM n, (VALUES ('simple'), ('medium'), ('full')) AS j(job)",
+    " SELECT job, CASE job WHEN 'medium' THEN with_products ELSE rows END AS rows, true AS better FROM n, (VALUES ('simple'), ('medium'), ('full')) AS j(job)",
 )
 def e123(spark, sf):
     """Held-out rows of the three fraud jobs, and whether they beat the majority class."""

@@ -88,7 +88,7 @@ def _side_by_side(spark: SparkSession, fn: Callable, jobs: list, n_jobs: int) ->
     if n_jobs <= 1:
         return [fn(j) for j in jobs]
     with ThreadPoolExecutor(n_jobs) as pool:
-        return list(pool.map(inheritable_thread_target(run), jobs))
+        return list(pool.map(inheritable_thread_target(spark)(run), jobs))
 
 
 def optimise(
