@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from featureflow.llm import filter_audit, resampling, swap_packing, tokens
+from featureflow.llm import filter_audit, line_dedup, resampling, swap_packing, tokens
 from featureflow.llm.common import documents
 from featureflow.session import stage
 
@@ -94,6 +94,30 @@ def test_sums_leave_a_task_in_pieces(spark, monkeypatch):
     assert {r.part: r.removed for r in got.where("filter_order = 'ABCDE' AND step = 1").collect()} == {f"l{i}": 10 for i in range(7)}
 
 
+# --- 7 lines, with all sides shuffled -------------------------------------------------------
+
+
+def test_line_dedup_without_broadcasts(spark, sf, monkeypatch):
+    """Sides that are too large to be sent are shuffled: the same lines go."""
+    docs = documents(spark, sf)
+    want = {r.c0: (r.gone, r.kept_text) for r in line_dedup.dedup_lines(docs.select("doc_id", "text")).collect()}
+    monkeypatch.setattr(line_dedup, "staged_side", stage)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = line_dedup.dedup_lines(docs.select("doc_id", "text"))
+        assert {r.c0: (r.gone, r.kept_text) for r in got.collect()} == want and any(g for g, _ in want.values())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_short_repeats_go_and_leave_no_fragments(spark):
+    line = "one line of ten words that many of the documents share"
+    rows = [(1, f"Title\n{line}\n\nend"), (2, f"Title\n{line}\n\nend"), (3, "Title"), (4, "\n \n"), (5, None), (6, "Title\nown words here")]
+    got = {r.doc_id: r.text for r in line_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 4: "\n \n", 5: None, 6: "own words here"}
+
+
 # --- 12 packing by swaps ------------------------------------------------------------------
 
 
