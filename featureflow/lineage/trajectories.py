@@ -46,6 +46,8 @@ def best_path(trials: DataFrame, run: str = "run_id") -> DataFrame:
     """Trials on the path from each run's best trial to its root, both included.
 
     Every round doubles the length of the known path, so a path of d trials takes log2(d) joins.
+    Both sides grow with the trials, and their files are far smaller than their rows: they are
+    merged, never sent whole to the driver.
     """
     start = best_by(trials, run).select(run, "trial")
     path = stage(start)
@@ -54,18 +56,18 @@ def best_path(trials: DataFrame, run: str = "run_id") -> DataFrame:
     )
     size = path.count()
     for _ in range(MAX_DOUBLINGS):
-        ahead = path.join(jump, [run, "trial"]).select(run, F.col("_to").alias("trial"))
+        ahead = path.join(jump.hint("merge"), [run, "trial"]).select(run, F.col("_to").alias("trial"))
         longer = stage(path.unionByName(ahead).distinct())
         n = longer.count()
         if n == size:
             break
         path, size = longer, n
         hop = jump.select(run, F.col("trial").alias("_to"), F.col("_to").alias("_next"))
-        jump = stage(jump.join(hop, [run, "_to"]).select(run, "trial", F.col("_next").alias("_to")),
+        jump = stage(jump.join(hop.hint("merge"), [run, "_to"]).select(run, "trial", F.col("_next").alias("_to")),
                      replaces=staged_path(jump))
     else:
         raise RuntimeError("parent chains did not end")
-    return trials.join(path, [run, "trial"], "left_semi")
+    return trials.join(path.hint("merge"), [run, "trial"], "left_semi")
 
 
 def subtree_sums(trials: DataFrame, values: dict[str, Column], run: str = "run_id") -> DataFrame:

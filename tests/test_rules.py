@@ -300,3 +300,12 @@ def test_levels_by_brute_force(spark):
     want.update({(50, i): i for i in range(chain)})
     got = K.levels(spark.createDataFrame(nodes, "graph_id int, id int"), spark.createDataFrame(edges, "graph_id int, source int, target int"))
     assert {(r["graph_id"], r["id"]): r["level"] for r in got.collect()} == want
+
+
+def test_best_path_sends_no_side_to_the_driver(spark):
+    from featureflow.lineage.trajectories import best_path
+
+    rows = [(run, t, (t - 1) // 2 if t else None, "a", float(t)) for run in range(3) for t in range(9)]
+    out = best_path(spark.createDataFrame(rows, "run_id long, trial long, parent_trial long, operator string, score double"))
+    assert sorted((r.run_id, r.trial) for r in out.collect()) == [(run, t) for run in range(3) for t in (0, 1, 3, 8)]
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
