@@ -309,3 +309,34 @@ def test_best_path_sends_no_side_to_the_driver(spark):
     out = best_path(spark.createDataFrame(rows, "run_id long, trial long, parent_trial long, operator string, score double"))
     assert sorted((r.run_id, r.trial) for r in out.collect()) == [(run, t) for run in range(3) for t in (0, 1, 3, 8)]
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fingerprints_are_whole_sums_without_decimals_in_the_scan(spark):
+    from featureflow.search.score import candidate_quality
+
+    d = spark.range(2000).selectExpr("id", "cast(id % 7 AS double) AS v")
+    got = candidate_quality(d, {"v": "v"}).first()
+    want = d.selectExpr("sum(cast(xxhash64(xxhash64(id, v), v) AS decimal(38,0))) AS s").first()["s"]
+    assert (got["fingerprint"], got["nulls"], got["constant"]) == (want, 0, False)
+
+
+def test_wide_scans_run_in_methods_that_are_compiled(spark, monkeypatch):
+    from featureflow.search import score
+
+    name, seen = "spark.sql.codegen.hugeMethodLimit", []
+    before, whole = spark.conf.get(name), score.stage
+    spark.conf.set(name, "65535")
+    monkeypatch.setattr(score, "stage", lambda df: seen.append(spark.conf.get(name)) or whole(df))
+    try:
+        score.candidate_quality(spark.range(9).selectExpr("id", "id AS v"), {"v": "v"}).collect()
+        assert seen == ["8000"] and spark.conf.get(name) == "65535"
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_planted_baskets_are_read_from_files(spark, sf):
+    from featureflow.catalog.jobs import basket_inputs
+    from featureflow.session import read_folders, staged_path
+
+    baskets = basket_inputs(spark, sf, planted=True)["baskets"]
+    assert read_folders(baskets) == {staged_path(baskets).rpartition("/")[2]}
