@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import (
@@ -15,7 +17,32 @@ from pyspark.sql import functions as F
 
 from featureflow.operators import aggs
 from featureflow.operators.sampling import with_fold
-from featureflow.session import remove_path, stage, staged_path
+from featureflow.session import remove_path, scratch_dir, stage, staged_path
+
+
+def without_summary(model, df: DataFrame):
+    """`model` without the summary of its training on `df`.
+
+    A summary of two classes holds the session and goes into every task with the model. Once the session
+    has made an Observation, it can't be sent, and the model scores no row. A written model has no summary.
+    """
+    if not model.hasSummary:
+        return model
+    path = f"{scratch_dir(df.sparkSession)}/model-{uuid.uuid4().hex}"
+    model.write().save(path)
+    out = type(model).load(path)
+    remove_path(df.sparkSession, path)
+    return out
+
+
+class Forest(RandomForestClassifier):
+    def _fit(self, dataset: DataFrame):
+        return without_summary(super()._fit(dataset), dataset)
+
+
+class Logistic(LogisticRegression):
+    def _fit(self, dataset: DataFrame):
+        return without_summary(super()._fit(dataset), dataset)
 
 
 def boosted_classifier(y: str = "label", iterations: int = 20, depth: int = 5, seed: int = 0) -> GBTClassifier:
@@ -26,8 +53,8 @@ def boosted_classifier(y: str = "label", iterations: int = 20, depth: int = 5, s
 def multiclass_classifier(y: str = "label", kind: str = "forest", trees: int = 40, depth: int = 8, seed: int = 0):
     """Classifier with class probabilities; the label is an index."""
     if kind == "forest":
-        return RandomForestClassifier(labelCol=y, featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed)
-    return LogisticRegression(labelCol=y, featuresCol="features", regParam=0.01)
+        return Forest(labelCol=y, featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed)
+    return Logistic(labelCol=y, featuresCol="features", regParam=0.01)
 
 
 def regressor(y: str = "label", kind: str = "boosted", iterations: int = 20, depth: int = 5, seed: int = 0):
