@@ -201,7 +201,7 @@ def _house_search(spark, sf, policy: str, trials: int = 3):
     gen = SemGenFeatures(how_many=3, y="price", exclude=["house_id", "image_id", "image_path"])
 
     def build(tables, ctx):
-        data = houses.cleaned_houses(houses.join_houses(tables), ctx)
+        data = houses.cleaned_houses(ctx.pin(houses.join_houses(tables)), ctx)
         data = ctx.step("generated", gen, data)
         nums = [c for c, t in data.dtypes if t in ("double", "bigint", "int") and c not in ("price", "house_id", "image_id")]
         data = data.fillna(0, subset=nums)

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featureflow.operators.windows import running
-from featureflow.session import BROADCAST_BYTES, broadcast_if_small
+from featureflow.session import BROADCAST_BYTES, broadcast_if_small, has_at_most
+
+#: Files may be far smaller than the rows they hold: a dimension of more rows than this is never broadcast.
+BROADCAST_ROWS = 100_000
 
 
 def merge(
@@ -48,10 +51,11 @@ def merge(
 
 
 def star_join(fact: DataFrame, dims: list[tuple[DataFrame, str]], how: str = "inner",
-              max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Fact joined to each dimension; a dimension is broadcast only within a bound on its bytes."""
+              max_bytes: int = BROADCAST_BYTES, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Fact joined to each dimension; a dimension is broadcast only within a bound on its bytes and its rows."""
     for dim, key in dims:
-        fact = merge(fact, broadcast_if_small(dim, max_bytes), on=key, how=how)
+        small = dim.isStreaming or has_at_most(dim, max_rows)
+        fact = merge(fact, broadcast_if_small(dim, max_bytes) if small else dim.hint("merge"), on=key, how=how)
     return fact
 
 

@@ -1,4 +1,4 @@
-"""Models in sessions that have made an Observation."""
+"""Models in sessions that have made an Observation, joins and vectors that grow."""
 
 import pytest
 from pyspark.ml.feature import VectorAssembler
@@ -6,6 +6,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from featureflow.models import estimators as M
+from featureflow.operators import joins as J
 from featureflow.semantic.choose import choices, fit_with_choices
 
 
@@ -26,3 +27,12 @@ def test_choices_are_scored_after_an_observation(two_classes):
     model = fit_with_choices(M.multiclass_classifier("y", trees=3), two_classes, "y", choices(max_depth="Try 1 and 2"), k=2, key="id")
     assert model.avgMetrics == [1.0, 1.0]
     assert model.transform(two_classes).where("prediction = y").count() == 200
+
+
+def test_a_dimension_of_many_rows_is_not_broadcast(spark):
+    dim = spark.range(J.BROADCAST_ROWS + 1).selectExpr("id AS k", "id % 7 AS v")
+    fact = spark.range(1000).selectExpr("id AS n", "id * 3 AS k")
+    joined = lambda d: J.star_join(fact, [(d, "k")])
+    kinds = lambda d: joined(d)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in kinds(dim) and "BroadcastHashJoin" in kinds(dim.where("k < 1000"))
+    assert joined(dim).where("v = (n * 3) % 7").count() == 1000
