@@ -6,6 +6,8 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from featureflow.models import estimators as M
+from featureflow.models import prep as P
+from featureflow.models.learner import Context
 from featureflow.operators import joins as J
 from featureflow.semantic.choose import choices, fit_with_choices
 
@@ -36,3 +38,18 @@ def test_a_dimension_of_many_rows_is_not_broadcast(spark):
     kinds = lambda d: joined(d)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in kinds(dim) and "BroadcastHashJoin" in kinds(dim.where("k < 1000"))
     assert joined(dim).where("v = (n * 3) % 7").count() == 1000
+
+
+def test_a_fit_reads_wide_vectors_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(P.spread, "__defaults__", ("features", 1000))
+    rows = spark.range(500).selectExpr("id", *[f"cast(id % 2 AS double) AS x{i}" for i in range(20)], "cast(id % 2 AS int) AS y")
+    data = VectorAssembler(inputCols=[f"x{i}" for i in range(20)], outputCol="features").transform(rows).select("id", "features", "y").coalesce(1)
+    seen = []
+
+    def fit(pieces):
+        seen.append((pieces.rdd.getNumPartitions(), pieces.count(), pieces.select("id").distinct().count()))
+        return M.boosted_classifier("y", iterations=1).fit(pieces)
+
+    out = Context("fit").model("m", None, data, fit=fit)
+    assert seen == [(10, 500, 500)]
+    assert out.where("prediction = y").count() == 500
