@@ -59,8 +59,8 @@ def indented_runs(spark, sf):
     runs = trials.groupBy("run_id").agg(F.collect_list(F.struct(node.alias("search_node"), "score")).alias("outcomes"))
     text = F.to_json(F.struct("outcomes"), {"pretty": "true"})
     path = fresh(spark, "indented")
-    # a run is one row, so the writer makes one file in its folder
-    runs.select(F.concat(F.lit("run-"), F.col("run_id").cast("string")).alias("run"), text.alias("value")).write.partitionBy("run").text(path)
+    # a run is one row, so there is one file in its folder
+    DOC.write_documents(runs.select(F.concat(F.lit("run-"), F.col("run_id").cast("string")).alias("run"), text.alias("value")), path, "run")
     return TR.explode_outcomes(DOC.read_trajectories(spark, path)).drop("code")
 
 

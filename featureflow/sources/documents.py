@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -94,6 +96,37 @@ def read_trajectories(spark: SparkSession, path: str, one_per_file: bool = True)
     return docs.withColumn("run_id", F.coalesce("run_id", folder, F.regexp_replace(name, r"\.[^.]*$", "")))
 
 
+#: Characters that Spark's writer escapes in the names of folders.
+ESCAPED = re.compile("[\x01-\x1f\"#%'*/:=?\\\\\x7f{\\[\\]^]")
+
+
+def write_documents(docs: DataFrame, path: str, folder: str, text: str = "value") -> None:
+    """One file per row of `docs` in a folder `folder=<value>`, as Spark's text writer lays them out; one row per value.
+
+    In a folder of the file system tasks write the files themselves, each under a name that is given to it when
+    it is whole, so that a task may run again: Hadoop starts processes for each file to set its permissions there.
+    Elsewhere Spark's writer does it.
+    """
+    local = re.match(r"(?:file:(?://)?)?(/(?!/).*)", path)
+    if not local:
+        docs.select(folder, text).write.partitionBy(folder).text(path)
+        return
+    root = local[1]
+
+    def write(rows):
+        for name, body in rows:
+            name = "__HIVE_DEFAULT_PARTITION__" if not name else ESCAPED.sub(lambda c: f"%{ord(c[0]):02X}", name)
+            own = f"{root}/{folder}={name}"
+            os.makedirs(own, exist_ok=True)
+            part = f"{own}/_{uuid.uuid4().hex}"
+            with open(part, "wb") as f:
+                f.write(f"{'' if body is None else body}\n".encode())
+            os.replace(part, f"{own}/part-0.txt")
+
+    os.makedirs(root)
+    docs.select(F.col(folder).cast("string"), text).foreachPartition(write)
+
+
 def newest_files(df: DataFrame, key: str, exclude: str | None = None, path: str = "file_path",
                  modified: str = "modified", priority: str | None = None) -> DataFrame:
     """One row per key: lowest priority number first, then the newest file, then the path.

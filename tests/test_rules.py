@@ -173,6 +173,24 @@ def test_documents_of_all_runs_take_the_name_of_their_folder(spark, tmp_path):
     assert sorted(r["run_id"] for r in got) == sorted(names) and {(r["trial"], r["score"]) for r in got} == {(0, 0.5)}
 
 
+def test_written_documents_lie_as_spark_lays_them_out_one_file_each(spark, tmp_path, monkeypatch):
+    texts = {"run-1": "{\n}", 'a b:c%2B+d"#\'*/=?\\x{[]^\x01\x7f': "Zürich\n 2", "": "e", None: "n", "v": None}
+    docs = spark.createDataFrame(list(texts.items()), "run string, value string")
+    mine, sparks = tmp_path / "mine", tmp_path / "sparks"
+    docs.write.partitionBy("run").option("compression", "none").text(str(sparks))
+
+    def files(root):
+        return {(p.parent.name, p.read_text()) for p in root.rglob("*.txt")}
+
+    monkeypatch.setattr("pyspark.sql.DataFrame.write", property(lambda df: pytest.fail("the writer of Spark forks for each file")))
+    DOC.write_documents(docs.where("run IS NOT NULL AND run <> ''"), f"file://{mine}", "run")
+    # Spark joins the rows of a folder, here '' and NULL share one
+    named = {f for f in files(sparks) if "__HIVE" not in f[0]}
+    assert files(mine) == named and len(named) == 3 and len(list(mine.rglob("*.*"))) == 3
+    DOC.write_documents(docs.where("run IS NULL"), str(tmp_path / "null"), "run")
+    assert files(tmp_path / "null") == {("run=__HIVE_DEFAULT_PARTITION__", "n\n")}
+
+
 def test_trajectory_files(spark, tmp_path):
     import json
 
