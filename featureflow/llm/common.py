@@ -46,14 +46,16 @@ def text_of(column: str = "text") -> Column:
 
 @contextmanager
 def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of at most `rows` rows for the actions inside, where rows are long."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+    """Arrow and Parquet batches of at most `rows` rows for the actions inside, where rows are long."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = [spark.conf.get(name) for name in names]
+    for name, value in zip(names, before, strict=True):
+        spark.conf.set(name, str(min(rows, int(value)) if int(value) > 0 else rows))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in zip(names, before, strict=True):
+            spark.conf.set(name, value)
 
 
 def staged_bytes(df: DataFrame) -> int:

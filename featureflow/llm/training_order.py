@@ -33,12 +33,16 @@ from pyspark.sql import functions as F
 
 from featureflow.llm.common import batch_rows, with_package
 from featureflow.llm.tokens import default_paths, encoder
-from featureflow.session import scratch_dir, tidy
+from featureflow.session import scratch_dir, stage, tidy
 
 LENGTH = 2048
 PER_SHARD = 2048
 #: Records that a task holds to compress those of a shard together.
 HELD = 8192
+#: Rows that the JVM and a Python worker hand each other at once: texts, records or blocks of some 100 records.
+TEXTS, RECORDS = 512, 64
+#: Bytes of compressed blocks that leave a task at once, and of a row group of sequences.
+SENT, GROUP = 1 << 20, 16 << 20
 END_ID = 1
 KEY = 20240229
 ROUNDS = 6
@@ -161,25 +165,33 @@ def _blocks(n: int, key: int, per_shard: int):
         numbers: list[np.ndarray] = []
         records: list[bytes] = []
 
-        def flush() -> pa.RecordBatch:
+        def to_batch(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["shard", "slots", "block"])
+
+        def flush() -> Iterator[pa.RecordBatch]:
             at = slots(np.concatenate(numbers).astype(np.uint64), n, key)
             order = np.argsort(at, kind="stable")
             cuts = np.flatnonzero(np.diff(at[order] // per_shard)) + 1
-            rows = []
+            rows, size = [], 0
             for part in np.split(order, cuts):
                 whole = press.compress(b"".join([records[i] for i in part.tolist()]))
                 rows.append((int(at[part[0]]) // per_shard, at[part].tobytes(), whole))
+                size += len(whole)
+                if size >= SENT:
+                    yield to_batch(rows)
+                    rows, size = [], 0
+            if rows:
+                yield to_batch(rows)
             numbers.clear()
             records.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["shard", "slots", "block"])
 
         for batch in batches:
             numbers.append(batch.column(0).to_numpy())
             records += batch.column(1).to_pylist()
             if len(records) >= HELD:
-                yield flush()
+                yield from flush()
         if records:
-            yield flush()
+            yield from flush()
 
     return run
 
@@ -203,7 +215,7 @@ def write_shards(rows: DataFrame, n: int, path: str, per_shard: int = PER_SHARD,
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     got = sent.repartition(tasks, "shard").mapInArrow(_records, "shard long, slot long, record binary")
     got = got.sortWithinPartitions("shard", "slot").select("shard", F.col("record").cast("string").alias("record"))
-    with batch_rows(rows.sparkSession, 1024):
+    with batch_rows(rows.sparkSession, RECORDS):
         got.write.partitionBy("shard").option("lineSep", chr(_CLOSE)).option("compression", "none").text(path)
 
 
@@ -232,8 +244,8 @@ def materialise(docs: DataFrame, path: str | None = None, length: int = LENGTH,
     spark = docs.sparkSession
     folder = f"{scratch_dir(spark)}/training-order-{uuid.uuid4().hex}"
     # written once, so that numbers can't change when a task is repeated
-    with batch_rows(spark, 1024):
-        sequences(docs, length, tokenizer).write.option("compression", "zstd").parquet(f"{folder}/sequences")
+    with batch_rows(spark, TEXTS):
+        sequences(docs, length, tokenizer).write.option("compression", "zstd").option("parquet.block.size", GROUP).parquet(f"{folder}/sequences")
     made, n = numbered(spark.read.parquet(f"{folder}/sequences"))
     path = path or f"{folder}/shards"
     shown = made.select("number", _slot(F.col("number"), max(n, 1), key).alias("slot"), "doc_ids", "first_start", "n_ids", "ids_crc32")
@@ -241,5 +253,6 @@ def materialise(docs: DataFrame, path: str | None = None, length: int = LENGTH,
         found = spark.createDataFrame([], "slot long, shard long, byte_offset long, stored_crc32 long")
     else:
         write_shards(made, n, path, per_shard, key)
-        found = read_shards(spark, path, length, per_shard)
+        with batch_rows(spark, 1):  # a row is a whole shard
+            found = stage(read_shards(spark, path, length, per_shard))
     return with_package(shown).join(found, "slot").select("number", "slot", "shard", "byte_offset", "doc_ids", "first_start", "n_ids", "ids_crc32", "stored_crc32")

@@ -10,6 +10,7 @@ from zlib import crc32
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -394,6 +395,25 @@ def test_shards_hold_the_sequences(spark, sf, tmp_path):
     assert sum(r.n_ids for r in got) == sum(map(len, ids.values()))
 
 
+def test_records_travel_in_small_batches(spark, odd, tmp_path, monkeypatch):
+    rnd = np.random.default_rng(3)
+    records = [rnd.bytes(4096) for _ in range(2000)]
+    batches = [pa.record_batch([pa.array(range(lo, lo + 500)), pa.array(records[lo : lo + 500], pa.binary())], ["number", "record"]) for lo in range(0, 2000, 500)]
+    sent = list(training_order._blocks(2000, 7, 100)(iter(batches)))
+    largest = 100 * (4096 + 8) + 1000  # a block: the records of one shard
+    assert len(sent) > 1 and max(b.nbytes for b in sent) <= training_order.SENT + largest
+    got = {s: bytes(r) for b in training_order._records(iter(sent)) for s, r in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)}
+    assert got == dict(zip(training_order.slots(np.arange(2000), 2000, 7).tolist(), records, strict=True))
+    seen, read = [], training_order.read_shards
+    limits = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = [spark.conf.get(x) for x in limits]
+    monkeypatch.setattr(training_order, "read_shards", lambda *a: seen.append(spark.conf.get(limits[0])) or read(*a))
+    out = training_order.materialise(odd, str(tmp_path / "shards"), length=64, per_shard=10)
+    assert seen == ["1"] and [spark.conf.get(x) for x in limits] == before  # whole shards go to Python one by one
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "binaryFile" not in plan and out.where("stored_crc32 = ids_crc32").count() == out.count() > 100
+
+
 # --- 9 classifier -------------------------------------------------------------------------
 
 
