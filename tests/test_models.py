@@ -53,3 +53,45 @@ def test_a_fit_reads_wide_vectors_in_pieces(spark, monkeypatch):
     out = Context("fit").model("m", None, data, fit=fit)
     assert seen == [(10, 500, 500)]
     assert out.where("prediction = y").count() == 500
+
+
+def test_hashed_words_are_written_once_and_give_the_same_vectors(spark, monkeypatch):
+    text = "concat_ws(' ', 'word', id % 7, 'other', id * 31, CASE WHEN id % 3 = 0 THEN 'third' END)"
+    rows = spark.range(120).selectExpr("id", f"{text} AS words", "cast(id % 5 AS string) AS few", "cast(nullif(id % 4, 3) AS double) AS x")
+    want = P.TableVectorizer(["id"]).fit(rows).transform(rows).select("id", "features").collect()
+    ctx, written, pin = Context("fit"), [], Context.pin
+    monkeypatch.setattr(Context, "pin", lambda self, df: written.append(df.columns) or pin(self, df))
+    out = ctx.vectorize("v", rows, exclude=["id"])
+    assert [("_s_words_h" in c, "_s_words_w" in c) for c in written] == [(False, False), (True, False)]
+    assert len(ctx.pinned) == 1 and out.columns == ["id", "words", "few", "x", "features"]  # the first files have gone
+    near = lambda got: [(r.id, [round(v, 9) for v in r.features]) for r in sorted(got, key=lambda r: r.id)]
+    again = Context("predict", ctx.state).vectorize("v", rows)
+    assert near(want) == near(out.collect()) == near(again.select("id", "features").collect())
+
+
+def test_candidates_are_judged_without_the_texts_that_none_reads(spark, monkeypatch):
+    from featureflow.semantic import generate as G
+
+    seen, judge = [], G.candidate_quality
+    monkeypatch.setattr(G, "candidate_quality", lambda df, exprs: seen.append(df.columns) or judge(df, exprs))
+    rows = spark.range(60).selectExpr("id", "cast(id AS string) AS body", "cast(id % 9 AS double) AS a", "cast(id % 9 AS double) AS b", "concat('n', id % 5) AS name")
+    op = G.SemGenFeatures(how_many=3, keep_all=True, exclude=["id", "body"], hint="log1p frequency")
+    program = op.fit(rows)
+    assert "body" not in seen[0] and {"a", "b", "name", "_others"} <= set(seen[0])
+    states = {t["candidate"]: t["state"] for t in program.attempts[0]["tries"]}
+    assert (states["log1p_a"], states["log1p_b"], states["freq_name"]) == ("kept", "duplicate", "constant")
+    every = [{"name": "h", "expr": "xxhash64(*)", "recipe": "hash", "needs": []}]
+    assert G._needed(rows, every).columns == rows.columns
+
+
+def test_people_are_found_by_their_first_letters(spark):
+    import re
+
+    from featureflow.semantic import extract as E
+
+    titles = re.match(r"\(\?:([^)]*)\)", E.PERSON)[1].split("|")
+    guard = re.match(r"\(\?=\[(\w+)\]\)", E.TITLED)[1]
+    assert {t[0] for t in titles} == set(guard)
+    texts = [f"x{t} Élan Brûlé, {t}. Ada {t} low" for t in titles] + ["Msgr. A Mrs Bo Saint St John", "", "Dr Who Dr\nWho"]
+    both = spark.createDataFrame([(t,) for t in texts], "t string").select(*[F.regexp_extract_all("t", F.lit(p), F.lit(0)) for p in (E.PERSON, E.TITLED)]).collect()
+    assert all(a == b for a, b in both) and sum(len(a) for a, _ in both) > 2 * len(titles)
