@@ -326,9 +326,10 @@ def m10(spark, sf):
     learner = Learner(fraud.simple).fit(train)
     path = fresh(spark, "learner")
     learner.save(spark, path)
-    again = Learner.load(spark, path, fraud.simple).predict(test)
-    first = learner.predict(test).select("ID", F.col("prediction").alias("p"))
-    both = again.select("ID", "prediction").join(first, "ID")
+    # each replay is written on its own, else one task sorts the rows of both
+    again = stage(Learner.load(spark, path, fraud.simple).predict(test).select("ID", "prediction"))
+    first = stage(learner.predict(test).select("ID", F.col("prediction").alias("p")))
+    both = again.join(first, "ID")
     return both.agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("prediction") != F.col("p"), 1)).alias("differing"))
 
 

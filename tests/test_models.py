@@ -95,3 +95,15 @@ def test_people_are_found_by_their_first_letters(spark):
     texts = [f"x{t} Élan Brûlé, {t}. Ada {t} low" for t in titles] + ["Msgr. A Mrs Bo Saint St John", "", "Dr Who Dr\nWho"]
     both = spark.createDataFrame([(t,) for t in texts], "t string").select(*[F.regexp_extract_all("t", F.lit(p), F.lit(0)) for p in (E.PERSON, E.TITLED)]).collect()
     assert all(a == b for a, b in both) and sum(len(a) for a, _ in both) > 2 * len(titles)
+
+
+def test_replays_of_a_learner_are_compared_from_files(spark, sf):
+    from featureflow.catalog.registry import QUERIES
+
+    import featureflow.catalog.jobs  # noqa: F401
+
+    out = QUERIES["m10_m12_learner_state"](spark, sf)
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Join ") == 1 and plan.count("Relation [") == 2  # no task holds the sorted rows of both replays
+    got = out.first()
+    assert got["rows"] > 100 and got["differing"] == 0
