@@ -358,3 +358,23 @@ def test_planted_baskets_are_read_from_files(spark, sf):
 
     baskets = basket_inputs(spark, sf, planted=True)["baskets"]
     assert read_folders(baskets) == {staged_path(baskets).rpartition("/")[2]}
+
+
+def test_many_candidates_are_judged_in_one_scan(spark, monkeypatch):
+    from featureflow.search import score
+
+    plans, whole = [], score.stage
+    monkeypatch.setattr(score, "stage", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or whole(df))
+    rows = spark.range(50).selectExpr(
+        "id", "9223372036854775807L - id % 2 AS big", "cast(id % 2 AS decimal(9, 2)) AS m", "id % 2 = 0 AS b", "id AS again", "array(id) AS a",
+        "if(id % 2 = 0, 0D, -0D) AS z", "cast(null AS double) AS none", "'é' AS s", "date'2020-01-01' AS d", "if(id = 9, cast('nan' AS double), 1D) AS f",
+    )
+    exprs = {c: c for c in rows.columns} | {f"x{i}": f"id + {i}" for i in range(60)}
+    got = {r["candidate"]: r for r in score.candidate_quality(rows, exprs).collect()}
+    assert len(got) == len(exprs) and plans[0].count("Range (0, 50") == 2  # all plain values in one scan, the array in its own
+    assert [n for n in exprs if got[n]["constant"]] == ["z", "none", "s", "d", "f"]
+    assert {n: got[n]["nulls"] for n in exprs if got[n]["nulls"]} == {"none": 50, "f": 1}
+    assert got["x5"]["fingerprint"] != got["x6"]["fingerprint"] and got["id"]["fingerprint"] == got["again"]["fingerprint"] == got["x0"]["fingerprint"]
+    assert (got["x5"]["mean"], got["s"]["mean"], got["m"]["mean"]) == (29.5, None, 0.5)
+    empty = score.candidate_quality(rows.where("id < 0"), exprs).collect()
+    assert len(empty) == len(exprs) and all((r["nulls"], r["constant"], r["mean"], r["fingerprint"]) == (0, True, None, None) for r in empty)
