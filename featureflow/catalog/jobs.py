@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
+from featureflow import session
 from featureflow.catalog.history import finish
 from featureflow.catalog.registry import query
 from featureflow.catalog.relational import duck_fraction, duck_hash, fresh, r
@@ -15,13 +16,13 @@ from featureflow.models.learner import Context, Learner
 from featureflow.operators import sampling as L
 from featureflow.operators.aggs import metrics
 from featureflow.plans import artworks, fraud, houses
-from featureflow.plans.scenario import oracle_with, view
+from featureflow.plans.scenario import oracle_with, table, view
 from featureflow.search.optimise import mutations, optimise
 from featureflow.semantic.aggregate import SemAggFeatures
 from featureflow.semantic.choose import choices, fit_with_choices
 from featureflow.semantic.fillna import SemFillNA
 from featureflow.semantic.generate import SemGenFeatures, propose
-from featureflow.session import stage
+from featureflow.session import plan_bytes, stage
 from featureflow.sources.tables import Inputs
 
 
@@ -236,12 +237,24 @@ def e8(spark, sf):
 
 
 def planted_vectors(spark, sf):
-    inputs = basket_inputs(spark, sf, planted=True, staged=False)  # forests draw by the order of the rows, which staging changes
+    """Three numbers per basket as a vector, and the planted flag.
+
+    A model reads them dozens of times, and each time Spark would send the keys of `part` to the driver and to all
+    executors, twice. If what is read of `lineitem` is beyond BROADCAST_BYTES, they are written once, without a broadcast.
+    """
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice", "l_quantity")
+    large = plan_bytes(lines) > session.BROADCAST_BYTES
+    if large:
+        products = stage(view(spark, sf, "products", {"part": "merge"}).select("basket_ID", "cash_price", "qty"))
+        inputs = Inputs(baskets=fraud.planted(view(spark, sf, "baskets"), products, staged=True), products=products)
+    else:
+        inputs = basket_inputs(spark, sf, planted=True, staged=False)  # forests draw by the order of the rows, which staging changes
     agg = inputs["products"].groupBy("basket_ID").agg(
         F.sum("cash_price").alias("total"), F.count(F.lit(1)).alias("n"), F.avg("qty").alias("qty")
     )
-    data = inputs["baskets"].join(agg, F.col("ID") == F.col("basket_ID")).drop("basket_ID")
-    return VectorAssembler(inputCols=["total", "n", "qty"], outputCol="features").transform(data)
+    data = inputs["baskets"].join(agg.hint("merge") if large else agg, F.col("ID") == F.col("basket_ID")).drop("basket_ID")
+    out = VectorAssembler(inputCols=["total", "n", "qty"], outputCol="features").transform(data)
+    return stage(out) if large else out
 
 
 @query("m6_boosted_classifier")

@@ -60,9 +60,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One scenario table; the view text runs over frames passed by name, no catalog state."""
+def view(spark: SparkSession, sf_dir: str, name: str, hints: dict[str, str] | None = None) -> DataFrame:
+    """One scenario table; the view text runs over frames passed by name, no catalog state. `hints` are join hints by table."""
     frames = {t: table(spark, sf_dir, t) for t in SOURCES[name]}
+    for t, hint in (hints or {}).items():
+        frames[t] = frames[t].hint(hint)
     text = VIEWS[name]
     for t in frames:
         text = text.replace(f"FROM {t}", f"FROM {{{t}}}").replace(f"JOIN {t}", f"JOIN {{{t}}} AS {t}")

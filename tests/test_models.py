@@ -107,3 +107,18 @@ def test_replays_of_a_learner_are_compared_from_files(spark, sf):
     assert plan.count("Join ") == 1 and plan.count("Relation [") == 2  # no task holds the sorted rows of both replays
     got = out.first()
     assert got["rows"] > 100 and got["differing"] == 0
+
+
+def test_large_planted_vectors_are_written_once_without_a_broadcast(spark, sf, monkeypatch):
+    from featureflow import session
+    from featureflow.catalog import jobs
+
+    rows = lambda d: sorted((r.ID, r.fraud_flag, r.n, *[round(v, 6) for v in (r.total, r.qty, *r.features)]) for r in d.collect())
+    few = jobs.planted_vectors(spark, sf)
+    plans, write = [], jobs.stage
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(jobs, "stage", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    many = jobs.planted_vectors(spark, sf)
+    assert session.read_folders(many) == {session.staged_path(many).rpartition("/")[2]}
+    assert len(plans) == 2 and "BroadcastHashJoin" not in plans[0] + plans[1] and "part.parquet" in plans[0] and "part.parquet" not in plans[1]
+    assert few.schema.simpleString() == many.schema.simpleString() and rows(few) == rows(many)
