@@ -122,3 +122,22 @@ def test_large_planted_vectors_are_written_once_without_a_broadcast(spark, sf, m
     assert session.read_folders(many) == {session.staged_path(many).rpartition("/")[2]}
     assert len(plans) == 2 and "BroadcastHashJoin" not in plans[0] + plans[1] and "part.parquet" in plans[0] and "part.parquet" not in plans[1]
     assert few.schema.simpleString() == many.schema.simpleString() and rows(few) == rows(many)
+
+
+def test_text_candidates_are_worked_out_once_per_value(spark, monkeypatch):
+    from featureflow.semantic import generate as G
+
+    rows = spark.range(300).selectExpr("id", "nullif(concat_ws(' ', slice(split('a bb ccc dddd', ' '), 1, cast(id % 5 AS int))), 'a') AS t", "cast(id * id % 11 AS double) AS y")
+    seen, judge = [], G.candidate_quality
+    monkeypatch.setattr(G, "candidate_quality", lambda df, exprs: seen.append(exprs) or judge(df, exprs))
+
+    def tries(proposer):
+        program = G.SemGenFeatures(how_many=3, y="y", exclude=["id"], proposer=proposer).fit(rows)
+        out = program.transform(rows)
+        assert not any(c.startswith("_v") for c in out.columns)
+        return program.attempts[0]["tries"], sorted(out.collect(), key=lambda r: r.id)
+
+    plain = lambda profile, hint: [c | {"needs": [n for n in c["needs"] if n[0] != "text"]} for c in G.propose(profile, hint)]
+    assert tries(G.propose) == tries(plain)
+    by_value, by_row = seen[0], seen[2]
+    assert by_value["words_t"].startswith("CASE WHEN `t` IS NULL THEN ") and by_row["words_t"].startswith("size(")
