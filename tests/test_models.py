@@ -128,8 +128,8 @@ def test_text_candidates_are_worked_out_once_per_value(spark, monkeypatch):
     from featureflow.semantic import generate as G
 
     rows = spark.range(300).selectExpr("id", "nullif(concat_ws(' ', slice(split('a bb ccc dddd', ' '), 1, cast(id % 5 AS int))), 'a') AS t", "cast(id * id % 11 AS double) AS y")
-    seen, judge = [], G.candidate_quality
-    monkeypatch.setattr(G, "candidate_quality", lambda df, exprs: seen.append(exprs) or judge(df, exprs))
+    seen, judge = [], G.judge_candidates
+    monkeypatch.setattr(G, "judge_candidates", lambda df, exprs, y: seen.append(exprs) or judge(df, exprs, y))
 
     def tries(proposer):
         program = G.SemGenFeatures(how_many=3, y="y", exclude=["id"], proposer=proposer).fit(rows)
@@ -139,5 +139,5 @@ def test_text_candidates_are_worked_out_once_per_value(spark, monkeypatch):
 
     plain = lambda profile, hint: [c | {"needs": [n for n in c["needs"] if n[0] != "text"]} for c in G.propose(profile, hint)]
     assert tries(G.propose) == tries(plain)
-    by_value, by_row = seen[0], seen[2]
+    by_value, by_row = seen
     assert by_value["words_t"].startswith("CASE WHEN `t` IS NULL THEN ") and by_row["words_t"].startswith("size(")

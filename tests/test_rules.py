@@ -378,3 +378,25 @@ def test_many_candidates_are_judged_in_one_scan(spark, monkeypatch):
     assert (got["x5"]["mean"], got["s"]["mean"], got["m"]["mean"]) == (29.5, None, 0.5)
     empty = score.candidate_quality(rows.where("id < 0"), exprs).collect()
     assert len(empty) == len(exprs) and all((r["nulls"], r["constant"], r["mean"], r["fingerprint"]) == (0, True, None, None) for r in empty)
+
+
+def test_one_scan_judges_and_scores(spark, monkeypatch):
+    from featureflow.search import score
+
+    rows = spark.range(300).selectExpr(
+        "id", "nullif(id * id % 13, 4) AS a", "cast(id % 7 AS double) AS b", "id % 2 = 0 AS c", "concat('t', id % 3) AS t", "cast(id % 5 AS decimal(9, 2)) AS m",
+        "cast(null AS double) AS none", "if(id % 9 = 0, cast('nan' AS double), 2D) AS flat", "nullif(cast(id % 4 AS int), 3) AS y",
+    )
+    exprs = {c: c for c in rows.columns if c != "y"} | {"bad": "no_such", "sum": "a + b"}
+    plans, whole = [], score.stage
+    monkeypatch.setattr(score, "stage", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or whole(df))
+    for data in (rows, rows.where("id < 0"), rows.withColumn("y", F.lit(None).cast("int"))):
+        near = lambda d: {r[0]: tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in d.collect()}
+        plans.clear()
+        quality, scores = score.judge_candidates(data, exprs, "y")
+        assert sum("xxhash64" in p and "sum(" not in p for p in plans) <= 1
+        assert near(quality) == near(score.candidate_quality(data, exprs)) and near(scores) == near(score.score_candidates(data, exprs, "y"))
+    plain = {n: e for n, e in exprs.items() if n not in ("t", "m", "bad")}
+    plans.clear()
+    score.judge_candidates(rows, plain, "y")
+    assert sum("Range (0, 300" in p for p in plans) == 1  # numbers and booleans are read once
